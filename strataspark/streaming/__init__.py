@@ -1,0 +1,2 @@
+"""No streaming operator is provided: all inputs of the supported analyses are finite files
+and event time is an integer step, so there is no watermark or late-data semantics to keep."""
