@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.draws import draw_key
+from ..session import checkpointed
 
 
 def _offsets(df: DataFrame, by: list[str], bucket: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -24,19 +25,22 @@ def _offsets(df: DataFrame, by: list[str], bucket: list[str], sums: dict[str, Co
     return per.select(*by, *bucket, *[F.coalesce(F.sum(f"__s_{n}").over(w), F.lit(0)).alias(f"__o_{n}") for n in sums])
 
 
-def _rank_in_buckets(df: DataFrame, by: list[str], bucket: list[str], order: list, out: str) -> DataFrame:
-    off = _offsets(df, by, bucket, {"n": F.count(F.lit(1))})
+def _rank_in_buckets(df: DataFrame, by: list[str], bucket: list[str], order: list, out: str, sums: dict[str, str]) -> DataFrame:
+    off = _offsets(df, by, bucket, {"n": F.count(F.lit(1)), **{n: F.sum(c) for n, c in sums.items()}})
     w = Window.partitionBy(*by, *bucket).orderBy(*order)
-    ranked = df.withColumn("__rn", F.row_number().over(w))
-    return (ranked.join(off, [*by, *bucket])
-            .withColumn(out, (F.col("__rn") + F.col("__o_n")).cast("long"))
-            .drop("__rn", "__o_n", *bucket))
+    d = df.withColumn("__rn", F.row_number().over(w))
+    for n, c in sums.items():
+        d = d.withColumn(n, F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.join(off, [*by, *bucket]).withColumn(out, (F.col("__rn") + F.col("__o_n")).cast("long"))
+    for n in sums:
+        d = d.withColumn(n, F.col(n) + F.col(f"__o_{n}"))
+    return d.drop("__rn", "__o_n", *[f"__o_{n}" for n in sums], *bucket)
 
 
 def hash_rank(df: DataFrame, by: list[str], seed, keys: list[str], out: str = "rank", digits: int = 2) -> DataFrame:
     """1..n inside each group of ``by`` in the order of md5(seed|keys); buckets are hash prefixes."""
     d = df.withColumn("__h", draw_key(seed, *keys)).withColumn("__b", F.substring("__h", 1, digits))
-    return _rank_in_buckets(d, by, ["__b"], ["__h", *keys], out).drop("__h")
+    return _rank_in_buckets(d, by, ["__b"], ["__h", *keys], out, {}).drop("__h")
 
 
 def top_n_by_hash(df: DataFrame, by: list[str], seed, keys: list[str], n: int, digits: int = 2) -> DataFrame:
@@ -57,14 +61,17 @@ def sort_key(value: Column, descending: bool = True, missing_last: bool = True)
 
 
 def value_rank(df: DataFrame, by: list[str], value, seed, keys: list[str], out: str = "rank",
-               descending: bool = True, sample_digits: int = 3, n_edges: int = 255) -> DataFrame:
-    """1..n inside each group of ``by`` in the order of ``value`` (ties in seeded order of ``keys``).
+               descending: bool = True, sums: dict[str, str] | None = None, sample_digits: int = 3, n_edges: int = 255) -> DataFrame:
+    """1..n inside each group of ``by`` in the order of ``value`` (ties in seeded order of ``keys``);
+    ``sums`` adds, per ``new: col``, the sum of ``col`` over all rows up to and including this one.
 
+    The input is read three times (edges, bucket totals, ordering), so it is stored once first.
     Buckets are value ranges whose edges are exact quantiles of a hash-chosen sample (a pure function
     of the data, hence stable over recomputation). A value that is itself an edge is a bucket of its
     own, split further by hash prefix, so a score shared by very many rows spreads as well."""
     d = (df.withColumn("__k", sort_key(F.col(value) if isinstance(value, str) else value, descending))
            .withColumn("__h", draw_key(seed, *keys)))
+    d = checkpointed(d)
     probs = F.array(*[F.lit((i + 1) / (n_edges + 1)) for i in range(n_edges)])
     edges = (d.where((F.substring("__h", 1, sample_digits) == "0" * sample_digits) & ~F.col("__k").isin(float("inf")))
               .agg(F.array_distinct(F.coalesce(F.percentile("__k", probs), F.array().cast("array<double>"))).alias("e")))
@@ -73,7 +80,7 @@ def value_rank(df: DataFrame, by: list[str], value, seed, keys: list[str], out:
           .withColumn("__q", F.array_contains("__e", F.col("__k")) | (F.col("__k") == float("inf")))
           .withColumn("__s", F.when(F.col("__q"), F.substring("__h", 1, 2)).otherwise(F.lit("")))
           .drop("__e"))
-    return _rank_in_buckets(d, by, ["__p", "__q", "__s"], ["__k", "__h", *keys], out).drop("__k", "__h")
+    return _rank_in_buckets(d, by, ["__p", "__q", "__s"], ["__k", "__h", *keys], out, sums or {}).drop("__k", "__h")
 
 
 def running_sum(df: DataFrame, by: list[str], rank: str, sums: dict[str, str], block: int = 1 << 20) -> DataFrame:
