@@ -334,13 +334,17 @@ def gap_ratio(pairs: DataFrame, by: list[str], features: list[str]) -> DataFrame
 
 
 def gap_contrast(gr: DataFrame, readout: str, head: str, null: str) -> DataFrame:
+    return gap_contrast_by(gr, [], readout, head, null)
+
+
+def gap_contrast_by(gr: DataFrame, by: list[str], readout: str, head: str, null: str) -> DataFrame:
     """D = [GR_r - GR_head](flagged) - same(unflagged) - D_null, and the same on ln GR. gr: readout, flagged, gap_ratio."""
     v = lambda name, fl: F.max(F.when((F.col("readout") == name) & (F.col("flagged") == fl), F.col("gap_ratio")))
     names = {f"{n}_{int(fl)}": v(x, fl) for n, x in (("r", readout), ("h", head), ("z", null)) for fl in (True, False)}
-    g = gr.agg(*[e.alias(n) for n, e in names.items()])
+    g = gr.groupBy(*by).agg(*[e.alias(n) for n, e in names.items()])
     d = lambda f: ((f("r_1") - f("h_1")) - (f("r_0") - f("h_0"))) - ((f("z_1") - f("h_1")) - (f("z_0") - f("h_0")))
     pos = F.least(*[F.col(n) for n in names]) > 0
-    return g.select(d(F.col).alias("d"), F.when(pos, d(lambda n: F.log(n))).alias("d_log"))
+    return g.select(*by, d(F.col).alias("d"), F.when(pos, d(lambda n: F.log(n))).alias("d_log"))
 
 
 # ---- treated vs control shifts

@@ -58,7 +58,8 @@ def nearest(queries: DataFrame, reference: DataFrame, by: list[str], k: int, z:
     q = q.join(sizes, g).withColumn("bq", slot("nq", "q", "i")).withColumn("br", F.explode(F.sequence(F.lit(1).cast("long"), F.col("nr"))))
     r = r.join(sizes, g).withColumn("br", slot("nr", "r", "i")).withColumn("bq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("nq"))))
     cols = [*g, "bq", "br"]
-    part = (q.select(*cols, "i", "u").groupBy(*cols).cogroup(r.select(*cols, "i", "u").groupBy(*cols))
+    r = r.select(*[F.col(c).alias(c) for c in [*cols, "i", "u"]])            # own column identities when both sides are one table
+    part = (q.select(*cols, "i", "u").groupBy(*cols).cogroup(r.groupBy(*cols))
              .applyInPandas(_block_top_k(k, exclude_self, metric), "i long, j long, sim double"))
     w = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -190,7 +191,8 @@ def centred_distance_ratio(near: DataFrame, random: DataFrame, rows: DataFrame,
     """Median 1 - cos of neighbour pairs over that of random pairs, raw and with the train mean subtracted."""
     dim = train.select(F.posexplode(z).alias("p", "v")).groupBy("p").agg(F.avg("v").alias("m"))
     mean = dim.agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("c")).scalar()     # one row per dimension
-    both = rows.select("unit_id", F.transform(z, lambda x: x.cast("double")).alias("raw"), minus(z, mean).alias("centred"))
+    both = rows.withColumn("__c", mean).select("unit_id", F.transform(z, lambda x: x.cast("double")).alias("raw"), minus(z, "__c").alias("centred"))
+    both = checkpointed(both)
     out = []
     for name, p in (("near", near), ("random", random)):
         d = with_both(p.select("x", "y"), both, "x", "y", ["raw", "centred"])
