@@ -206,7 +206,10 @@ def predict(df: DataFrame, coefs: DataFrame, by: list[str], x: str = "x", out: s
     one short row per fit, so Spark can broadcast them by their known size."""
     from ..functions.vectors import dot
     c = coefs.select(*by, "target", "intercept", "coef")
-    j = df.join(c, by) if by else df.join(c)
+    if by:
+        j = df.join(c, by)
+    else:                                                   # one fit: its few targets are a scalar
+        j = df.select("*", F.inline(c.agg(F.collect_list(F.struct("target", "intercept", "coef")).alias("c")).scalar()))
     return j.withColumn(out, F.col("intercept") + dot("coef", x)).drop("intercept", "coef")
 
 

@@ -215,7 +215,7 @@ def coverage_curve_tau(df: DataFrame, score: str, call: str, label: str, n_tau:
 def subset_accuracy(scores_long: DataFrame, labels: DataFrame, subsets: DataFrame, classes: list[str], panel_size: dict[str, int]) -> DataFrame:
     """Accuracy of forced calls when only a subset's features are kept (the others count 0).
     ``scores_long``: unit_id, cls, feature, v; ``subsets``: subset_id, feature (declared, small)."""
-    d = scores_long.join(F.broadcast(subsets), "feature")
+    d = scores_long.join(subsets, "feature")
     s = d.groupBy("subset_id", "unit_id").agg(*[(F.coalesce(F.sum(F.when(F.col("cls") == c, F.col("v"))), F.lit(0.0)) / panel_size[c]).alias(c) for c in classes])
     s = s.withColumn("call", argmax_class(classes)).join(labels, "unit_id")
     return s.groupBy("subset_id").agg(F.count("label").alias("n_labelled"), F.avg((F.col("call") == F.col("label")).cast("double")).alias("accuracy"))

@@ -159,6 +159,7 @@ def must_separate_sweep(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
 def pair_decision_metrics(pairs: DataFrame, decisions: DataFrame, i: str = "lo", j: str = "hi") -> DataFrame:
     """Both rows' decisions on every pair; a pair with a missing decision counts in n only. decisions: unit_id, call
     ('' = no call), expected (NULL = none)."""
+    decisions = checkpointed(decisions.select("unit_id", "call", "expected"))          # read for both ends
     a = decisions.select(F.col("unit_id").alias(i), F.col("call").alias("ca"), F.col("expected").alias("ea"), F.lit(True).alias("ha"))
     b = decisions.select(F.col("unit_id").alias(j), F.col("call").alias("cb"), F.col("expected").alias("eb"), F.lit(True).alias("hb"))
     d = pairs.join(a, i, "left").join(b, j, "left")
@@ -179,7 +180,7 @@ def pair_decision_metrics(pairs: DataFrame, decisions: DataFrame, i: str = "lo",
 
 def pair_cosine_under_views(pairs: DataFrame, rows: DataFrame, views: dict[str, list[int]], i: str, j: str, z: str = "m", high: float = 0.98, low: float = 0.95) -> DataFrame:
     """Cosine of fixed pairs when only some positions of the vectors are kept: mean, median, shares above / below."""
-    d = with_both(pairs.select(i, j), rows, i, j, [z])
+    d = with_both(pairs.select(i, j), checkpointed(rows.select("unit_id", z)), i, j, [z])
     pick = lambda c, idx: F.array(*[F.col(c)[k] for k in idx])
     cos = [F.struct(F.lit(n).alias("view"), dot(l2_normalise(pick(f"{z}_i", idx)), l2_normalise(pick(f"{z}_j", idx))).alias("cos")) for n, idx in views.items()]
     d = checkpointed(d.select(F.inline(F.array(*cos))))

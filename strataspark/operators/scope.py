@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed
 from .audit import verdict, verdict_union
-from .fit import combine, fit_sets, gram_table, leave_out, predict, ridge_solve
+from .fit import fit_sets, gram_table, leave_out, predict, ridge_solve
 from .resample import bootstrap_rows, percentile_ci, with_point
 from .selection import fold_by_row
 
@@ -14,11 +14,13 @@ MOMENTS = ["n", "sy", "syy", "sp", "spp", "spy"]
 
 
 # ---- predictions
-def _excluding(gram: DataFrame, block: str, blocks: DataFrame, event: str | None) -> DataFrame:
-    """Per scored block the cross products of all rows outside the block and outside the event's block."""
+def _excluding(gram: DataFrame, block: str, blocks: DataFrame, event: str | None, width: int) -> DataFrame:
+    """Per scored block the cross products of all rows outside the block and outside the event's block; a block has
+    ``width`` squared positions."""
     tot = gram.groupBy("pos").agg(F.sum("val").alias("__t"))
     own = gram.select(F.col(block).alias("__b"), "pos", "val")
-    d = blocks.select(F.col(block).alias("__b")).join(tot).join(own, ["__b", "pos"], "left")
+    d = blocks.select(F.col(block).alias("__b"), F.explode(F.sequence(F.lit(0), F.lit(width * width - 1))).alias("pos"))
+    d = d.join(tot, "pos").join(own, ["__b", "pos"], "left")
     val = F.col("__t") - F.coalesce(F.col("val"), F.lit(0.0))
     if event is not None:
         ev = gram.where(F.col(block) == event).select("pos", F.col("val").alias("__e"))
@@ -41,14 +43,15 @@ def scope_predict(study: DataFrame, stages: list[str], y: list[str], scopes: lis
         d = study.select(F.size(stage).alias("d")).first()[0]
         base = study.select("unit_id", block, F.col(stage).alias("x"))
         add = lambda scope, p: out.append(p.select(F.lit(scope).alias("scope"), F.lit(stage).alias("stage"), "unit_id", "target", "pred"))
+        m = 1 + d + len(y)
         solve = lambda g, by: ridge_solve(g, by, d, [alpha], standardise, min_rows=min_rows)
         if "units" in scopes:
             g = checkpointed(gram_table(study, [block], stage, y))
-            add("units", predict(base, solve(_excluding(g, block, blocks, event), [block]), [block]))
+            add("units", predict(base, solve(_excluding(g, block, blocks, event, m), [block]), [block]))
         if "train" in scopes:
             if block in train.columns:
                 g = checkpointed(gram_table(train, [block], stage, y))
-                add("train", predict(base, solve(_excluding(g, block, blocks, event), [block]), [block]))
+                add("train", predict(base, solve(_excluding(g, block, blocks, event, m), [block]), [block]))
             else:
                 add("train", predict(base, solve(gram_table(train, [], stage, y), []), []))
         if "other" in scopes:
@@ -241,10 +244,9 @@ def donor_transfer_fits(rows: DataFrame, x: str, y: list[str], d: int, alphas: l
     rows = checkpointed(rows.select("unit_id", "group_id", "site", "study", x, *y))
     g = checkpointed(gram_table(rows, ["group_id"], x, y))
     donors = checkpointed(rows.select("group_id", "site", "study").distinct())
-    a, b = donors.select(F.col("group_id").alias("target_group"), F.col("site").alias("s0"), F.col("study").alias("st0")), donors
-    pairs = a.join(b, F.col("target_group") != F.col("group_id"))                     # donors x donors, both short
-    tr = F.col("study") == training_study
-    sets = [("T", pairs.where(tr)), ("S", pairs.where(tr & (F.col("site") != F.col("s0")))), ("L", pairs.where(F.col("study") == F.col("st0")))]
+    a = donors.select(F.col("group_id").alias("target_group"), F.col("site").alias("s0"), F.col("study").alias("st0"), F.lit(training_study).alias("st1"))
+    fits = lambda on: a.join(donors, on == F.col("study")).where(F.col("target_group") != F.col("group_id"))
+    sets = [("T", fits(F.col("st1"))), ("S", fits(F.col("st1")).where(F.col("site") != F.col("s0"))), ("L", fits(F.col("st0")))]      # membership: a few donors per fit
     out = []
     for name, m in sets:
         c = fit_sets(g, "group_id", m.select("target_group", "group_id"), "target_group", d, alphas)

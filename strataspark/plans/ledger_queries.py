@@ -42,9 +42,9 @@ def events_of(i):
     return L.source_events(tr.select("site"), ["F", "O"], "run", "knockout", tr)
 
 
-@query("source_events", SEV + " SELECT event_id, site, stratum, role, CAST(sign AS BIGINT) AS sign, amplitude, pool, n_admitted, n_attempted FROM se")
+@query("source_events", SEV + " SELECT event_id, site, stratum, role, CAST(sign AS BIGINT) AS sign, amplitude, pool, CAST(n_admitted AS DOUBLE) AS n_admitted, CAST(n_attempted AS DOUBLE) AS n_attempted FROM se")
 def _(i):
-    return events_of(i).drop("time")
+    return events_of(i).drop("time").withColumn("n_admitted", F.col("n_admitted").cast("double")).withColumn("n_attempted", F.col("n_attempted").cast("double"))
 
 
 @query("pool_closure", SEV + " SELECT pool, field, count(DISTINCT v) AS n_values, false AS is_pattern FROM (SELECT pool, unnest(['site', 'stratum', 'role', 'sign']) AS field, unnest([coalesce(site, ''), stratum, role, CAST(sign AS VARCHAR)]) AS v FROM se) GROUP BY 1, 2 HAVING n_values > 1")
@@ -52,7 +52,7 @@ def _(i):
     return L.pool_closure(events_of(i), ["site", "stratum", "role", "sign"])
 
 
-@query("admission_share", """SELECT site, channel, coalesce(k, 0) / (SELECT count(*) FROM orders) AS share FROM (VALUES ('BUILDING'), ('FURNITURE'), ('SPACE')) s(site), (VALUES ('F'), ('O'), ('X')) c(channel)
+@query("admission_share", """SELECT site, channel, coalesce(k, 0) / (SELECT count(*) FROM orders) AS share FROM (SELECT site, channel FROM (VALUES ('BUILDING'), ('FURNITURE'), ('SPACE')) s(site), (VALUES ('F'), ('O'), ('X')) c(channel)) g
  LEFT JOIN (SELECT c_mktsegment AS site, o_orderstatus AS channel, count(*) AS k FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) USING (site, channel)""".replace("coalesce(k, 0) / (SELECT count(*) FROM orders)", "round(coalesce(k, 0) / (SELECT count(*) FROM orders), 6)"))
 def _(i):
     a = (i.table("orders").join(i.table("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("site"), F.col("o_orderstatus").alias("channel")).agg(F.count(F.lit(1)).alias("n")))
@@ -86,7 +86,7 @@ def _(i):
 
 
 # ---- forward responses, conflicts, rules
-FW = """, fw AS (SELECT o_orderstatus AS dataset, 'price' AS readout, site, eps, avg(o_totalprice) * eps / 1e6 * CASE WHEN site = 'KO' THEN 1.1 ELSE 1 END AS slope, site <> 'KO' AS is_random FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'KO' ELSE o_orderpriority END AS site FROM orders), (SELECT unnest([0.5, 1.0]::DOUBLE[]) AS eps) GROUP BY ALL),
+FW = """, fw AS (SELECT dataset, 'price' AS readout, site, eps, m * eps / 1e6 * CASE WHEN site = 'KO' THEN 1.1::DOUBLE ELSE 1::DOUBLE END AS slope, site <> 'KO' AS is_random FROM (SELECT o_orderstatus AS dataset, CASE o_orderpriority WHEN '1-URGENT' THEN 'KO' ELSE o_orderpriority END AS site, avg(o_totalprice) AS m FROM orders GROUP BY 1, 2), (SELECT unnest([0.5, 1.0]::DOUBLE[]) AS eps)),
  iv AS (SELECT o_orderstatus AS dataset, 'price' AS readout, o_orderpriority AS stage, CASE WHEN count(*) % 2 = 0 THEN 'support' ELSE 'reject' END AS verdict, avg(o_totalprice) / 1e6 - 0.25 AS delta FROM orders GROUP BY 1, 3)"""
 
 
