@@ -102,9 +102,9 @@ def _(i):
     return A.resolve(A.OUTCOMES, "log_price", i.trial)
 
 
-@query("make_learner", f", s AS (SELECT {SUMS.format(x='x', y='y')} FROM trial), m AS (SELECT (sxy - sx * sy / n) / (sxx - sx * sx / n + 0.01 * n) AS b, sy / n AS my, sx / n AS mx FROM s) SELECT unit_id, round(my + b * (x - mx), 5) AS pred FROM trial, m")
+@query("make_learner", f", s AS (SELECT {SUMS.format(x='x', y='y')}, stddev_pop(y) AS sdy FROM trial), m AS (SELECT (sxy - sx * sy / n) / (sxx - sx * sx / n + 0.01 * n / sdy) AS b, sy / n AS my, sx / n AS mx FROM s) SELECT unit_id, round(my + b * (x - mx), 5) AS pred FROM trial, m")
 def _(i):
-    """the ML ridge: a penalty per row of 0.01 is a penalty of 0.01 n on the sum of squares"""
+    """the ML ridge: Spark scales its penalty by the label sd, so 0.01 acts as 0.01 n / sd(y) on the sum of squares"""
     d = X.with_features(i.trial.select("unit_id", F.array("x").alias("x"), F.col("y").alias("label")))
     m = X.make_learner({"regressor": "ridge", "reg": 0.01}, "m").fit(d)
     return m.transform(d).select("unit_id", F.round("prediction", 5).alias("pred"))
