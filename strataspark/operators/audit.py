@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed
-from .fit import crossfit
+from ..functions.vectors import dot
+from .fit import crossfit, gram_table, leave_out, ridge_solve
 from .metrics import auroc
 from .resample import drawn_sums, element_sums
 from .selection import stage_walk
@@ -43,9 +44,26 @@ def crossfit_residuals(rows: DataFrame, views: dict[str, DataFrame], k: int, cla
     """(unit_id, state, cls, ra, ry): out-of-fold residuals of the treatment and of the outcome on every view for every
     learner class. rows: unit_id, fold, a, y; a view: unit_id, x (array). classes: name -> {regressor, classifier, ...}."""
     out = None
+    if any(s["regressor"] == "gram_ridge" == s["classifier"] for s in classes.values()):
+        # every view and both targets from one table of cross products
+        long = None
+        for state, x in views.items():
+            v = x.select("unit_id", F.lit(state).alias("state"), F.transform("x", lambda e: e.cast("double")).alias("x"))
+            long = v if long is None else long.unionByName(v)
+        d = checkpointed(long.join(rows.select("unit_id", "fold", F.col(a).cast("double").alias("__a"), F.col(y).cast("double").alias("__y")), "unit_id"))
+        g = checkpointed(leave_out(gram_table(d, ["state", "fold"], "x", ["__a", "__y"]), "fold", ["state"]))
+        for cls, spec in classes.items():
+            if spec["regressor"] == "gram_ridge" == spec["classifier"]:
+                c = ridge_solve(g, ["state", "fold"], None, [float(spec.get("alpha", 1.0))], bool(spec.get("standardise")), n_targets=2)
+                c = c.groupBy("state", "fold").agg(*[F.max(F.when(F.col("target") == t, F.struct("intercept", "coef"))).alias(f"__m{t}") for t in (0, 1)])
+                p = [F.col(f"__m{t}.intercept") + dot(F.col(f"__m{t}.coef"), "x") for t in (0, 1)]
+                r = d.join(c, ["state", "fold"]).select("unit_id", "state", F.lit(cls).alias("cls"), (F.col("__a") - p[0]).alias("ra"), (F.col("__y") - p[1]).alias("ry"))
+                out = r if out is None else out.unionByName(r)
     for state, x in views.items():
         d = rows.select("unit_id", "fold", a, y).join(x.select("unit_id", "x"), "unit_id")
         for cls, spec in classes.items():
+            if spec["regressor"] == "gram_ridge" == spec["classifier"]:
+                continue
             ra = crossfit(d, a, k, spec, "e").select("unit_id", (F.col(a) - F.col("pred")).alias("ra"))
             ry = crossfit(d, y, k, spec, "m").select("unit_id", (F.col(y) - F.col("pred")).alias("ry"))
             r = ra.join(ry, "unit_id").select("unit_id", F.lit(state).alias("state"), F.lit(cls).alias("cls"), "ra", "ry")

@@ -176,31 +176,41 @@ def deletion_flips(classes: list[str], call: str, top_value: str, n: int, bar: f
     return F.lit(rho) * (own - F.col(top_value) / n) < F.greatest(F.lit(bar), other)
 
 
-def call_with_edit(classes: list[str], feature_class: str, value: str, new_value: Column, n_panel: dict[str, int], bar: float) -> Column:
-    """Call when one event of ``feature_class`` takes ``new_value``: the class sum moves, nothing is recomputed."""
-    edited = [F.col(c) + F.when(F.col(feature_class) == c, (new_value - F.col(value)) / n_panel[c]).otherwise(0.0) for c in classes]
-    arr = F.array(*edited)
-    arg = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(arr, F.array_max(arr)).cast("int"))
-    return F.when(F.array_max(arr) >= bar, arg).otherwise("")
+def edit_context(events: DataFrame, scores: DataFrame, classes: list[str], n_panel: dict[str, int]) -> DataFrame:
+    """What a change of one event needs: the score of its class, the best other class (first in class order) and its
+    score, and whether the event's class comes first on ties. Only the event's class moves under an edit.
+    events: unit_id, feature, cls, v; scores: unit_id, classes..., call."""
+    d = events.join(scores, "unit_id")
+    pos = lambda c: F.array_position(F.array(*[F.lit(k) for k in classes]), c)
+    others = F.array(*[F.when(F.col("cls") != c, F.col(c)) for c in classes])
+    d = d.withColumn("__own", F.coalesce(*[F.when(F.col("cls") == c, F.col(c)) for c in classes]))
+    d = d.withColumn("__n", F.coalesce(*[F.when(F.col("cls") == c, F.lit(n_panel[c])) for c in classes])).withColumn("__o", F.array_max(others))
+    d = d.withColumn("__oc", F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(others, F.col("__o")).cast("int")))
+    return d.withColumn("__first", pos(F.col("cls")) < pos(F.col("__oc")))
+
+
+def call_at(new_value: Column, bar: float) -> Column:
+    """Call when the event takes ``new_value`` (over the columns of edit_context)."""
+    s = F.col("__own") + (new_value - F.col("v")) / F.col("__n")
+    wins = (s > F.col("__o")) | ((s == F.col("__o")) & F.col("__first"))
+    return F.when(wins, F.when(s >= bar, F.col("cls")).otherwise("")).otherwise(F.when(F.col("__o") >= bar, F.col("__oc")).otherwise(""))
 
 
 def decision_under_edit(events: DataFrame, scores: DataFrame, classes: list[str], n_panel: dict[str, int], bar: float, grid: int = 21) -> DataFrame:
     """Per (unit, feature): change of the chosen score when the event is removed, whether the call flips, and the
-    nearest grid value of the event that flips it. Everything stays inside the row; no grid is exploded.
-    events: unit_id, feature, cls, v; scores: unit_id, classes..., call."""
-    d = events.join(scores, "unit_id")
-    removed = call_with_edit(classes, "cls", "v", F.lit(0.0), n_panel, bar)
+    nearest grid value of the event that flips it. Everything stays inside the row; no grid is exploded."""
+    d = edit_context(events, scores, classes, n_panel)
+    removed = call_at(F.lit(0.0), bar)
     steps = F.array(*[F.lit(k / (grid - 1)) for k in range(grid)])
-    edited = F.transform(steps, lambda g: F.struct(g.alias("g"), call_with_edit(classes, "cls", "v", g, n_panel, bar).alias("call")))
-    dist = F.array_min(F.transform(F.filter(edited, lambda e: e["call"] != F.col("call")), lambda e: F.abs(e["g"] - F.col("v"))))
-    chosen = F.coalesce(*[F.when((F.col("call") == c) & (F.col("cls") == c), -F.col("v") / n_panel[c]) for c in classes], F.lit(0.0))
+    dist = F.array_min(F.transform(F.filter(steps, lambda g: call_at(g, bar) != F.col("call")), lambda g: F.abs(g - F.col("v"))))
+    chosen = F.when(F.col("call") == F.col("cls"), -F.col("v") / F.col("__n")).otherwise(0.0)
     return d.select("unit_id", "feature", "call", removed.alias("call_removed"), (removed != F.col("call")).alias("flipped"), chosen.alias("delta_chosen"), dist.alias("flip_distance"))
 
 
-def nudge_flips(classes: list[str], n_panel: dict[str, int], bar: float, eps: float) -> dict[str, Column]:
-    """Flip flags of the call when the event moves by +-eps and +-eps/2 (values stay in [0, 1])."""
+def nudge_flips(bar: float, eps: float) -> dict[str, Column]:
+    """Flip flags of the call when the event moves by +-eps and +-eps/2 (values stay in [0, 1]), over edit_context."""
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    flip = lambda dv: call_with_edit(classes, "cls", "v", clip(F.col("v") + dv), n_panel, bar) != F.col("call")
+    flip = lambda dv: call_at(clip(F.col("v") + dv), bar) != F.col("call")
     return {"up": flip(eps), "down": flip(-eps), "half_up": flip(eps / 2), "half_down": flip(-eps / 2)}
 
 

@@ -116,8 +116,9 @@ def _schema(df: DataFrame, by: list[str]) -> str:
     return ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in by] + [COEF])
 
 
-def ridge_solve(gram: DataFrame, by: list[str], d: int, alphas: list[float], standardise: bool = False, relative: bool = False, min_rows: int = 0) -> DataFrame:
-    """(by, alpha, target, intercept, coef, n): one small solve per fit, in parallel over fits."""
+def ridge_solve(gram: DataFrame, by: list[str], d: int | None, alphas: list[float], standardise: bool = False, relative: bool = False, min_rows: int = 0, n_targets: int = 1) -> DataFrame:
+    """(by, alpha, target, intercept, coef, n): one small solve per fit, in parallel over fits. Without ``d`` the number
+    of inputs follows from the size of each matrix and ``n_targets``."""
     keys = by or ["__one"]
     g = gram if by else gram.withColumn("__one", F.lit(1))
 
@@ -126,7 +127,8 @@ def ridge_solve(gram: DataFrame, by: list[str], d: int, alphas: list[float], sta
         if M[0, 0] < min_rows:
             raise ValueError(f"{M[0, 0]:.0f} rows left to fit on")
         key = tuple(pdf[k].iloc[0] for k in keys)
-        return pd.DataFrame(_rows(key, _ridge(M, d, alphas, standardise, relative), M[0, 0]), columns=[*keys, "alpha", "target", "intercept", "coef", "n", "score"])
+        k_in = d if d is not None else M.shape[0] - 1 - n_targets
+        return pd.DataFrame(_rows(key, _ridge(M, k_in, alphas, standardise, relative), M[0, 0]), columns=[*keys, "alpha", "target", "intercept", "coef", "n", "score"])
 
     out = g.groupBy(*keys).applyInPandas(run, _schema(g, keys)).drop("score")
     return out if by else out.drop("__one")

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed
 from .audit import verdict, verdict_union
-from .fit import fit_sets, gram_table, leave_out, predict, ridge_solve
+from .fit import fit_sets, gram_table, predict, ridge_solve
 from .resample import bootstrap_rows, percentile_ci, with_point
 from .selection import fold_by_row
 
@@ -14,59 +14,44 @@ MOMENTS = ["n", "sy", "syy", "sp", "spp", "spy"]
 
 
 # ---- predictions
-def _excluding(gram: DataFrame, block: str, blocks: DataFrame, event: str | None, width: int) -> DataFrame:
-    """Per scored block the cross products of all rows outside the block and outside the event's block; a block has
-    ``width`` squared positions."""
-    tot = gram.groupBy("pos").agg(F.sum("val").alias("__t"))
-    own = gram.select(F.col(block).alias("__b"), "pos", "val")
-    d = blocks.select(F.col(block).alias("__b"), F.explode(F.sequence(F.lit(0), F.lit(width * width - 1))).alias("pos"))
-    d = d.join(tot, "pos").join(own, ["__b", "pos"], "left")
-    val = F.col("__t") - F.coalesce(F.col("val"), F.lit(0.0))
-    if event is not None:
-        ev = gram.where(F.col(block) == event).select("pos", F.col("val").alias("__e"))
-        d = d.join(ev, "pos", "left")
-        val = val - F.when(F.col("__b") != event, F.coalesce(F.col("__e"), F.lit(0.0))).otherwise(0.0)
-    return d.select(F.col("__b").alias(block), "pos", val.alias("val"))
-
-
 def scope_predict(study: DataFrame, stages: list[str], y: list[str], scopes: list[str], block: str = "block", train: DataFrame | None = None, other: DataFrame | None = None,
                   frozen: list[str] | None = None, event: str | None = None, alpha: float = 1.0, standardise: bool = True, folds: int = 5, seed=0, min_rows: int = 50) -> DataFrame:
     """(scope, stage, unit_id, target, pred) of every study row.
 
     units: fit on the other blocks (the row's own block and the event's block left out); train: the system's training
     rows, likewise; other: another study; own: cross-fitted over rows dealt evenly inside blocks; frozen: a given output.
-    One cross-product table per stage and source serves all leave-out fits; fewer than ``min_rows`` rows fail."""
-    study = checkpointed(study)
-    blocks = checkpointed(study.select(block).distinct())
-    out = []
-    for stage in stages:
-        d = study.select(F.size(stage).alias("d")).first()[0]
-        base = study.select("unit_id", block, F.col(stage).alias("x"))
-        add = lambda scope, p: out.append(p.select(F.lit(scope).alias("scope"), F.lit(stage).alias("stage"), "unit_id", "target", "pred"))
-        m = 1 + d + len(y)
-        solve = lambda g, by: ridge_solve(g, by, d, [alpha], standardise, min_rows=min_rows)
-        if "units" in scopes:
-            g = checkpointed(gram_table(study, [block], stage, y))
-            add("units", predict(base, solve(_excluding(g, block, blocks, event, m), [block]), [block]))
-        if "train" in scopes:
-            if block in train.columns:
-                g = checkpointed(gram_table(train, [block], stage, y))
-                add("train", predict(base, solve(_excluding(g, block, blocks, event, m), [block]), [block]))
-            else:
-                add("train", predict(base, solve(gram_table(train, [], stage, y), []), []))
-        if "other" in scopes:
-            add("other", predict(base, solve(gram_table(other, [], stage, y), []), []))
-        if "own" in scopes:
-            f = checkpointed(fold_by_row(study, block, folds, seed))
-            g = leave_out(checkpointed(gram_table(f, ["fold"], stage, y)), "fold")
-            add("own", predict(f.select("unit_id", "fold", F.col(stage).alias("x")), solve(g, ["fold"]), ["fold"]))
+    One pass over all rows sums the cross products per (scope, stage, member); every leave-out fit is total minus own
+    minus the event's, and all fits are solved and applied together. Fewer than ``min_rows`` fit rows fail the job."""
+    study = checkpointed(fold_by_row(study, block, folds, seed))
+    b, none = F.col(block).cast("string"), F.lit("")
+    sides = {"units": (study, b), "own": (study, F.col("fold").cast("string")), "other": (other, none), "train": (train, b if train is not None and block in train.columns else none)}
+    fitted = [s for s in scopes if s != "frozen"]
+    per_stage = lambda d, extra: d.select(*extra, F.inline(F.array(*[F.struct(F.lit(s).alias("stage"), F.transform(s, lambda e: e.cast("double")).alias("x")) for s in stages])))
+    rows = None
+    for s in fitted:
+        d, member = sides[s]
+        r = per_stage(d, [F.lit(s).alias("scope"), member.alias("member"), *[F.col(c).cast("double").alias(c) for c in y]])
+        rows = r if rows is None else rows.unionByName(r)
+    g = checkpointed(gram_table(rows, ["scope", "stage", "member"], "x", y))
+    tot = g.groupBy("scope", "stage", "pos").agg(F.sum("val").alias("__t"))
+    # the models a study row can ask for: by block (units, train), by fold (own), one (other)
+    blocked = [s for s in fitted if s in ("units", "train")]
+    asked = F.array(*[F.struct(F.lit(s).alias("scope"), (b if s in blocked else F.col("fold").cast("string") if s == "own" else none).alias("member")) for s in fitted])
+    want = study.select(F.inline(asked)).distinct()
+    m = want.join(tot, "scope").join(g, ["scope", "stage", "member", "pos"], "left")
+    own = F.when(F.col("member") == "", 0.0).otherwise(F.coalesce(F.col("val"), F.lit(0.0)))
+    left = F.col("__t") - own
+    if event is not None:
+        ev = g.where((F.col("member") == event) & F.col("scope").isin(blocked)).select("scope", "stage", "pos", F.col("val").alias("__e"))
+        m = m.join(ev, ["scope", "stage", "pos"], "left")
+        left = left - F.when(F.col("member") != event, F.coalesce(F.col("__e"), F.lit(0.0))).otherwise(0.0)
+    c = ridge_solve(m.select("scope", "stage", "member", "pos", left.alias("val")), ["scope", "stage", "member"], None, [alpha], standardise, min_rows=min_rows, n_targets=len(y))
+    ask = per_stage(study.select("unit_id", *stages, F.inline(asked)), ["unit_id", "scope", "member"])
+    out = predict(ask, c, ["scope", "stage", "member"]).select("scope", "stage", "unit_id", "target", "pred")
     if "frozen" in scopes:
         t = F.array(*[F.struct(F.lit(j).alias("target"), F.col(c).cast("double").alias("pred")) for j, c in enumerate(frozen)])
-        out.append(study.select(F.lit("frozen").alias("scope"), F.lit("system").alias("stage"), "unit_id", F.inline(t)))
-    r = out[0]
-    for o in out[1:]:
-        r = r.unionByName(o)
-    return r
+        out = out.unionByName(study.select(F.lit("frozen").alias("scope"), F.lit("system").alias("stage"), "unit_id", F.inline(t)))
+    return out
 
 
 # ---- the statistic

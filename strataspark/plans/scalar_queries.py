@@ -249,8 +249,8 @@ def nudge(dv):
  (SELECT unit_id, feature, {nudge(0.1)} AS u, {nudge(-0.1)} AS d, {nudge(0.05)} AS hu, {nudge(-0.05)} AS hd FROM {EV})""")
 def _(i):
     e, s = edits_of(i)
-    f = D.nudge_flips(B.CLASSES, NP, B.BAR, 0.1)
-    return e.join(s, "unit_id").select("unit_id", "feature", C.nudge_class(f["up"], f["down"], f["half_up"], f["half_down"]).alias("nudge"))
+    f = D.nudge_flips(B.BAR, 0.1)
+    return D.edit_context(e, s, B.CLASSES, NP).select("unit_id", "feature", C.nudge_class(f["up"], f["down"], f["half_up"], f["half_down"]).alias("nudge"))
 
 
 @query("recover_counts", """, st AS (SELECT unit_id, feature, count, count * 0.37 AS v FROM counts), m AS (SELECT *, v / min(v) OVER (PARTITION BY unit_id) AS q FROM st WHERE v > 0)
