@@ -7,7 +7,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.draws import draw_key, uniform
-from .classify import argmax_class, scores_array, top_score
 
 
 # ---- questions (weighted criteria)

@@ -8,9 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.draws import draw_key
 from ..session import checkpointed
 
 COEF = "alpha double, target int, intercept double, coef array<double>, n double, score double"
@@ -384,7 +383,6 @@ def threshold_gmm(df: DataFrame, by: list[str], value: str, positive_only: bool
     aggregate per step, and the parameter table (one row per group) is cut from its lineage each time."""
     v = df.where(F.col(value) > 0) if positive_only else df
     h = checkpointed(v.groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c")))
-    from .ranking import weighted_quantile  # noqa: F401
     m0 = h.groupBy(*by).agg((F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("m"), F.sum("c").alias("n"), F.sum(F.col("x") * F.col("x") * F.col("c")).alias("q"))
     sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - F.col("m") * F.col("m"), F.lit(1e-12)))
     par = m0.select(*by, (F.col("m") - 0.75 * sd).alias("m1"), (F.col("m") + 0.75 * sd).alias("m2"), (sd * sd).alias("v1"), (sd * sd).alias("v2"), F.lit(0.5).alias("p2"), F.lit(None).cast("double").alias("ll"))

@@ -4,8 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.draws import draw_key
-from .audit import verdict, verdict_union
-from .resample import percentile_ci
+from .audit import verdict_union
 
 LEAK = {"pass": 0, "flag": 1, "unknown": 2, "fail": 3}
 

@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.draws import slot, uniform
+from ..functions.draws import slot
 from ..functions.vectors import dot, l2_normalise, minus
 from ..session import checkpointed
 from .ranking import group_percentile, hash_rank

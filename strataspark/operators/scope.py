@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed
-from .audit import verdict, verdict_union
+from .audit import verdict_union
 from .fit import fit_sets, gram_table, predict, ridge_solve
 from .resample import bootstrap_rows, percentile_ci, with_point
 from .selection import fold_by_row

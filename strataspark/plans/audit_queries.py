@@ -3,11 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.draws import uniform
-from ..operators import audit as A, decide as D, fit as X, metrics as M, pairs as K, resample as R, scope as SC, selection as S
+from ..operators import audit as A, decide as D, fit as X, resample as R, scope as SC, selection as S
 from ..session import checkpointed
 from . import bindings as B
-from .bindings import hash_key, hash_unit
+from .bindings import hash_key
 from .registry import query
 from .resample_queries import cluster_sql, slot_sql
 from .window_queries import STG, stage_table

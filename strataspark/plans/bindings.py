@@ -9,7 +9,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.draws import uniform
 from ..operators import classify, prepare
 from ..session import checkpointed
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
-from ..operators import ledger as L, prepare as P, scope as SC
+from ..operators import ledger as L, prepare as P
 from ..session import checkpointed
-from . import bindings as B
 from .bindings import hash_key, hash_unit
 from .registry import query
 from .audit_queries import union_sql

@@ -1,8 +1,6 @@
 """Queries over joins, nearest neighbours and pairs."""
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import functions as F
 
 from ..operators import classify as C, joins as J, metrics as M, pairs as K

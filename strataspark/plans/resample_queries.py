@@ -7,9 +7,8 @@ from ..operators import metrics as M, resample as R
 from ..session import checkpointed
 from . import bindings as B
 from .bindings import hash_key, hash_unit
-from .metric_queries import CALLED, CASE_TABLE, CASE_SUM_SQL, called_panel, case_table
+from .metric_queries import CALLED, CASE_TABLE, called_panel, case_table
 from .pair_queries import CP, DGAP, cross_of
-from .prepare_queries import CASES_SQL
 from .registry import query
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, l2_normalise, minus, norm
+from ..functions.vectors import l2_normalise, norm
 from ..operators import classify as C, decide as D, prepare as P
 from . import bindings as B
 from .bindings import hash_key, hash_unit
@@ -300,7 +300,6 @@ def _(i):
 @query("modality_mask", f"""SELECT unit_id, r OR NOT a AS keep_rna, a AS keep_adt, round(CASE WHEN (r OR NOT a) AND a THEN (z[1] + z[2]) / 2 WHEN r OR NOT a THEN z[1] ELSE z[2] END, 6) AS fused_mean,
  round(CASE WHEN r OR NOT a THEN z[1] ELSE z[2] END, 6) AS fused_priority FROM (SELECT unit_id, CAST(z AS DOUBLE[]) AS z, {hash_unit(23, "'rna'", 'unit_id')} >= 0.3 AS r, {hash_unit(23, "'adt'", 'unit_id')} >= 0.4 AS a FROM vectors)""")
 def _(i):
-    from ..functions.draws import draw_key  # noqa: F401
     d = i.vectors.select("unit_id", F.array(F.col("z")[0].cast("double")).alias("x"), F.array(F.col("z")[1].cast("double")).alias("y"))
     from ..functions.draws import uniform
     r, a = uniform(23, F.lit("rna"), "unit_id") >= 0.3, uniform(23, F.lit("adt"), "unit_id") >= 0.4

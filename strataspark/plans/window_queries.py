@@ -3,8 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify as C, decide as D, metrics as M, prepare as P, ranking as R, selection as S
-from . import bindings as B
+from ..operators import decide as D, metrics as M, prepare as P, ranking as R, selection as S
 from .bindings import hash_key, hash_unit
 from .metric_queries import TAUS
 from .registry import query

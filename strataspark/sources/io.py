@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType()), T.StructField("unit_id", T.LongType()), T.StructField("time", T.IntegerType()),
@@ -48,11 +48,6 @@ def write_mtx(df: DataFrame, path: str, n_row: int, n_col: int) -> None:
     body.write.mode("overwrite").text(f"{path}/1_body")
 
 
-def index_lines(df: DataFrame, order: str, out: str = "pos") -> DataFrame:
-    """0-based dense position of the lines of a (small) id file in the order of ``order``."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(order)).cast("long") - 1)
-
-
 # ---- feature tables, events
 def read_feature_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("sep", "\t").schema(schema).csv(path)

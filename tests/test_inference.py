@@ -225,3 +225,63 @@ def test_conflicts_need_both_sides(spark):
     e = e.select("*", F.lit("y").alias("readout"), F.lit("units").alias("scope"), F.lit("shift").alias("target"), F.lit(0.1).alias("u"), F.lit("c").alias("context"))
     got = L.ledger_conflicts(e).collect()
     assert [(r.run_support, r.run_reject, r.differ_in) for r in got] == [("r1", "r2", "source_site")]
+
+
+# ---- fits whose queries have no SQL form
+def test_score_terms_and_shift_equal_numpy(spark):
+    p, V, Y, d = rows_of(spark)
+    pr = pd.DataFrame([(f, int(u), t, float(Y[u, t] * w + V[u, 0])) for f, w in (("P", 1.0), ("Q", 0.2)) for u in p.unit_id for t in (0, 1)], columns=["fit", "unit_id", "target", "pred"])
+    s = {(r.group_id, r.term): r.point for r in SC.score_terms(spark.createDataFrame(pr), d, ["y1", "y2"], {"gain": ("P", "Q")}, 3, 0, 0.05).collect()}
+    w = pr.merge(p[["unit_id", "group_id"]], on="unit_id")
+    w["y"] = Y[w.unit_id, w.target]
+    r = w.groupby(["group_id", "fit", "target"])[["y", "pred"]].apply(lambda x: np.corrcoef(x.y, x.pred)[0, 1]).groupby(["group_id", "fit"]).mean()
+    for g in p.group_id.unique():
+        assert np.isclose(s[(g, "P")], r[g, "P"]) and np.isclose(s[(g, "gain")], r[g, "P"] - r[g, "Q"])
+    u = {(x.group_id, x.fit): x.u for x in SC.group_shift_u(spark.createDataFrame(pr), d, ["y1", "y2"]).collect()}
+    for g in ("d0", "d4"):
+        me = (p.group_id == g).values
+        sd = Y.std(0)
+        P = np.c_[[pr[(pr.fit == "Q") & (pr.target == t)].set_index("unit_id").pred[p.unit_id].values for t in (0, 1)]].T
+        dy, dp = (Y[me].mean(0) - Y[~me].mean(0)) / sd, (P[me].mean(0) - P[~me].mean(0)) / sd
+        assert np.isclose(u[(g, "Q")], np.linalg.norm(dy - dp) / np.linalg.norm(dy))
+
+
+def test_svd_scores_equal_numpy(spark):
+    rng = np.random.default_rng(0)
+    M = rng.poisson(1.0, (60, 7)).astype(float)
+    v = spark.createDataFrame([(i, j, M[i, j]) for i in range(60) for j in range(7) if M[i, j]], "unit_id long, pos int, value double")
+    got = X.svd_components(v, 7, 2).toPandas().set_index("unit_id").x
+    U, S_, _ = np.linalg.svd(M, full_matrices=False)
+    ids = got.index.values
+    assert np.allclose(np.abs(np.stack(got.values)), np.abs(U[ids, :2] * S_[:2]))
+
+
+def test_random_features_approximate_the_kernel(spark):
+    p, V, Y, d = rows_of(spark, 60)
+    f = X.random_fourier_features(d, d, 4000, 3).toPandas().sort_values("unit_id")
+    Z = np.stack(f.x.to_numpy())
+    assert np.allclose(Z[:, :3], V)
+    D = ((V[:, None] - V[None]) ** 2).sum(-1)
+    med = np.median(D[np.triu_indices(60, 1)])
+    assert np.abs(Z[:, 3:] @ Z[:, 3:].T - np.exp(-D / med)).max() < 0.12
+    again = np.stack(X.random_fourier_features(d.repartition(3), d.repartition(5), 4000, 3).toPandas().sort_values("unit_id").x.to_numpy())
+    assert np.allclose(again, Z)
+
+
+def test_logistic_probe_separates_and_falls_back(spark):
+    p, V, Y, d = rows_of(spark)
+    d = d.withColumn("cls", F.when(F.col("x")[0] > 0, "up").otherwise("down"))
+    tr, va, te = (d.where(F.col("fold") == k) for k in (0, 1, 2))
+    r = X.logistic_probe(tr, va, te, "cls", [0.01, 100.0]).toPandas()
+    assert (r.call == r.label).mean() > 0.93
+    one = X.logistic_probe(tr.where("cls = 'up'"), va, te, "cls", [1.0]).toPandas()
+    assert (one.call == "up").all() and (one.confidence == 1.0).all()
+    c = X.label_cost_curve(tr, te, "cls", [20, 80], [0]).toPandas().set_index("n").accuracy
+    assert c[80] >= c[20] - 0.05
+    assert X.labels_needed(X.label_cost_curve(tr, te, "cls", [80], [0]), 0.5).first().n_labels == 80
+
+
+def test_boosted_residuals_are_out_of_fold(spark):
+    p, V, Y, d = rows_of(spark, 200)
+    r = X.crossfit(d.withColumn("fold", F.col("fold") % 2), "y1", 2, {"regressor": "boosted", "max_iter": 5}, "m").toPandas()
+    assert len(r) == 200 and np.corrcoef(r.y1, r.pred)[0, 1] > 0.5

@@ -1,6 +1,5 @@
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from strataspark.operators import joins as J, metrics as M, pairs as K
 
