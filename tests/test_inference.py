@@ -249,7 +249,7 @@ def test_score_terms_and_shift_equal_numpy(spark):
 def test_svd_scores_equal_numpy(spark):
     rng = np.random.default_rng(0)
     M = rng.poisson(1.0, (60, 7)).astype(float)
-    v = spark.createDataFrame([(i, j, M[i, j]) for i in range(60) for j in range(7) if M[i, j]], "unit_id long, pos int, value double")
+    v = spark.createDataFrame([(i, j, float(M[i, j])) for i in range(60) for j in range(7) if M[i, j]], "unit_id long, pos int, value double")
     got = X.svd_components(v, 7, 2).toPandas().set_index("unit_id").x
     U, S_, _ = np.linalg.svd(M, full_matrices=False)
     ids = got.index.values
