@@ -1,4 +1,4 @@
-"""Runs registered queries against their SQL in DuckDB: python tools/check_oracle.py [sf_dir] [name-or-prefix ...]"""
+"""Runs registered queries against their SQL in DuckDB: python tools/check_oracle.py [sf_dir] [name or prefix* ...]"""
 from __future__ import annotations
 
 import glob
@@ -64,7 +64,7 @@ def main(argv: list[str]) -> int:
     spark, con = local_session(), connect(sf)
     bad = 0
     for name, fn in catalogue.QUERIES.items():
-        if pick and not any(name.startswith(p) for p in pick):
+        if pick and name not in pick and not any(name.startswith(p.rstrip("*")) for p in pick if p.endswith("*")):
             continue
         t = time.time()
         try:
