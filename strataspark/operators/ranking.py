@@ -18,6 +18,11 @@ from ..functions.draws import draw_key
 from ..session import checkpointed
 
 
+def _conf(df: DataFrame, name: str, default: int) -> int:
+    """Bucket counts of a session: raise them with the data (``spark.strataspark.rankDigits``, ``.rankEdges``)."""
+    return int(df.sparkSession.conf.get(f"spark.strataspark.{name}", str(default)))
+
+
 def _offsets(df: DataFrame, by: list[str], bucket: list[str], sums: dict[str, Column]) -> DataFrame:
     """Per (group, bucket): totals of all earlier buckets of the group (one small row per bucket)."""
     per = df.groupBy(*by, *bucket).agg(*[e.alias(f"__s_{n}") for n, e in sums.items()])
@@ -37,15 +42,17 @@ def _rank_in_buckets(df: DataFrame, by: list[str], bucket: list[str], order: lis
     return d.drop("__rn", "__o_n", *[f"__o_{n}" for n in sums], *bucket)
 
 
-def hash_rank(df: DataFrame, by: list[str], seed, keys: list[str], out: str = "rank", digits: int = 2) -> DataFrame:
-    """1..n inside each group of ``by`` in the order of md5(seed|keys); buckets are hash prefixes."""
+def hash_rank(df: DataFrame, by: list[str], seed, keys: list[str], out: str = "rank", digits: int | None = None) -> DataFrame:
+    """1..n inside each group of ``by`` in the order of md5(seed|keys); buckets are hash prefixes of ``digits`` hex digits."""
+    digits = digits or _conf(df, "rankDigits", 2)
     d = df.withColumn("__h", draw_key(seed, *keys)).withColumn("__b", F.substring("__h", 1, digits))
     return _rank_in_buckets(d, by, ["__b"], ["__h", *keys], out, {}).drop("__h")
 
 
-def top_n_by_hash(df: DataFrame, by: list[str], seed, keys: list[str], n: int, digits: int = 2) -> DataFrame:
+def top_n_by_hash(df: DataFrame, by: list[str], seed, keys: list[str], n: int, digits: int | None = None) -> DataFrame:
     """First ``n`` rows per group in seeded order, without numbering the rest: first per hash
     bucket, then per group (exact: a row of the answer is among the first n of its bucket)."""
+    digits = digits or _conf(df, "rankDigits", 2)
     d = df.withColumn("__h", draw_key(seed, *keys)).withColumn("__b", F.substring("__h", 1, digits))
     inner = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", *keys))
     d = d.withColumn("__rn", inner).where(F.col("__rn") <= n)
@@ -61,7 +68,7 @@ def sort_key(value: Column, descending: bool = True, missing_last: bool = True)
 
 
 def value_rank(df: DataFrame, by: list[str], value, seed, keys: list[str], out: str = "rank",
-               descending: bool = True, sums: dict[str, str] | None = None, sample_digits: int = 3, n_edges: int = 255) -> DataFrame:
+               descending: bool = True, sums: dict[str, str] | None = None, sample_digits: int = 3, n_edges: int | None = None) -> DataFrame:
     """1..n inside each group of ``by`` in the order of ``value`` (ties in seeded order of ``keys``);
     ``sums`` adds, per ``new: col``, the sum of ``col`` over all rows up to and including this one.
 
@@ -69,6 +76,7 @@ def value_rank(df: DataFrame, by: list[str], value, seed, keys: list[str], out:
     Buckets are value ranges whose edges are exact quantiles of a hash-chosen sample (a pure function
     of the data, hence stable over recomputation). A value that is itself an edge is a bucket of its
     own, split further by hash prefix, so a score shared by very many rows spreads as well."""
+    n_edges, digits = n_edges or _conf(df, "rankEdges", 255), _conf(df, "rankDigits", 2)
     d = (df.withColumn("__k", sort_key(F.col(value) if isinstance(value, str) else value, descending))
            .withColumn("__h", draw_key(seed, *keys)))
     d = checkpointed(d)
@@ -78,7 +86,7 @@ def value_rank(df: DataFrame, by: list[str], value, seed, keys: list[str], out:
     d = d.withColumn("__e", edges.scalar())
     d = (d.withColumn("__p", F.size(F.filter("__e", lambda e: e < F.col("__k"))))
           .withColumn("__q", F.array_contains("__e", F.col("__k")) | (F.col("__k") == float("inf")))
-          .withColumn("__s", F.when(F.col("__q"), F.substring("__h", 1, 2)).otherwise(F.lit("")))
+          .withColumn("__s", F.when(F.col("__q"), F.substring("__h", 1, digits)).otherwise(F.lit("")))
           .drop("__e"))
     return _rank_in_buckets(d, by, ["__p", "__q", "__s"], ["__k", "__h", *keys], out, sums or {}).drop("__k", "__h")
 

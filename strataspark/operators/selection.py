@@ -111,8 +111,9 @@ def usable_folds(df: DataFrame, cluster: str, treated: str, k: int, seed: int, t
     return ok.groupBy("fold_seed").agg(F.bool_and("ok").alias("ok")).where("ok").agg(F.min("fold_seed").alias("fold_seed"))
 
 
-def hash_rank_col(df: DataFrame, by: list[str], h: str, keys: list[str], digits: int = 2) -> DataFrame:
-    from .ranking import _rank_in_buckets
+def hash_rank_col(df: DataFrame, by: list[str], h: str, keys: list[str]) -> DataFrame:
+    from .ranking import _conf, _rank_in_buckets
+    digits = _conf(df, "rankDigits", 2)
     return _rank_in_buckets(df.withColumn("__b", F.substring(h, 1, digits)), by, ["__b"], [h, *keys], "__r", {}).drop(h)
 
 
