@@ -1,6 +1,7 @@
 """Queries over scalar, array and map functions and over re-decisions under edits."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalise, norm
@@ -137,20 +138,19 @@ def _(i):
 FLD = D.Field()
 
 
-def star(n: int, values: list[str]) -> str:
-    """SQL of the field written out tick by tick as text is long; the gain of a unit total is a constant of n"""
-    a, e = 0.0, [0.0] * n
-    for t in range(5):
-        na = 0.82 * a
-        ne = [0.82 * x + (1.0 if t == 0 else 0.0) for x in e]
-        a, e = na + 0.16 * sum(ne), [x + 0.16 * 0.15 * na for x in ne]
-    return repr(a / n)
+def star(n: int, ticks: int = 5, injected: int | None = None) -> float:
+    """Action state per unit injected, from the full (1 + n)-site update matrix (the operator uses a 2 x 2 one)."""
+    m = injected or n
+    T = 0.82 * np.eye(n + 1)
+    T[0, 1:], T[1:, 0] = 0.16 * 0.82, 0.16 * 0.15 * 0.82
+    start = np.r_[0.16 * m, np.ones(m), np.zeros(n - m)]
+    return float((np.linalg.matrix_power(T, ticks - 1) @ start)[0] / m)
 
 
-G2 = star(2, [])
+G2 = star(2)
 
 
-@query("linear_field_score", f"SELECT unit_id, round(A * 2 * {G2}, 6) AS A, round(B * 2 * {G2}, 6) AS B, round(C * 2 * {G2}, 6) AS C, call FROM calls")
+@query("linear_field_score", f"SELECT unit_id, round(A * 2 * {G2!r}::DOUBLE, 6) AS A, round(B * 2 * {G2!r}::DOUBLE, 6) AS B, round(C * 2 * {G2!r}::DOUBLE, 6) AS C, call FROM calls")
 def _(i):
     """field scores call exactly where the rule does when the bar is scaled by the same gain"""
     s = D.field_scores(i.evidence, B.PANEL, FLD)
@@ -182,23 +182,12 @@ def _(i):
     return d.select("unit_id", *[x.alias(f"mean_{c}") for x, c in zip(m, B.CLASSES)], *[x.alias(f"trust_{c}") for x, c in zip(t, B.CLASSES)])
 
 
-def resp(n: int, ticks: int) -> float:
-    a, e = 0.0, [0.0] * n
-    for t in range(ticks):
-        na = 0.82 * a
-        ne = [0.82 * x for x in e]
-        if t == 0:
-            ne[0] += 1.0
-        a, e = na + 0.16 * sum(ne), [x + 0.16 * 0.15 * na for x in ne]
-    return a
-
-
 ARGA = "CASE WHEN {0}_A >= {0}_B AND {0}_A >= {0}_C THEN 'A' WHEN {0}_B >= {0}_C THEN 'B' ELSE 'C' END"
 
 
 def fuse_sql(c):
     ha, hb = f"(ta <> '{c}')", f"(tb <> '{c}')"
-    r = lambda m: f"(CASE {ha}::INT + {hb}::INT " + " ".join(f"WHEN {x} THEN {resp(4 + x, m)!r}::DOUBLE" for x in range(3)) + " END)"
+    r = lambda m: f"(CASE {ha}::INT + {hb}::INT " + " ".join(f"WHEN {x} THEN {star(4 + x, m, 1)!r}::DOUBLE" for x in range(3)) + " END)"
     return (f"round({r(6)} * (1.0 * 2 * a_{c} - CASE WHEN {ha} THEN 0.5 * greatest(a_A, a_B, a_C) ELSE 0 END) + {r(5)} * (0.8 * 2 * b_{c} - CASE WHEN {hb} THEN 0.8 * 0.5 * greatest(b_A, b_B, b_C) ELSE 0 END), 6) AS {c}")
 
 
@@ -207,7 +196,7 @@ def _(i):
     return two_channels(i).select("unit_id", *D.fuse_field(B.CLASSES, {c: 2 for c in B.CLASSES}, FLD, (1.0, 0.8), delay=1))
 
 
-RHO = f"({star(1, [])} / {G2})"
+RHO = f"({star(1)!r}::DOUBLE / {G2!r}::DOUBLE)"
 LOO = ", lo AS (SELECT c.*, t.vt, CASE call WHEN 'A' THEN A WHEN 'B' THEN B ELSE C END AS own, CASE call WHEN 'A' THEN greatest(B, C) WHEN 'B' THEN greatest(A, C) ELSE greatest(A, B) END AS other FROM calls c JOIN (SELECT e.unit_id, max(v) AS vt FROM calls c JOIN (SELECT *, " + B._case("feature", B.F2C) + " AS fc FROM evidence) e ON c.unit_id = e.unit_id AND c.call = fc GROUP BY 1) t USING (unit_id))"
 
 

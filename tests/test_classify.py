@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,14 +77,13 @@ def test_nudge_and_lost(spark):
     assert got == [(True, "decision"), (True, "head"), (True, "representation"), (False, "decision")]
 
 
-def test_field_equals_tick_by_tick_replay():
+def test_field_equals_the_full_site_matrix():
     f = D.Field()
     for n in (1, 2, 3, 5):
-        a, e = 0.0, [0.0] * n
-        for t in range(f.steps + 1):
-            na, ne = f.retention * a, [f.retention * x + (1.0 if t == 0 else 0.0) for x in e]
-            a, e = na + f.diffusion * sum(ne), [x + f.diffusion * f.feedback_weight * na for x in ne]
-        assert math.isclose(f.gain(n), a / n) and math.isclose(f.response(n, f.steps + 1)[1] * n, sum(e))
+        T = f.retention * np.eye(n + 1)
+        T[0, 1:], T[1:, 0] = f.diffusion * f.retention, f.diffusion * f.feedback_weight * f.retention
+        s = np.linalg.matrix_power(T, f.steps) @ np.r_[f.diffusion * n, np.ones(n)]
+        assert math.isclose(f.gain(n), s[0] / n) and math.isclose(f.response(n, f.steps + 1)[1] * n, s[1:].sum())
     assert f.deletion_ratio(1) == 1.0 and 0.99 < f.deletion_ratio(3) < 1.0
 
 
