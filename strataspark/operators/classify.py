@@ -6,6 +6,8 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import fixed
+
 
 def _any(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols)
@@ -16,7 +18,7 @@ def _all(cols: list[Column]) -> Column:
 
 
 # ---- predicates and labels
-def split_by_modality(df: DataFrame, column: str, rna: str = "GEX|Gene Expression|RNA", adt: str = "ADT|Antibody|Protein") -> DataFrame:
+def split_by_modality(df: DataFrame, column: str, rna: str = fixed.RNA_PATTERN, adt: str = fixed.ADT_PATTERN) -> DataFrame:
     """'rna' / 'adt' / NULL by case-insensitive patterns"""
     c = F.col(column)
     return df.withColumn("modality", F.when(c.rlike(f"(?i){rna}"), "rna").when(c.rlike(f"(?i){adt}"), "adt"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field as dc_field
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import fixed
 from ..functions.draws import draw_key, uniform
 
 
@@ -86,12 +87,12 @@ def modality_reliability(mask: str, table: dict[str, float]) -> Column:
 @dataclass
 class Field:
     """A star of n event sites around one action site; weights of the two edge directions are fixed values."""
-    steps: int = 4
-    retention: float = 0.82
-    diffusion: float = 0.16
-    source_scale: float = 1.0
-    forward_weight: float = 1.0
-    feedback_weight: float = 0.15
+    steps: int = fixed.FIELD_STEPS
+    retention: float = fixed.FIELD_RETENTION
+    diffusion: float = fixed.FIELD_DIFFUSION
+    source_scale: float = fixed.FIELD_SOURCE_SCALE
+    forward_weight: float = fixed.FIELD_FORWARD_WEIGHT
+    feedback_weight: float = fixed.FIELD_FEEDBACK_WEIGHT
 
     def response(self, n: int, ticks: int, propagate: bool = True) -> tuple[float, float]:
         """(action state, sum of event states) after ``ticks`` updates for a unit total injected at the first one.
@@ -141,7 +142,7 @@ def fuse(classes: list[str], how: str, trust: tuple[float, float] = (1.0, 1.0),
 
 
 def fuse_field(classes: list[str], n_panel: dict[str, int], fld: Field, scale: tuple[float, float], delay: int = 0, contradiction: bool = True,
-               factor: float = 0.5, a: str = "a_", b: str = "b_") -> list[Column]:
+               factor: float = fixed.CONTRADICTION_FACTOR, a: str = "a_", b: str = "b_") -> list[Column]:
     """Field scores of two channels: supports s * n * S and, from each channel, one contradiction of half its top score
     against every other class. The response constant depends on the number of sites of a class (2n, 2n + 1 or 2n + 2)."""
     total = fld.steps + 1 + max(0, delay)
@@ -214,7 +215,7 @@ def nudge_flips(bar: float, eps: float) -> dict[str, Column]:
 
 
 # ---- perturbed counts
-def recover_counts(stored: DataFrame, value: str, abs_tol: float = 1e-3, rel_tol: float = 4e-7) -> DataFrame:
+def recover_counts(stored: DataFrame, value: str, abs_tol: float = fixed.COUNT_TOL_ABS, rel_tol: float = fixed.COUNT_TOL_REL) -> DataFrame:
     """count = value / smallest positive value of the unit, rounded; ratio of the deviation to its tolerance."""
     unit = F.min(F.when(F.col(value) > 0, F.col(value))).over(Window.partitionBy("unit_id"))
     q = F.col(value) / unit
@@ -264,7 +265,7 @@ def scale_feature(values: DataFrame, feature: str, eps: list[float], max_len: in
 
 
 # ---- responses of vectors
-def linearity(d_eps: str, d_half: str, floor: Column, rho_tol: float = 0.1, min_cos: float = 0.9, floor_mult: float = 3.0) -> dict[str, Column]:
+def linearity(d_eps: str, d_half: str, floor: Column, rho_tol: float = fixed.RHO_TOLERANCE, min_cos: float = fixed.MIN_COSINE, floor_mult: float = fixed.FLOOR_MULTIPLE) -> dict[str, Column]:
     from ..functions.vectors import dot, norm
     na, nb = norm(d_eps), norm(d_half)
     rho = F.when(nb > 0, na / (2 * nb))

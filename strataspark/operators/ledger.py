@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import fixed
 from ..functions.draws import draw_key
 from .audit import verdict_union
 
-LEAK = {"pass": 0, "flag": 1, "unknown": 2, "fail": 3}
+LEAK = fixed.LEAK_ORDER
 
 
 def worst_status(cols: list[str]) -> Column:
@@ -66,7 +67,7 @@ def admission_share(applied: DataFrame, n_cells: Column | int, sites: list[str],
     return grid.join(applied.groupBy("site", "channel").agg(F.sum("n").alias("k")), ["site", "channel"], "left").select("site", "channel", (F.coalesce(F.col("k"), F.lit(0)) / n).alias("share"))
 
 
-def contrast_rules(specs: DataFrame, kinds: list[str] = ["donor", "batch", "study", "disease", "condition"], min_units: int = 10) -> DataFrame:
+def contrast_rules(specs: DataFrame, kinds: list[str] = fixed.CONTRAST_KINDS, min_units: int = fixed.MIN_UNITS) -> DataFrame:
     """C1-C6 on a table of contrasts: name, kind, label_basis, confounded_with (array or NULL), study, control_study, treated
     (array), n_control, pooled_site (pooling of sites declared)."""
     k, n = F.col("kind"), F.size("treated")

@@ -3,19 +3,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import fixed
 from ..session import checkpointed
 from .audit import verdict_union
 from .fit import fit_sets, gram_table, predict, ridge_solve
 from .resample import bootstrap_rows, percentile_ci, with_point
 from .selection import fold_by_row
 
-ORDER = ["frozen", "train", "units", "own"]     # each scope may use everything the one before it may
+ORDER = fixed.SCOPE_ORDER                         # each scope may use everything the one before it may
 MOMENTS = ["n", "sy", "syy", "sp", "spp", "spy"]
 
 
 # ---- predictions
 def scope_predict(study: DataFrame, stages: list[str], y: list[str], scopes: list[str], block: str = "block", train: DataFrame | None = None, other: DataFrame | None = None,
-                  frozen: list[str] | None = None, event: str | None = None, alpha: float = 1.0, standardise: bool = True, folds: int = 5, seed=0, min_rows: int = 50) -> DataFrame:
+                  frozen: list[str] | None = None, event: str | None = None, alpha: float = 1.0, standardise: bool = True, folds: int = 5, seed=0, min_rows: int = fixed.MIN_FIT_ROWS) -> DataFrame:
     """(scope, stage, unit_id, target, pred) of every study row.
 
     units: fit on the other blocks (the row's own block and the event's block left out); train: the system's training
@@ -81,7 +82,7 @@ def drawn_moments(sums: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame
                     (F.col("spy") / n - F.col("sp") * F.col("sy") / n / n).alias("cpy"), (F.col("syy") / n - (F.col("sy") / n) ** 2).alias("vy"))
 
 
-def u_shift(moments: DataFrame, by: list[str], min_rows: int = 20) -> DataFrame:
+def u_shift(moments: DataFrame, by: list[str], min_rows: int = fixed.MIN_SIDE_ROWS) -> DataFrame:
     """(by, draw, u, slope): a = slope of y on p in controls; u = 1 - a dP / dY with one target, the norm ratio in control
     SD with several. Fewer than ``min_rows`` rows on a side fail."""
     side = lambda s, c: F.max(F.when(F.col("a") == s, F.col(c)))
