@@ -4,10 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on everything that its predeces
 rows as Parquet in the cluster's shared folder and reads them again as the next one's documents."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from strataspark.llm import language, minhash
-from strataspark.llm.common import filter_documents, table
+from strataspark.llm import decontaminate, language, minhash, packing, secret_scan
+from strataspark.llm.common import filter_documents, replace_texts, table
+from strataspark.llm.queries import tokenizer_path
 from strataspark.session import scratch_dir
 
 
@@ -23,7 +24,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti")
 
 
-STAGES = [("language", language_stage), ("near_duplicates", near_duplicate_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share ten consecutive words with an item of the benchmark go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced by a mark, and n_chars follows."""
+    return replace_texts(docs, "text", lambda texts: [secret_scan.redact(t) for t in texts], n_chars="n_chars")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences of at most 1024 tokens."""
+    return packing.best_fit(docs, tokenizer_path(), end_id=2, capacity=1024)
+
+
+STAGES = [("language", language_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("secrets", secret_stage), ("packing", packing_stage)]
 #: Tokenizers, trained models and graph search have no SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
