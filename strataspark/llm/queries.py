@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, license_scan, media, minhash, packing, pii, secret_scan, sharding
+from . import decontaminate, language, license_scan, media, minhash, packing, pii, secret_scan, sharding, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_winnowing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), width=100)
