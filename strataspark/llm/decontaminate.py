@@ -248,7 +248,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc
                 best.append(min(zip(ids[shard.text[p]].tolist(), shard.word[p].tolist())))
             item_start = np.searchsorted(t.item, t.item[ok])
             return {"item_id": [t.names[i] for i in t.item[ok]], "at": t.at[ok] - t.at[item_start], "length": length[ok], "doc_id": [x for x, _ in best], "word": [y for _, y in best]}
-        part = map_documents(documents(docs, doc_id, text), text, "item_id string, at long, length long, doc_id long, word long", run)
+        part = map_documents(documents(docs, doc_id, text).where(F.col(f"`{doc_id}`").isNotNull()), text, "item_id string, at long, length long, doc_id long, word long", run)
         part = part if last and found is None else checkpointed(part)
         found = part if found is None else found.unionByName(part)
     top = found.groupBy("item_id", "at").agg(F.max(F.struct("length", (-F.col("doc_id")).alias("d"), (-F.col("word")).alias("w"))).alias("m"))

@@ -13,7 +13,8 @@ can hold a repeated window.
 3. A bucket with very many different runs is split by the hash of its windows, whose first places are plain minima.
 
 Memory in a task follows the block size, not the bucket or the document. Null texts count as empty; texts shorter than
-``width`` bytes lose nothing. Rows with the same id are taken as one document. Only the id and text columns are read."""
+``width`` bytes lose nothing. Rows with the same id are taken as one document, and rows
+without an id neither lose bytes nor count as earlier. Only the id and text columns are read."""
 from __future__ import annotations
 
 import hashlib
@@ -357,7 +358,7 @@ def _sorted_marks(rows: DataFrame, width: int) -> DataFrame:
 
 def repeated_stretches(docs: DataFrame, width: int = 100) -> DataFrame:
     """Marks (id, start, end) over documents (id, text): every removed byte lies in one at least."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.where("id is not null")
     folder = f"{scratch_dir(spark)}/runs"
     _settle(_first_pass(docs, width), width).write.parquet(folder)
     settled = spark.read.parquet(folder)
