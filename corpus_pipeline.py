@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataspark.llm import decontaminate, language, minhash, packing, secret_scan
 from strataspark.llm.common import filter_documents, replace_texts, table
-from strataspark.llm.queries import tokenizer_path
+from strataspark.llm.queries import ranks_path, tokenizer_path
 from strataspark.session import scratch_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go."""
     model = language.train(docs)
-    return filter_documents(docs, "text", lambda texts: [x != "und" for x in language.predict(texts, model)[0]])
+    return filter_documents(docs, "text", lambda texts: [x != "und" for x in language.predict(texts, model)[0]], language.BLOCK)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences of at most 1024 tokens."""
-    return packing.best_fit(docs, tokenizer_path(), end_id=2, capacity=1024)
+    return packing.best_fit(docs, tokenizer_path(), ranks=ranks_path(), end_id=2, capacity=1024)
 
 
 STAGES = [("language", language_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("secrets", secret_stage), ("packing", packing_stage)]

@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def ranks_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def query(name: str, sql: str | None = None):
     def wrap(fn):
         QUERIES[name] = fn
@@ -69,7 +74,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_minimum_slack_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, capacity=1024)
+    return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer_path(), ranks=ranks_path(), end_id=2, capacity=1024)
 
 
 @query("op8_secret_novelty")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest_llm import frame, odd_rows, words
 from strataspark.llm import decontaminate, minhash, packing, sharding, suffix_dedup
-from strataspark.llm.queries import tokenizer_path
+from strataspark.llm.queries import ranks_path, tokenizer_path
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -176,13 +176,14 @@ def test_cover():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
 
 
-def test_encoder_equals_tokenizer(rng):
+@pytest.mark.parametrize("ranked", [False, True])
+def test_encoder_equals_tokenizer(rng, ranked):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
     tok.encode_special_tokens = True
-    parts = ["word", "don't", " ", "  ", "\n", " \n", "\t", "é", "漢字", "123", "...", "_", "\xa0", " ", "\x1c", "\x85", "A", "'s", "<|endoftext|>", "\U0001f600"]
+    parts = ["word", "don't", " ", "  ", "\n", " \n", "\t", "é", "漢字", "123", "...", "_", "\xa0", " ", "\x1c", "\x85", "A", "'s", "<|endoftext|>", "\U0001f600", "Schön", "ñandú", "x²", "ð×þ", "Ğı"]
     texts = ["", " ", "a b", " a", "a "] + ["".join(rng.choices(parts, k=12)) for _ in range(3000)] + [words(rng, 50) for _ in range(50)]
-    got = packing.Encoder(tokenizer_path())(texts)
+    got = packing.Encoder(tokenizer_path(), ranks_path() if ranked else None)(texts, {})
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -190,7 +191,7 @@ def test_packing(spark, rng):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
     rows = [*odd_rows(rng), *[(100 + i, words(rng, rng.randint(1, 900))) for i in range(150)]]
-    got = packing.best_fit(frame(spark, rows), tokenizer_path()).collect()
+    got = packing.best_fit(frame(spark, rows), tokenizer_path(), ranks=ranks_path()).collect()
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows if i != 8 and i is not None}
     per_doc, per_seq = {}, {}
     for r in got:
