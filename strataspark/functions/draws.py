@@ -18,8 +18,8 @@ def draw_key(seed, *parts) -> Column:
 
 
 def uniform(seed, *parts) -> Column:
-    """Uniform in [0, 1): the first 8 hex digits over 2^32."""
-    return F.conv(F.substring(draw_key(seed, *parts), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """Uniform in [0, 1): the first 13 hex digits over 2^52, which a double holds exactly."""
+    return F.conv(F.substring(draw_key(seed, *parts), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
 def slot(n, seed, *parts) -> Column:
@@ -28,7 +28,7 @@ def slot(n, seed, *parts) -> Column:
 
 
 def poisson1(u: Column, tail: int = 12) -> Column:
-    """Poisson(1) count of a uniform by inversion (exact up to 2^-32, the draw's own resolution)."""
+    """Poisson(1) count of a uniform by inversion (exact up to 2^-52, the draw's own resolution)."""
     p, c, out = 0.36787944117144233, 0.0, F.lit(0)
     for k in range(tail):
         c += p

@@ -107,18 +107,18 @@ def keyword_label(column: str, rules: list[tuple[str, list[str]]], other: str =
     return out.otherwise(other)
 
 
-def map_to_vocab(features: DataFrame, vocab: DataFrame, min_mapped: int = 100) -> DataFrame:
-    """(feature, id) of features in the vocabulary; when fewer than ``min_mapped`` map, ids are compared
-    without their version suffix; when that is too few as well the job fails. Both tables are bounded by
-    the number of features of a study; Spark picks the join."""
+def map_to_vocab(features: DataFrame, vocab: DataFrame, strip_version: bool = False, min_mapped: int = 100) -> DataFrame:
+    """(feature, id, n_as_is, n_stripped) of features in the vocabulary, compared as they are or, where ``strip_version``
+    is declared, without their version suffix. Both numbers of hits are reported; fewer than ``min_mapped`` hits of
+    the declared kind fail the job. Spark picks the joins."""
     v = vocab.select("id").distinct()
     bare = F.split("feature", "\\.")[0]
     hits = lambda c: features.select("feature", c.alias("id")).join(v, "id", "left_semi")
     n1 = hits(F.col("feature")).agg(F.count(F.lit(1)).alias("n")).scalar()
     n2 = hits(bare).agg(F.count(F.lit(1)).alias("n")).scalar()
-    pick = F.when(n1 >= min_mapped, F.col("feature")).when(n2 >= min_mapped, bare).otherwise(
-        F.raise_error(F.lit("too few features map to the vocabulary")).cast("string"))
-    return features.select("feature", pick.alias("id")).join(v, "id", "left_semi")
+    enough = (n2 if strip_version else n1) >= min_mapped
+    pick = F.when(enough, bare if strip_version else F.col("feature")).otherwise(F.raise_error(F.lit("too few features map to the vocabulary")).cast("string"))
+    return features.select("feature", pick.alias("id")).join(v, "id", "left_semi").withColumn("n_as_is", n1).withColumn("n_stripped", n2)
 
 
 def target_from_guides(guides: str, pattern: str, controls: list[str], sep: str = ";") -> Column:

@@ -64,25 +64,26 @@ def _matrix(pos, val) -> np.ndarray:
 
 
 def _ridge(M: np.ndarray, d: int, alphas: list[float], standardise: bool, relative: bool) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """(alpha, intercepts, coefficients d x R) for every penalty from one eigendecomposition."""
-    n = M[0, 0]
-    mx, my = M[0, 1:d + 1] / n, M[0, d + 1:] / n
-    G = M[1:d + 1, 1:d + 1] - n * np.outer(mx, mx)
-    C = M[1:d + 1, d + 1:] - n * np.outer(mx, my)
-    s = np.ones(d)
-    if standardise:
-        s = np.sqrt(np.clip(np.diag(G) / n, 0, None))
-        s[s < 1e-8] = 1.0
-    e, V = np.linalg.eigh(G / np.outer(s, s))
-    e = np.clip(e, 0.0, None)
-    VC = V.T @ (C / s[:, None])
-    unit = float(e.sum() / d) if relative else 1.0
-    out = []
-    for a in alphas:
-        den = e + a * unit
-        W = (V @ (VC / np.where(den > 1e-12, den, np.inf)[:, None])) / s[:, None]
-        out.append((float(a), my - mx @ W, W))
-    return out
+    """(alpha, intercepts, coefficients d x R) for every penalty, from the penalised normal equations.
+
+    With ``standardise`` the penalty of an input is its variance, as if it had been scaled to one; with ``relative`` it
+    is a multiple of the mean variance sum of the (scaled) inputs. Inputs without variance get no scale of their own.
+    A singular system (no penalty, dependent inputs) has the solution of least norm."""
+    centre = M[0] / M[0, 0]
+    cross = M - M[0, 0] * np.outer(centre, centre)
+    inputs, outputs = cross[1:d + 1, 1:d + 1], cross[1:d + 1, d + 1:]
+    spread = np.diagonal(inputs) / M[0, 0]
+    weight = np.where(spread < 1e-16, 1.0, spread) if standardise else np.ones(d)
+    base = float(np.sum(np.diagonal(inputs) / weight)) / d if relative else 1.0
+    fits = []
+    for alpha in map(float, alphas):
+        system = inputs + np.diag(alpha * base * weight)
+        scaled = system / np.sqrt(np.outer(weight, weight))
+        right = outputs / np.sqrt(weight)[:, None]
+        regular = alpha * base > 0 or np.linalg.matrix_rank(scaled, hermitian=True) == d
+        coef = (np.linalg.solve(scaled, right) if regular else np.linalg.lstsq(scaled, right, rcond=None)[0]) / np.sqrt(weight)[:, None]
+        fits.append((alpha, centre[d + 1:] - centre[1:d + 1] @ coef, coef))
+    return fits
 
 
 def _score(M: np.ndarray, d: int, b0: np.ndarray, W: np.ndarray, how: str) -> float:
@@ -223,7 +224,7 @@ def make_learner(spec: dict, kind: str):
     if name == "ridge":
         return LinearRegression(featuresCol="features", labelCol="label", elasticNetParam=0.0, standardization=False, regParam=float(spec.get("reg", 0.0)))
     if name == "logistic":
-        return LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=0.0, standardization=False, regParam=float(spec.get("reg", 0.0)), maxIter=int(spec.get("max_iter", 100)),
+        return LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=0.0, standardization=False, regParam=float(spec.get("reg", 0.0)), maxIter=int(spec.get("max_iter", 3000)),
                                   **({"weightCol": spec["weight"]} if spec.get("weight") else {}))
     if name == "boosted":
         cls = GBTRegressor if kind == "m" else GBTClassifier
@@ -231,6 +232,15 @@ def make_learner(spec: dict, kind: str):
     raise ValueError(f"unknown learner {spec}")
 
 
+def fit_learner(spec: dict, kind: str, rows: DataFrame):
+    """The fitted model of a declared learner; a logistic fit that stops at its iteration bound is an error."""
+    learner = make_learner(spec, kind)
+    model = learner.fit(rows)
+    if learner.__class__.__name__ == "LogisticRegression" and model.summary.totalIterations >= learner.getMaxIter():
+        raise RuntimeError(f"the logistic fit hasn't converged after {learner.getMaxIter()} iterations")
+    return model
+
+
 def with_features(df: DataFrame, x: str = "x") -> DataFrame:
     from pyspark.ml.functions import array_to_vector
     return df.withColumn("features", array_to_vector(F.transform(x, lambda e: e.cast("double"))))
@@ -258,7 +268,7 @@ def crossfit(df: DataFrame, target: str, k: int, spec: dict, kind: str, x: str =
     f = checkpointed(with_features(base, x).withColumnRenamed(target, "label"))
     parts = []
     for fold in range(k):
-        m = make_learner(spec, kind).fit(f.where(F.col("fold") != fold))
+        m = fit_learner(spec, kind, f.where(F.col("fold") != fold))
         p = m.transform(f.where(F.col("fold") == fold))
         parts.append((p.withColumnRenamed("prediction", "pred") if kind == "m" else _positive(p)).select("unit_id", "fold", F.col("label").alias(target), "pred"))
     out = parts[0]
@@ -282,7 +292,7 @@ def logistic_probe(train: DataFrame, val: DataFrame, test: DataFrame, label: str
     tr, va, te = checkpointed(prep(train)), checkpointed(prep(val)), prep(test)
     best = None
     for c in sorted(grid):
-        m = make_learner({"classifier": "logistic", "reg": 1.0 / (c * total), "weight": "w"}, "e").fit(tr)
+        m = fit_learner({"classifier": "logistic", "reg": 1.0 / (c * total), "weight": "w"}, "e", tr)
         p = m.transform(va.where(F.col("label").isNotNull()))
         loss = p.agg(F.avg(-F.log(F.greatest(F.element_at(vector_to_array("probability"), (F.col("label") + 1).cast("int")), F.lit(1e-15))))).first()[0]
         if best is None or round(loss, 9) < best[0]:
@@ -338,49 +348,81 @@ def threshold_boost_grid(evidence: DataFrame, labels: DataFrame, questions: dict
 
 
 # ---- reduced and random views
-def random_fourier_features(df: DataFrame, reference: DataFrame, n_features: int, seed: int, x: str = "x", n_sample: int = 500) -> DataFrame:
-    """x followed by cos features of a Gaussian kernel whose bandwidth is the median squared distance of a seeded sample
-    of reference rows (n_sample rows, a declared number). The weight matrix is a function of the seed."""
-    from .ranking import top_n_by_hash
-    s = np.stack(top_n_by_hash(reference.select("unit_id", x), [], seed, ["unit_id"], n_sample).orderBy("unit_id").toPandas()[x].to_numpy()).astype(float)
-    sq = (s ** 2).sum(1)
-    med = float(np.median((sq[:, None] + sq[None, :] - 2 * s @ s.T)[np.triu_indices(len(s), 1)]))
-    rng = np.random.default_rng(seed)
-    omega, phase = rng.normal(0.0, np.sqrt(2.0 / med), (s.shape[1], n_features)), rng.uniform(0, 2 * np.pi, n_features)
+def pair_bandwidth(reference: DataFrame, seed: int, x: str = "x") -> float:
+    """Median squared distance between each reference row and the next one in seeded order: as many pairs as rows, and
+    the exact median of them."""
+    from .ranking import group_percentile, hash_rank
+    r = checkpointed(hash_rank(reference.select("unit_id", x), [], seed, ["unit_id"], out="r"))
+    n = r.count()
+    far = r.select((F.col("r") % n + 1).alias("r"), F.col(x).alias("other"))
+    d2 = F.aggregate(F.zip_with(x, "other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)
+    return float(group_percentile(r.join(far, "r").select(d2.alias("d2")), [], "d2", {"m": 0.5}).first().m)
+
+
+def _hash_uniform(seed, *parts) -> float:
+    """The draw of functions.draws.uniform for constants."""
+    import hashlib
+    return int(hashlib.md5("|".join(str(v) for v in (seed, *parts)).encode()).hexdigest()[:13], 16) / 2.0 ** 52
+
+
+def random_fourier_features(df: DataFrame, reference: DataFrame, n_features: int, seed: int, x: str = "x", standardise: bool = True) -> DataFrame:
+    """x followed by cosine features of a Gaussian kernel exp(-d2 / bandwidth), scaled to mean 0 and variance 1 over the
+    reference rows (a feature without variance is only centred). Frequencies and phases are hash draws of (seed, input,
+    feature), so they don't depend on any generator's state; the bandwidth is that of ``pair_bandwidth``."""
+    bandwidth = pair_bandwidth(reference, seed, x)
+    d = reference.select(F.size(x).alias("d")).first()[0]
+    # a normal draw is made of two uniform ones
+    normal = np.array([[np.sqrt(-2 * np.log(1 - _hash_uniform(seed, "radius", j, k))) * np.cos(2 * np.pi * _hash_uniform(seed, "angle", j, k)) for k in range(n_features)] for j in range(d)])
+    frequency = normal * np.sqrt(2.0 / bandwidth)
+    phase = 2 * np.pi * np.array([_hash_uniform(seed, "phase", k) for k in range(n_features)])
+
+    def waves(rows) -> np.ndarray:
+        return np.cos(np.stack(rows.to_numpy()).astype(float) @ frequency + phase) * np.sqrt(2.0 / n_features)
+
+    centre, scale = np.zeros(n_features), np.ones(n_features)
+    if standardise:
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                w = waves(b[x])
+                yield pd.DataFrame({"k": np.arange(n_features), "n": len(w), "s": w.sum(0), "q": (w * w).sum(0)})
+
+        m = reference.select(x).mapInPandas(sums, "k int, n long, s double, q double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("k").toPandas()
+        centre = (m.s / m.n).to_numpy()
+        spread = np.sqrt(np.maximum((m.q / m.n).to_numpy() - centre ** 2, 0.0))
+        scale = np.where(spread < 1e-8, 1.0, spread)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            X = np.stack(b[x].to_numpy()).astype(float)
-            Z = np.sqrt(2.0 / n_features) * np.cos(X @ omega + phase)
-            yield pd.DataFrame({"unit_id": b["unit_id"], x: list(np.hstack([X, Z]))})
+            yield pd.DataFrame({"unit_id": b["unit_id"], x: [np.concatenate([v, w]) for v, w in zip(b[x], (waves(b[x]) - centre) / scale)]})
 
     return df.select("unit_id", x).mapInPandas(run, f"unit_id long, {x} array<double>")
 
 
 def svd_components(values: DataFrame, n_features: int, k: int, pos: str = "pos", value: str = "value") -> DataFrame:
-    """Scores of a truncated SVD of sparse rows (unit_id, pos, value), one unit per sparse vector. Signs are arbitrary."""
-    from pyspark.mllib.linalg import Vectors
+    """Scores of a truncated SVD of sparse rows (unit_id, pos, value), one unit per row. Signs are arbitrary."""
+    from pyspark.ml.functions import array_to_vector
     from pyspark.mllib.linalg.distributed import RowMatrix
-    g = checkpointed(values.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct(F.col(pos).cast("int").alias("p"), F.col(value).cast("double").alias("v")))).alias("e")))
-    rows = g.select("e").rdd.map(lambda r: Vectors.sparse(n_features, [(t["p"], t["v"]) for t in r["e"]]))
-    V = RowMatrix(rows, numCols=n_features).computeSVD(k).V.toArray()
-    comps = F.array(*[F.array(*[F.lit(float(v)) for v in V[:, j]]) for j in range(V.shape[1])]) if n_features * k <= 2000 else None
-    if comps is not None:
-        return g.select("unit_id", F.transform(comps, lambda c: F.aggregate("e", F.lit(0.0), lambda a, t: a + t["v"] * F.get(c, t["p"]))).alias("x"))
+    from pyspark.mllib.util import MLUtils
+    entry = F.map_from_entries(F.collect_list(F.struct(F.col(pos).cast("int"), F.col(value).cast("double"))))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda j: F.coalesce(F.try_element_at("e", j), F.lit(0.0)))
+    g = checkpointed(values.groupBy("unit_id").agg(entry.alias("e")).select("unit_id", dense.alias("x")))
+    V = RowMatrix(MLUtils.convertVectorColumnsFromML(g.select(array_to_vector("x").alias("v")), "v")).computeSVD(k).V.toArray()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"unit_id": b["unit_id"], "x": [np.array([t["v"] for t in e]) @ V[[t["p"] for t in e]] for e in b["e"]]})
+            yield pd.DataFrame({"unit_id": b["unit_id"], "x": list(np.stack(b["x"].to_numpy()) @ V)})
 
     return g.mapInPandas(run, "unit_id long, x array<double>")
 
 
 # ---- mixture thresholds
-def threshold_gmm(df: DataFrame, by: list[str], value: str, positive_only: bool = True, max_iter: int = 60, tol: float = 1e-4, grid: int = 4001) -> DataFrame:
+def threshold_gmm(df: DataFrame, by: list[str], value: str, positive_only: bool = True, max_iter: int = 1000, tol: float = 1e-4, grid: int = 4001) -> DataFrame:
     """Two-component normal mixture per group by EM; threshold = first of ``grid`` points between the means where the
     upper component's posterior reaches one half (the mean of the means when none does); also mean + 3 sd of the lower
     component. Values are first reduced to distinct values with counts; all groups advance together, one grouped
-    aggregate per step, and the parameter table (one row per group) is cut from its lineage each time."""
+    aggregate per step, and the parameter table (one row per group) is cut from its lineage each time. Steps go on until
+    the mean log likelihood of every group moves by at most ``tol``; where ``max_iter`` steps don't get there, that is
+    an error."""
     v = df.where(F.col(value) > 0) if positive_only else df
     h = checkpointed(v.groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c")))
     m0 = h.groupBy(*by).agg((F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("m"), F.sum("c").alias("n"), F.sum(F.col("x") * F.col("x") * F.col("c")).alias("q"))
@@ -404,6 +446,8 @@ def threshold_gmm(df: DataFrame, by: list[str], value: str, positive_only: bool
         par = par.drop("ll0")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"the mixture hasn't converged after {max_iter} steps")
     swap = F.col("m1") > F.col("m2")
     pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
     q = par.select(*by, pick("m1", "m2").alias("ml"), pick("m2", "m1").alias("mu"), pick("v1", "v2").alias("vl"), pick("v2", "v1").alias("vu"), F.when(swap, 1 - F.col("p2")).otherwise(F.col("p2")).alias("pu"))

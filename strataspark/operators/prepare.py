@@ -3,8 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.draws import draw_key
-from .ranking import group_percentile
+from .ranking import group_percentile, hash_rank
 
 
 def densify(long: DataFrame, features: list[str], value: str) -> DataFrame:
@@ -104,14 +103,14 @@ def panel_invariance(stored: DataFrame, panel_features: list[str], overwrite) ->
 
 
 def donor_site_split(units: DataFrame, test_sites: list[str], val_share: float, seed) -> DataFrame:
-    """Rows of a test site are 'test'; of the other rows' groups a seeded max(1, round(n * share)) are 'val'.
+    """Rows of a test site are 'test'; of the other rows' groups a seeded max(1, round(n * share)) are 'val'; halves go to the even number.
     Site names compare in lower case without spaces. A group may be in train and in test at another site."""
     clean = lambda c: F.lower(F.regexp_replace(c, " ", ""))
     is_test = clean(F.col("site")).isin([s.lower().replace(" ", "") for s in test_sites])
     g = units.where(~is_test).select("group_id").distinct()                 # one row per group
-    w = Window.orderBy(draw_key(seed, "group_id"), "group_id")
-    g = g.select("group_id", F.row_number().over(w).alias("__rk"), F.count(F.lit(1)).over(Window.partitionBy()).alias("__n"))
-    val = F.col("__rk") <= F.greatest(F.lit(1), F.round(F.col("__n") * val_share))
+    n = g.agg(F.count(F.lit(1)).alias("n")).scalar()
+    g = hash_rank(g, [], seed, ["group_id"], out="__rk").withColumn("__n", n)
+    val = F.col("__rk") <= F.greatest(F.lit(1), F.rint(F.col("__n") * val_share))
     return (units.join(g, "group_id", "left")
                  .withColumn("split", F.when(is_test, "test").when(val, "val").otherwise("train")).drop("__rk", "__n"))
 

@@ -10,6 +10,7 @@ offsets, so a group that holds a third of all rows still spreads over many tasks
 """
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,6 +19,9 @@ from ..functions.draws import draw_key
 from ..session import checkpointed
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
 def _conf(df: DataFrame, name: str, default: int) -> int:
     """Bucket counts of a session: raise them with the data (``spark.strataspark.rankDigits``, ``.rankEdges``)."""
     return int(df.sparkSession.conf.get(f"spark.strataspark.{name}", str(default)))
@@ -68,26 +72,27 @@ def sort_key(value: Column, descending: bool = True, missing_last: bool = True)
 
 
 def value_rank(df: DataFrame, by: list[str], value, seed, keys: list[str], out: str = "rank",
-               descending: bool = True, sums: dict[str, str] | None = None, sample_digits: int = 3, n_edges: int | None = None) -> DataFrame:
+               descending: bool = True, sums: dict[str, str] | None = None, n_edges: int | None = None) -> DataFrame:
     """1..n inside each group of ``by`` in the order of ``value`` (ties in seeded order of ``keys``);
     ``sums`` adds, per ``new: col``, the sum of ``col`` over all rows up to and including this one.
 
     The input is read three times (edges, bucket totals, ordering), so it is stored once first.
-    Buckets are value ranges whose edges are exact quantiles of a hash-chosen sample (a pure function
-    of the data, hence stable over recomputation). A value that is itself an edge is a bucket of its
-    own, split further by hash prefix, so a score shared by very many rows spreads as well."""
-    n_edges, digits = n_edges or _conf(df, "rankEdges", 255), _conf(df, "rankDigits", 2)
+    Buckets are value ranges whose edges are approximate quantiles of all rows: any edges give exact ranks, and these
+    are partial aggregates. They are read once (at most 4095 numbers), so later tasks all see the same ones. The number of
+    ranges follows the row count, unless the session or the caller sets it. A value that is itself an edge is a bucket
+    of its own, split further by hash prefix, so a score shared by very many rows spreads as well."""
     d = (df.withColumn("__k", sort_key(F.col(value) if isinstance(value, str) else value, descending))
            .withColumn("__h", draw_key(seed, *keys)))
     d = checkpointed(d)
-    probs = F.array(*[F.lit((i + 1) / (n_edges + 1)) for i in range(n_edges)])
-    edges = (d.where((F.substring("__h", 1, sample_digits) == "0" * sample_digits) & ~F.col("__k").isin(float("inf")))
-              .agg(F.array_distinct(F.coalesce(F.percentile("__k", probs), F.array().cast("array<double>"))).alias("e")))
-    d = d.withColumn("__e", edges.scalar())
-    d = (d.withColumn("__p", F.size(F.filter("__e", lambda e: e < F.col("__k"))))
-          .withColumn("__q", F.array_contains("__e", F.col("__k")) | (F.col("__k") == float("inf")))
-          .withColumn("__s", F.when(F.col("__q"), F.substring("__h", 1, digits)).otherwise(F.lit("")))
-          .drop("__e"))
+    n = d.count()
+    n_edges = n_edges or _conf(df, "rankEdges", min(4095, max(255, n // ROWS_PER_BUCKET)))
+    digits = max(_conf(df, "rankDigits", 2), math.ceil(math.log(max(n / ROWS_PER_BUCKET, 1), 16)))
+    probs = [(i + 1) / (n_edges + 1) for i in range(n_edges)]
+    found = d.where(~F.col("__k").isin(float("inf"), float("-inf"))).agg(F.percentile_approx("__k", probs, 10 * (n_edges + 1)).alias("e")).first().e
+    edges = F.array(*[F.lit(float(e)) for e in sorted(set(found or []))]).cast("array<double>")
+    d = (d.withColumn("__p", F.size(F.filter(edges, lambda e: e < F.col("__k"))))
+          .withColumn("__q", F.array_contains(edges, F.col("__k")) | F.col("__k").isin(float("inf"), float("-inf")))
+          .withColumn("__s", F.when(F.col("__q"), F.substring("__h", 1, digits)).otherwise(F.lit(""))))
     return _rank_in_buckets(d, by, ["__p", "__q", "__s"], ["__k", "__h", *keys], out, sums or {}).drop("__k", "__h")
 
 
@@ -124,7 +129,11 @@ def group_percentile(df: DataFrame, by: list[str], value, probs: dict[str, float
     br = x.groupBy(*by_).agg(F.percentile_approx("__v", [*lo, *hi], accuracy).alias("__q"), F.count(F.lit(1)).alias("__n"))
     m = len(names)
     small = F.col("__n") <= 10 * accuracy                  # a short group is ordered whole
-    x = x.join(br, by_)
+    if by:
+        x = x.join(br, by_)
+    else:                                                  # one group: its brackets are a scalar
+        one = br.select(F.struct("__q", "__n")).scalar()
+        x = x.withColumn("__s", one).select(*by_, "__v", F.col("__s.__q").alias("__q"), F.col("__s.__n").alias("__n"))
     inside = reduce(lambda a, b: a | b, [small] + [(F.col("__v") >= F.col("__q")[i]) & (F.col("__v") <= F.col("__q")[m + i]) for i in range(m)])
     gap = reduce(lambda a, b: a + b, [F.when(~small & (F.col("__v") > F.col("__q")[m + i]), 1).otherwise(0) for i in range(m)])
     cells = (x.select(*by_, gap.alias("__gap"), F.when(inside, F.col("__v")).alias("__keep"))

@@ -28,7 +28,7 @@ def bootstrap_two_stage(rows: DataFrame, group: str, n_boot: int, seed, strata:
     """(draw, unit_id, w): groups with replacement, then rows with replacement inside every drawn group (and stratum).
 
     scheme 'slots' draws exactly as many rows as a group has: n_boot * n slots, each joined to a densely numbered row,
-    so a large group spreads over all tasks. scheme 'poisson' gives every row of a drawn group a Poisson(1) count
+    and the slots are the numbered rows themselves, so a large group spreads over all tasks. scheme 'poisson' gives every row of a drawn group a Poisson(1) count
     instead: no slot join, for very many rows; a different scheme, named in the output."""
     strata = strata or []
     inner = [group, *strata]
@@ -39,7 +39,9 @@ def bootstrap_two_stage(rows: DataFrame, group: str, n_boot: int, seed, strata:
         return d.groupBy("draw", "unit_id").agg(F.sum(w).cast("long").alias("w")).where("w > 0").withColumn("scheme", F.lit("poisson"))
     numbered = hash_rank(rows.select("unit_id", *inner), inner, f"{seed}r", ["unit_id"], out="r_no")
     sizes = rows.groupBy(*inner).agg(F.count(F.lit(1)).alias("n_in"))
-    s = drawn.join(sizes, group).withColumn("rslot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_in"))))
+    # a group has as many slots as rows, so its numbered rows are the slots: no array as long as a group
+    slots = numbered.select(*inner, F.col("r_no").alias("rslot")).join(sizes, inner)
+    s = slots.join(drawn, group)
     s = s.withColumn("r_no", slot("n_in", seed, F.lit("r"), "draw", "gslot", *strata, "rslot"))
     s = s.groupBy("draw", *inner, "r_no").agg(F.count(F.lit(1)).alias("w"))
     return s.join(numbered, [*inner, "r_no"]).select("draw", "unit_id", "w").withColumn("scheme", F.lit("slots"))
@@ -49,7 +51,9 @@ def bootstrap_rows(rows: DataFrame, by: list[str], n_boot: int, seed) -> DataFra
     """One-stage draw inside every group of ``by``: (by, draw, unit_id, w)."""
     numbered = hash_rank(rows.select("unit_id", *by), by, f"{seed}r", ["unit_id"], out="r_no")
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_in"))
-    s = _explode(sizes, "draw", n_boot).withColumn("rslot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_in"))))
+    slots = numbered.select(*by, F.col("r_no").alias("rslot"))
+    slots = slots.join(sizes, by) if by else slots.withColumn("n_in", sizes.select("n_in").scalar())
+    s = _explode(slots, "draw", n_boot)
     s = s.withColumn("r_no", slot("n_in", seed, F.lit("r"), *by, "draw", "rslot")).groupBy(*by, "draw", "r_no").agg(F.count(F.lit(1)).alias("w"))
     return s.join(numbered, [*by, "r_no"]).select(*by, "draw", "unit_id", "w")
 
@@ -200,7 +204,11 @@ def comparable_units(stats: DataFrame, loss: str, n_lost: str, tol: float, min_l
     s = stats.where(F.col(n_lost) >= min_lost)
     a = s.select(F.col("level").alias("level_a"), F.col(loss).alias("loss_a"))
     b = s.select(F.col("level").alias("level_b"), F.col(loss).alias("loss_b"))
-    return a.join(b, (F.col("level_a") < F.col("level_b")) & (F.abs(F.col("loss_a") - F.col("loss_b")) <= tol))
+    # losses within the tolerance lie in the same or in neighbouring buckets of its width
+    bucket = lambda c: F.floor(F.col(c) / tol) if tol > 0 else F.col(c)
+    near = F.array(*[bucket("loss_a") + k for k in ((-1, 0, 1) if tol > 0 else (0,))])
+    pairs = a.withColumn("__b", F.explode(near)).join(b.withColumn("__b", bucket("loss_b")), "__b").drop("__b")
+    return pairs.where((F.col("level_a") < F.col("level_b")) & (F.abs(F.col("loss_a") - F.col("loss_b")) <= tol))
 
 
 def replication_rule(first: str, point: str = "point", lo: str = "lo", hi: str = "hi", per_group: str = "per_group") -> Column:

@@ -435,7 +435,7 @@ def _(i):
 
 @query("threshold_gmm")
 def _(i):
-    return X.threshold_gmm(i.panel.join(i.units.select("unit_id", "site"), "unit_id").where("feature in ('ECONOMY', 'SMALL')"), ["site", "feature"], "measured", max_iter=8)
+    return X.threshold_gmm(i.panel.join(i.units.select("unit_id", "site"), "unit_id"), ["site", "feature"], "measured")
 
 
 Q_GRID = {"equal": D.Question(B.PANEL, B.KEY_MARKER), "boosted": D.Question(B.PANEL, B.KEY_MARKER, key_boost=2.0)}

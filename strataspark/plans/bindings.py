@@ -132,7 +132,7 @@ class Inputs:
 def hash_unit(seed, *parts: str) -> str:
     """SQL of the uniform draw"""
     s = " || '|' || ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
-    return f"(CAST(('0x' || substr(md5({s}), 1, 8)) AS BIGINT) / 4294967296.0)"
+    return f"(CAST(('0x' || substr(md5({s}), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
 def hash_key(seed, *parts: str) -> str:
@@ -155,7 +155,7 @@ panel AS (SELECT unit_id, p_type AS feature, sum(qty) AS measured, CAST(sum(cent
 train_groups AS (SELECT group_id, row_number() OVER (ORDER BY {hash_key(SEED, 'group_id')}, group_id) AS rk, count(*) OVER () AS n
   FROM (SELECT DISTINCT group_id FROM units WHERE site NOT IN ('EUROPE'))),
 split AS (SELECT u.*, CASE WHEN site IN ('EUROPE') THEN 'test'
-    WHEN rk <= greatest(1, round(n * {VAL_SHARE})) THEN 'val' ELSE 'train' END AS split FROM units u LEFT JOIN train_groups USING (group_id)),
+    WHEN rk <= greatest(1, round_even(n * {VAL_SHARE}, 0)) THEN 'val' ELSE 'train' END AS split FROM units u LEFT JOIN train_groups USING (group_id)),
 q_scale AS (SELECT feature, quantile_cont(predicted, 0.95) AS q FROM panel JOIN split USING (unit_id) WHERE split = 'train' GROUP BY 1),
 evidence AS (SELECT unit_id, feature, least(greatest(predicted / greatest(q, 1e-12), 0), 1)::DOUBLE AS v FROM panel JOIN q_scale USING (feature)),
 scores_long AS (SELECT unit_id, cls, sum(v) / 2 AS s FROM (SELECT unit_id, v, {_case('feature', F2C)} AS cls FROM evidence) GROUP BY 1, 2),

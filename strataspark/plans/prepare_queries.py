@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classify as C, prepare as P
-from ..operators.ranking import hash_rank
 from ..session import scratch_dir
 from ..sources import io
 from . import bindings as B
@@ -45,15 +44,19 @@ def _(i):
     return P.densify(i.panel.withColumn("modality", F.lit("adt")), B.FEATURES, "measured")
 
 
-@query("counts_integrity", """SELECT * FROM (VALUES ('counts are positive', 0::BIGINT), ('counts are whole', 0), ('entries equal the header', 0),
- ('one entry per unit and feature', 0), ('unit ids are unique', 0)) t(rule, violations)
- UNION ALL SELECT 'totals equal the published ones', count(*) FROM (SELECT o_custkey, sum(l_quantity) AS s, sum(l_linenumber * 0 + l_quantity) AS t
-   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) WHERE s <> t""")
+@query("counts_integrity", """, c AS (SELECT unit_id, p_brand AS feature, sum(qty) * 0.5 - 10 AS count FROM lines GROUP BY unit_id, p_brand, p_type),
+ pub AS (SELECT unit_id, sum(qty) * 0.5 - 10 AS total FROM lines GROUP BY unit_id, p_type), tot AS (SELECT unit_id, sum(count) AS t FROM c GROUP BY 1)
+ SELECT 'counts are positive' AS rule, count(*) FILTER (count <= 0) AS violations FROM c UNION ALL SELECT 'counts are whole', count(*) FILTER (count <> floor(count)) FROM c
+ UNION ALL SELECT 'entries equal the header', abs(count(*) - (SELECT count(*) FROM lines)) FROM c
+ UNION ALL SELECT 'one entry per unit and feature', count(*) FROM (SELECT 1 FROM c GROUP BY unit_id, feature HAVING count(*) > 1)
+ UNION ALL SELECT 'totals equal the published ones', count(*) FROM tot FULL JOIN pub USING (unit_id) WHERE t IS DISTINCT FROM total
+ UNION ALL SELECT 'unit ids are unique', count(*) FROM (SELECT 1 FROM pub GROUP BY unit_id HAVING count(*) > 1)""")
 def _(i):
-    pub = (i.table("lineitem").join(i.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(F.col("o_custkey").alias("unit_id")).agg(F.sum("l_quantity").alias("total")))
-    n = i.lines.select("unit_id", "p_brand").distinct().agg(F.count(F.lit(1)).alias("n"))
-    return io.counts_integrity(i.counts, pub, n)
+    """a table that breaks every rule: halved and shifted sums per part type, under keys that leave the type out"""
+    shifted = F.sum("qty") * 0.5 - 10
+    c = i.lines.groupBy("unit_id", F.col("p_brand").alias("feature"), "p_type").agg(shifted.alias("count")).drop("p_type")
+    pub = i.lines.groupBy("unit_id", "p_type").agg(shifted.alias("total")).drop("p_type")
+    return io.counts_integrity(c, pub, i.lines.agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("read_feature_tsv", "SELECT p_partkey AS feature_id, p_name AS symbol, p_brand AS kind FROM part")
@@ -91,7 +94,7 @@ def _(i):
     """the events table written as JSON lines and read back whole"""
     path = scratch_dir(i.spark)
     io.write_events_jsonl(i.table("events").select("event_id", "event_type", "value"), path)
-    back = i.spark.read.schema("event_id LONG, event_type STRING, value DOUBLE").json(path)
+    back = i.spark.read.option("mode", "FAILFAST").schema("event_id LONG, event_type STRING, value DOUBLE").json(path)
     return back.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
@@ -114,7 +117,7 @@ def _(i):
     return io.value_counts(i.table("orders"), "o_custkey")
 
 
-@query("id_regex_share", "SELECT avg(CASE WHEN regexp_matches(c_name, '^Customer#0+[0-9]$') THEN 1.0 ELSE 0 END)::DOUBLE AS share, count(*) AS n FROM (SELECT c_name FROM customer ORDER BY c_name LIMIT 200)")
+@query("id_regex_share", "SELECT avg(CASE WHEN regexp_matches(c_name, '^Customer#0+[0-9]$') THEN 1.0 ELSE 0 END)::DOUBLE AS share, count(*) AS n FROM customer")
 def _(i):
     return io.regex_share(i.table("customer"), "c_name", "^Customer#0+[0-9]$")
 
@@ -156,18 +159,10 @@ def _(i):
 
 @query("map_to_vocab", "SELECT DISTINCT p_name || '.' || CAST(p_partkey % 7 AS VARCHAR) AS feature, p_name AS id FROM part WHERE p_brand <> 'Brand#3' AND p_name IN (SELECT p_name FROM part WHERE p_size > 25)")
 def _(i):
-    """versioned names (name.k): none is in the vocabulary as it stands, so the suffix is stripped"""
+    """versioned names (name.k): none is in the vocabulary as it stands, so stripping the suffix is declared"""
     p = i.table("part")
     f = p.where("p_brand <> 'Brand#3'").select(F.concat("p_name", F.lit("."), (F.col("p_partkey") % 7).cast("string")).alias("feature")).distinct()
-    return C.map_to_vocab(f, p.where("p_size > 25").select(F.col("p_name").alias("id")), 10)
-
-
-GUIDES = "(SELECT user_id, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS guides FROM events WHERE event_id % 3 = user_id % 3 GROUP BY 1)"
-
-
-def guides_of(i):
-    e = i.table("events").where("event_id % 3 = user_id % 3")
-    return e.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ";").alias("guides"))
+    return C.map_to_vocab(f, p.where("p_size > 25").select(F.col("p_name").alias("id")), True, 10).select("feature", "id")
 
 
 @query("assign_target_from_guides", """SELECT user_id AS unit_id, guides, CASE WHEN len(g) = 0 THEN 'control' WHEN len(g) = 1 THEN g[1] ELSE '' END AS target
@@ -178,17 +173,12 @@ def _(i):
     return g.select(F.col("user_id").alias("unit_id"), "guides", C.target_from_guides("guides", r"^(.*)_g\d+$", ["view"]).alias("target"))
 
 
-@query("select_treated_control", f"""SELECT o_orderkey AS unit_id, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END AS a,
+@query("select_treated_control", """SELECT o_orderkey AS unit_id, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END AS a,
  CASE WHEN o_orderpriority = '5-LOW' THEN 'unit:' || CAST(o_orderkey AS VARCHAR) ELSE o_orderpriority END AS cluster
- FROM orders WHERE o_orderstatus IN ('F', 'O') AND (o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_orderpriority = '5-LOW' AND o_orderkey IN (
-   SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {hash_key(3, 'o_orderkey')}, o_orderkey) AS r FROM orders
-   WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority = '5-LOW') WHERE r <= 500))""")
+ FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')""")
 def _(i):
-    """controls capped by a seeded subsample (the cap is part of the operator's declaration)"""
     o = i.table("orders").select(F.col("o_orderkey").alias("unit_id"), "o_orderpriority", "o_orderstatus")
-    d = C.select_treated_control(o, "o_orderpriority", ["1-URGENT"], "2-H", ["5-LOW"], {"o_orderstatus": ["F", "O"]})
-    ctl = hash_rank(d.where("a = 0"), ["a"], 3, ["unit_id"], out="rk").where("rk <= 500").drop("rk")
-    return d.where("a = 1").unionByName(ctl).select("unit_id", "a", "cluster")
+    return C.select_treated_control(o, "o_orderpriority", ["1-URGENT"], "2-H", ["5-LOW"], {"o_orderstatus": ["F", "O"]}).select("unit_id", "a", "cluster")
 
 
 @query("label_map_strict", "SELECT unit_id, annot FROM keys")
@@ -218,7 +208,7 @@ REGROUP = "'d' || CAST(unit_id % 40 AS VARCHAR)"
 
 @query("donor_overlap", f""", sg AS (SELECT unit_id, site, {REGROUP} AS group_id FROM units),
  tg AS (SELECT group_id, row_number() OVER (ORDER BY {hash_key(0, 'group_id')}, group_id) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM sg WHERE site <> 'EUROPE')),
- sp AS (SELECT sg.*, CASE WHEN site = 'EUROPE' THEN 'test' WHEN rk <= greatest(1, round(n * 0.25)) THEN 'val' ELSE 'train' END AS split FROM sg LEFT JOIN tg USING (group_id))
+ sp AS (SELECT sg.*, CASE WHEN site = 'EUROPE' THEN 'test' WHEN rk <= greatest(1, round_even(n * 0.25, 0)) THEN 'val' ELSE 'train' END AS split FROM sg LEFT JOIN tg USING (group_id))
  SELECT DISTINCT group_id, CASE WHEN group_id IN (SELECT group_id FROM sp WHERE split = 'train') THEN 'secondary' ELSE 'primary' END AS role FROM sp WHERE split = 'test'""")
 def _(i):
     """groups that cross sites (unit number modulo 40), so test groups can also be in train"""

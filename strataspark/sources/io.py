@@ -26,31 +26,40 @@ def mtx_header(spark: SparkSession, path: str) -> tuple[int, int, int]:
 
 
 def read_mtx_long(spark: SparkSession, path: str) -> DataFrame:
-    """0-based (row, col, value) of a Matrix Market file or folder of parts; the size line is dropped.
+    """0-based (row, col, value) of a Matrix Market file or folder of parts, without its size line.
 
-    Plain text splits by block; a gzip file is one split, so it is spread before anything else runs."""
+    A malformed line, or another number of entries than the size line says, is an error. An entry that equals the size
+    line is kept: of the lines like it, one is taken away. Plain text splits by block; a gzip file is one split, so it
+    is spread before anything else runs."""
     n_row, n_col, nnz = mtx_header(spark, path)
-    raw = (spark.read.option("sep", " ").option("comment", "%").option("recursiveFileLookup", True)
+    raw = (spark.read.option("sep", " ").option("comment", "%").option("recursiveFileLookup", True).option("mode", "FAILFAST")
            .schema(TRIPLES).csv(path))
     if path.endswith(".gz"):
         raw = raw.repartition(spark.sparkContext.defaultParallelism, "col")
-    size_line = (F.col("row") == n_row) & (F.col("col") == n_col) & (F.col("value") == float(nnz))
-    return raw.where(~size_line).select((F.col("row") - 1).alias("row"), (F.col("col") - 1).alias("col"), "value")
+    found = raw.agg(F.count(F.struct("row", "col", "value"))).first()[0] - 1
+    if found != nnz:
+        raise ValueError(f"{found} entries in {path}; its size line says {nnz}")
+    like = (F.col("row") == n_row) & (F.col("col") == n_col) & (F.col("value") == float(nnz))
+    again = raw.where(like).groupBy("row", "col", "value").count().where("count > 1").withColumn("k", F.explode(F.expr("sequence(2, count)"))).select("row", "col", "value")
+    return raw.where(~like).unionByName(again).select((F.col("row") - 1).alias("row"), (F.col("col") - 1).alias("col"), "value")
 
 
 def write_mtx(df: DataFrame, path: str, n_row: int, n_col: int) -> None:
-    """Writes 0-based (row, col, value) triples as a folder: header part, then body parts."""
-    body = df.select(F.concat_ws(" ", (F.col("row") + 1).cast("string"), (F.col("col") + 1).cast("string"),
-                                 F.col("value").cast("long").cast("string")).alias("value"))
-    nnz = df.count()
-    head = df.sparkSession.createDataFrame([("%%MatrixMarket matrix coordinate integer general\n" + f"{n_row} {n_col} {nnz}",)], "value string")
+    """Writes 0-based (row, col, value) triples as a folder: header part, then body parts. Values with fractions make a
+    real matrix, whole ones an integer matrix."""
+    n = df.agg(F.count(F.lit(1)).alias("nnz"), F.coalesce(F.bool_and(F.col("value") == F.rint("value")), F.lit(True)).alias("whole")).first()
+    value = F.col("value").cast("long" if n.whole else "double").cast("string")
+    body = df.select(F.concat_ws(" ", (F.col("row") + 1).cast("string"), (F.col("col") + 1).cast("string"), value).alias("value"))
+    kind = "integer" if n.whole else "real"
+    head = df.sparkSession.createDataFrame([(f"%%MatrixMarket matrix coordinate {kind} general\n{n_row} {n_col} {n.nnz}",)], "value string")
     head.write.mode("overwrite").text(f"{path}/0_header")
     body.write.mode("overwrite").text(f"{path}/1_body")
 
 
 # ---- feature tables, events
 def read_feature_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("sep", "\t").schema(schema).csv(path)
+    """Tab-separated rows; a malformed one is an error."""
+    return spark.read.option("sep", "\t").option("mode", "FAILFAST").schema(schema).csv(path)
 
 
 def write_feature_tsv(df: DataFrame, path: str) -> None:
@@ -59,8 +68,8 @@ def write_feature_tsv(df: DataFrame, path: str) -> None:
 
 def read_events_jsonl(spark: SparkSession, path: str, wanted: DataFrame | None = None, where: Column | None = None,
                       schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
-    """Event rows; optionally only the units of ``wanted`` and the rows that pass ``where``."""
-    df = spark.read.schema(schema).json(path)
+    """Event rows; optionally only the units of ``wanted`` and the rows that pass ``where``. A malformed line is an error."""
+    df = spark.read.option("mode", "FAILFAST").schema(schema).json(path)
     if where is not None:
         df = df.where(where)
     return df if wanted is None else df.join(wanted.select("unit_id").distinct(), "unit_id", "left_semi")
@@ -116,14 +125,16 @@ def value_counts(df: DataFrame, column: str, top: int = 60) -> DataFrame:
     return df.groupBy(F.col(column).cast("string").alias("value")).count().orderBy(F.desc("count"), "value").limit(top)
 
 
-def regex_share(df: DataFrame, column: str, pattern: str, first: int = 200, order: str | None = None) -> DataFrame:
-    """Share of the first values (in ``order``) that match an id pattern."""
-    d = df.orderBy(order or column).select(F.col(column).cast("string").alias("v")).limit(first)
+def regex_share(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Share of the values of a column that match an id pattern."""
+    d = df.select(F.col(column).cast("string").alias("v"))
     return d.agg(F.avg(F.col("v").rlike(pattern).cast("double")).alias("share"), F.count(F.lit(1)).alias("n"))
 
 
 def id_set_fingerprint(df: DataFrame, id_col: str, by: list[str] | None = None) -> DataFrame:
-    """Order-free fingerprint: count and xor of two 60-bit slices of md5(id). Partial aggregates only."""
+    """Order-free fingerprint of the set of ids (an id that is listed twice counts once): count and xor of two 60-bit
+    slices of md5(id)."""
+    df = df.select(*(by or []), id_col).distinct()
     h = F.md5(F.col(id_col).cast("string"))
     part = lambda a: F.conv(F.substring(h, a, 15), 16, 10).cast("long")
     return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(part(1)).alias("fp1"), F.bit_xor(part(17)).alias("fp2"))
@@ -140,8 +151,8 @@ def id_set_sha256(df: DataFrame, id_col: str, by: list[str] | None = None, width
 
 
 def pair_set_fingerprint(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Fingerprint of unordered pairs by their code lo * 1e6 + hi."""
-    code = (F.least(a, b).cast("long") * 1_000_000 + F.greatest(a, b).cast("long")).alias("code")
+    """Fingerprint of the set of unordered pairs, written lo|hi."""
+    code = F.concat_ws("|", F.least(a, b).cast("string"), F.greatest(a, b).cast("string")).alias("code")
     return id_set_fingerprint(df.select(code), "code")
 
 

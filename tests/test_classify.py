@@ -155,3 +155,57 @@ def test_integrity_counts_violations(spark):
     t = spark.createDataFrame([(1, 4.5), (2, 1.0), (2, 0.0)], "unit_id long, total double")
     v = {r.rule: r.violations for r in io.counts_integrity(c, t, spark.createDataFrame([(5,)], "n long")).collect()}
     assert v == {"counts are positive": 1, "counts are whole": 1, "entries equal the header": 2, "one entry per unit and feature": 1, "totals equal the published ones": 1, "unit ids are unique": 1}
+
+
+def test_mtx_keeps_an_entry_like_its_size_line(spark, tmp_path):
+    (tmp_path / "a.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n% note\n2 3 2\n1 1 5\n2 3 2\n")
+    assert sorted(map(tuple, io.read_mtx_long(spark, str(tmp_path / "a.mtx")).collect())) == [(0, 0, 5.0), (1, 2, 2.0)]
+    (tmp_path / "b.mtx").write_text("2 3 2\n1 1 5\n2 x 2\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        io.read_mtx_long(spark, str(tmp_path / "b.mtx")).collect()
+    (tmp_path / "c.mtx").write_text("2 3 3\n1 1 5\n2 3 2\n")
+    with pytest.raises(ValueError, match="size line"):
+        io.read_mtx_long(spark, str(tmp_path / "c.mtx"))
+
+
+def test_mtx_keeps_fractions(spark, tmp_path):
+    d = spark.createDataFrame([(0, 0, 1.7), (1, 1, 2.0)], "row long, col long, value double")
+    io.write_mtx(d, str(tmp_path / "m"), 2, 2)
+    assert sorted(map(tuple, io.read_mtx_long(spark, str(tmp_path / "m")).collect())) == [(0, 0, 1.7), (1, 1, 2.0)]
+
+
+def test_broken_lines_are_errors(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"unit_id": 1, "feature": "x"}\n{"unit_id": 2, broken\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        io.read_events_jsonl(spark, str(tmp_path / "e.json")).collect()
+    (tmp_path / "f.tsv").write_text("1\ta\nx\tb\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        io.read_feature_tsv(spark, str(tmp_path / "f.tsv"), "n LONG, s STRING").collect()
+
+
+def test_fingerprints_tell_sets_apart(spark):
+    d = lambda *ids: spark.createDataFrame([(i,) for i in ids], "i long")
+    fp = lambda *ids: tuple(io.id_set_fingerprint(d(*ids), "i").first())
+    assert fp(1, 1) == fp(1) != fp(2, 2) and fp() == fp()
+    pair = lambda a, b: tuple(io.pair_set_fingerprint(spark.createDataFrame([(a, b)], "a long, b long"), "a", "b").first())
+    assert pair(0, 1000001) != pair(1, 1) and pair(3, 4) == pair(4, 3)
+
+
+def test_validation_groups_round_halves_to_even(spark):
+    u = spark.createDataFrame([(i, f"g{i}", "s") for i in range(10)], "unit_id long, group_id string, site string")
+    assert P.donor_site_split(u, ["t"], 0.25, 0).where("split = 'val'").count() == 2
+
+
+def test_draws_reach_every_slot(spark):
+    from strataspark.functions.draws import slot
+    x = spark.range(4000).select(slot(10 ** 12, "s", "id").alias("k")).toPandas().k
+    assert x.min() >= 1 and x.max() <= 10 ** 12 and (x % 4096).nunique() > 2000
+
+
+def test_vocabulary_versions_are_declared(spark):
+    f = spark.createDataFrame([("a.1",), ("b",)], "feature string")
+    v = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert {(r.feature, r.id, r.n_as_is, r.n_stripped) for r in C.map_to_vocab(f, v, False, 1).collect()} == {("b", "b", 1, 2)}
+    assert {(r.feature, r.id) for r in C.map_to_vocab(f, v, True, 1).collect()} == {("a.1", "a"), ("b", "b")}
+    with pytest.raises(Exception, match="too few features"):
+        C.map_to_vocab(f, v, False, 2).collect()

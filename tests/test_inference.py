@@ -112,7 +112,7 @@ def test_mixture_threshold_close_to_the_truth(spark):
     rng = np.random.default_rng(0)
     x = np.r_[rng.normal(1, 0.3, 700), rng.normal(4, 0.5, 300), np.zeros(50)]
     d = spark.createDataFrame([("a", float(v)) for v in np.round(x, 2)], "g string, v double")
-    r = X.threshold_gmm(d, ["g"], "v", max_iter=30).first()
+    r = X.threshold_gmm(d, ["g"], "v").first()
     assert abs(r.ml - 1) < 0.1 and abs(r.mu - 4) < 0.15 and 1.8 < r.threshold < 3.0 and abs(r.background_mu3sd - 1.9) < 0.3
 
 
@@ -257,15 +257,42 @@ def test_svd_scores_equal_numpy(spark):
 
 
 def test_random_features_approximate_the_kernel(spark):
+    import hashlib
     p, V, Y, d = rows_of(spark, 60)
-    f = X.random_fourier_features(d, d, 4000, 3).toPandas().sort_values("unit_id")
+    f = X.random_fourier_features(d, d, 2000, 3, standardise=False).toPandas().sort_values("unit_id")
     Z = np.stack(f.x.to_numpy())
     assert np.allclose(Z[:, :3], V)
+    order = sorted(range(60), key=lambda u: hashlib.md5(f"3|{p.unit_id[u]}".encode()).hexdigest())
+    med = np.median([((V[a] - V[b]) ** 2).sum() for a, b in zip(order, order[1:] + order[:1])])
     D = ((V[:, None] - V[None]) ** 2).sum(-1)
-    med = np.median(D[np.triu_indices(60, 1)])
-    assert np.abs(Z[:, 3:] @ Z[:, 3:].T - np.exp(-D / med)).max() < 0.12
-    again = np.stack(X.random_fourier_features(d.repartition(3), d.repartition(5), 4000, 3).toPandas().sort_values("unit_id").x.to_numpy())
-    assert np.allclose(again, Z)
+    assert np.isclose(X.pair_bandwidth(d, 3), med) and np.abs(Z[:, 3:] @ Z[:, 3:].T - np.exp(-D / med)).max() < 0.15
+    part = d.where("unit_id % 2 = 0")
+    again = X.random_fourier_features(d.repartition(3), part.repartition(5), 50, 3).toPandas().sort_values("unit_id")
+    S = np.stack(again.x.to_numpy())[(again.unit_id % 2 == 0).to_numpy(), 3:]
+    assert np.allclose(S.mean(0), 0, atol=1e-9) and np.allclose(S.std(0), 1)
+    assert np.allclose(np.stack(X.random_fourier_features(d, part, 50, 3).toPandas().sort_values("unit_id").x.to_numpy()), np.stack(again.x.to_numpy()))
+
+
+def test_ridge_of_dependent_and_constant_inputs(spark):
+    rng = np.random.default_rng(5)
+    A = rng.normal(size=(50, 2))
+    V, y = np.c_[A, A[:, 0], np.ones(50)], A @ [1.0, 2.0] + 3
+    one = np.c_[np.ones(50), V, y]
+    for alpha, standardise, relative in ((0.0, False, False), (0.1, True, False), (0.1, True, True), (0.5, False, True)):
+        _, b0, W = X._ridge(one.T @ one, 4, [alpha], standardise, relative)[0]
+        Vc, yc = V - V.mean(0), y - y.mean()
+        s = np.where(Vc.std(0) < 1e-8, 1, Vc.std(0)) if standardise else np.ones(4)
+        G = (Vc / s).T @ (Vc / s)
+        want = np.linalg.pinv(G + alpha * (np.trace(G) / 4 if relative else 1) * np.eye(4), rcond=1e-10, hermitian=True) @ (Vc / s).T @ yc / s
+        assert np.allclose(W[:, 0], want) and np.isclose(b0[0], y.mean() - V.mean(0) @ want)
+
+
+def test_bounds_that_are_too_small_are_errors(spark):
+    p, V, Y, d = rows_of(spark)
+    with pytest.raises(RuntimeError, match="converged"):
+        X.fit_learner({"classifier": "logistic", "max_iter": 1}, "e", X.with_features(d.withColumn("label", (F.col("y1") > 0).cast("double"))))
+    with pytest.raises(RuntimeError, match="converged"):
+        X.threshold_gmm(spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 9, 10, 11)], "g string, v double"), ["g"], "v", max_iter=1)
 
 
 def test_logistic_probe_separates_and_falls_back(spark):

@@ -22,7 +22,7 @@ def frame(spark, n=3000, seed=0):
 
 def test_value_rank_and_sums_equal_a_plain_sort(spark):
     p, d = frame(spark)
-    got = R.value_rank(d, ["g"], "v", 3, ["unit_id"], sums={"cum": "w"}, sample_digits=1, n_edges=15).toPandas()
+    got = R.value_rank(d, ["g"], "v", 3, ["unit_id"], sums={"cum": "w"}, n_edges=15).toPandas()
     p["h"] = [md5(3, u) for u in p.unit_id]
     p = p.sort_values(["g", "v", "h"], ascending=[True, False, True])
     p["e"], p["c"] = p.groupby("g").cumcount() + 1, p.groupby("g").w.cumsum()
@@ -102,3 +102,13 @@ def test_usable_folds(spark):
     assert S.usable_folds(d, "cl", "a", 2, 0, 30).first().fold_seed is not None
     one = d.where("a = 0 or cl = 't0'")
     assert S.usable_folds(one, "cl", "a", 2, 0, 6).first().fold_seed is None
+
+
+def test_percentiles_agree_on_both_sides_of_the_short_group_border(spark):
+    rng = np.random.default_rng(7)
+    for n in (999, 1000, 1001, 1500):                       # a group of up to 10 * accuracy rows is ordered whole
+        v = rng.normal(size=n)
+        d = spark.createDataFrame(pd.DataFrame({"g": "a", "v": v})).repartition(5)
+        got = R.group_percentile(d, ["g"], "v", {"lo": 0.0, "a": 0.05, "m": 0.5, "b": 0.95, "hi": 1.0}, accuracy=100).first()
+        assert np.allclose([got.lo, got.a, got.m, got.b, got.hi], np.quantile(v, [0, 0.05, 0.5, 0.95, 1]))
+        assert np.isclose(R.group_percentile(d, [], "v", {"m": 0.5}, accuracy=100).first().m, np.median(v))
