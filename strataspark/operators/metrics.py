@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .classify import argmax_class, top_score
-from .ranking import group_percentile, hash_rank, value_rank
+from .ranking import group_percentile, hash_rank, top_n_by_hash, value_rank
 from ..session import checkpointed
 
 
@@ -28,7 +28,7 @@ def quantile_sample_check(panel: DataFrame, train: DataFrame, value: str, prob:
     """Percentile on a declared sample (draw 0) vs all training rows: relative difference, SD over the
     other seeded draws of the same size, z."""
     units = train.select("unit_id").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws))))
-    drawn = hash_rank(units, ["draw"], seed, ["draw", "unit_id"], out="__r").where(F.col("__r") <= n_sample).drop("__r")
+    drawn = top_n_by_hash(units, ["draw"], seed, ["draw", "unit_id"], n_sample)
     q = group_percentile(panel.join(drawn, "unit_id"), ["draw", "feature"], value, {"q": prob})
     s = q.groupBy("feature").agg(F.max(F.when(F.col("draw") == 0, F.col("q"))).alias("q_sample"),
                                  F.stddev_samp(F.when(F.col("draw") > 0, F.col("q"))).alias("sd_draws"))

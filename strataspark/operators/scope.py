@@ -224,7 +224,8 @@ def group_difference(u: DataFrame, base: str, arm: str, first: str, second: str,
 
 # ---- fits across donors
 def donor_transfer_fits(rows: DataFrame, x: str, y: list[str], d: int, alphas: list[float], training_study: str, folds: int, seed) -> DataFrame:
-    """(fit, unit_id, target, pred) of four fits for the rows of every donor. T: the training study's other donors;
+    """(fit, unit_id, target, pred, status) of four fits for the rows of every donor; rows whose set has too few members
+    for a fit keep a NULL prediction and say so. T: the training study's other donors;
     S: also without the donor's site; L: the other donors of the donor's own study; C: the donor's own rows, nested
     cross-fit. One table of cross products per donor (per donor and fold for C); penalties by leaving one donor (fold) out."""
     rows = checkpointed(rows.select("unit_id", "group_id", "site", "study", x, *y))
@@ -248,7 +249,9 @@ def donor_transfer_fits(rows: DataFrame, x: str, y: list[str], d: int, alphas: l
     r = out[0]
     for o in out[1:]:
         r = r.unionByName(o)
-    return r
+    # every row stays, with or without a fit
+    every = rows.select("unit_id", F.explode(F.array(*[F.lit(j) for j in range(len(y))])).alias("target")).withColumn("fit", F.explode(F.array(*[F.lit(n) for n in "TSLC"])))
+    return every.join(r, ["fit", "unit_id", "target"], "left").select("fit", "unit_id", "target", "pred", F.when(F.col("pred").isNull(), "too few members").otherwise("fitted").alias("status"))
 
 
 def score_terms(pred: DataFrame, rows: DataFrame, y: list[str], terms: dict[str, tuple[str, str]], n_boot: int, seed, alpha: float) -> DataFrame:
@@ -257,7 +260,7 @@ def score_terms(pred: DataFrame, rows: DataFrame, y: list[str], terms: dict[str,
     rows = checkpointed(rows.select("unit_id", "group_id", *y))
     dr = with_point(bootstrap_rows(rows.select("unit_id", "group_id"), ["group_id"], n_boot, seed), rows.select("unit_id", "group_id")).drop("group_id")
     long = rows.select("unit_id", "group_id", F.inline(F.array(*[F.struct(F.lit(j).alias("target"), F.col(c).cast("double").alias("y")) for j, c in enumerate(y)])))
-    d = pred.join(long, ["unit_id", "target"]).join(dr, "unit_id")
+    d = pred.where("pred is not null").join(long, ["unit_id", "target"]).join(dr, "unit_id")
     w, p, v = F.col("w"), F.col("pred"), F.col("y")
     g = d.groupBy("group_id", "fit", "target", "draw").agg(F.sum(w).alias("n"), F.sum(w * v).alias("sy"), F.sum(w * p).alias("sp"), F.sum(w * v * v).alias("syy"), F.sum(w * p * p).alias("spp"), F.sum(w * p * v).alias("spy"))
     n = F.col("n")
@@ -278,7 +281,7 @@ def score_terms(pred: DataFrame, rows: DataFrame, y: list[str], terms: dict[str,
 def group_shift_u(pred: DataFrame, rows: DataFrame, y: list[str]) -> DataFrame:
     """Per (group, fit): how much of the group's mean shift against the other groups (in SD units) a fit leaves unexplained."""
     long = rows.select("unit_id", "group_id", F.inline(F.array(*[F.struct(F.lit(j).alias("target"), F.col(c).cast("double").alias("y")) for j, c in enumerate(y)])))
-    d = pred.join(long, ["unit_id", "target"])
+    d = pred.where("pred is not null").join(long, ["unit_id", "target"])
     g = d.groupBy("fit", "target", "group_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum("pred").alias("sp"), F.sum(F.col("y") * F.col("y")).alias("syy"))
     w = Window.partitionBy("fit", "target")                                             # one row per group
     tot = lambda c: F.sum(c).over(w)

@@ -1,6 +1,8 @@
 """Selection along a ranking, seeded folds, halves, draws and samples."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.draws import draw_key
@@ -123,10 +125,18 @@ def stratified_halves(df: DataFrame, by: list[str], share: float, seed) -> DataF
     return hash_rank(df, by, seed, ["unit_id"], out="__r").join(n, by).withColumn("first_half", F.col("__r") <= F.rint(F.lit(share) * F.col("__n"))).drop("__r", "__n")
 
 
-def nested_draw(pool: DataFrame, sizes: list[int], seed) -> DataFrame:
-    """The first n of one seeded permutation for every size: smaller draws are inside larger ones."""
-    r = hash_rank(pool.select("unit_id"), [], seed, ["unit_id"], out="__r")
-    return r.withColumn("size", F.explode(F.array(*[F.lit(n).cast("long") for n in sizes]))).where(F.col("__r") <= F.col("size")).drop("__r")
+def nested_draw(pool: DataFrame, sizes: list, seed) -> DataFrame:
+    """The first n of one seeded permutation for every size: smaller draws are inside larger ones. The size ``all`` is
+    the whole pool under its number of rows. Only the largest draw is numbered, not the pool."""
+    numbers = [n for n in sizes if n != "all"]
+    out = []
+    if numbers:
+        top = top_n_by_hash(pool.select("unit_id"), [], seed, ["unit_id"], max(numbers))
+        r = hash_rank(top, [], seed, ["unit_id"], out="__r").withColumn("size", F.explode(F.array(*[F.lit(n).cast("long") for n in numbers])))
+        out.append(r.where(F.col("__r") <= F.col("size")).drop("__r"))
+    if "all" in sizes:
+        out.append(pool.select("unit_id").withColumn("size", pool.agg(F.count(F.lit(1)).alias("n")).scalar()))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def round_robin_pick(df: DataFrame, group: str, queue: str, n: int, seed) -> DataFrame:

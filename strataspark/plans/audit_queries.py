@@ -151,12 +151,12 @@ def _(i):
 
 
 # ---- verdicts
-VT = ", vt AS (SELECT p_brand AS run, p_type AS cls, avg(p_retailprice) / 2000 - 0.65 AS u, avg(p_retailprice) / 2000 - 0.65 - count(*) % 7 * 0.01 AS lo, avg(p_retailprice) / 2000 - 0.65 + count(*) % 5 * 0.02 AS hi FROM part WHERE p_type IN ('PROMO', 'SMALL') GROUP BY 1, 2)"
+VT = ", vt AS (SELECT p_brand AS run, p_type AS cls, avg(p_retailprice) / 2000 - 0.65 AS u, avg(p_retailprice) / 2000 - 0.65 - count(*) % 7 * 0.01 AS lo, avg(p_retailprice) / 2000 - 0.65 + count(*) % 5 * 0.02 AS hi FROM part GROUP BY 1, 2)"
 
 
 def verdict_table(i):
-    """per brand two learner classes with a value and an interval"""
-    g = i.table("part").where(F.col("p_type").isin("PROMO", "SMALL")).groupBy(F.col("p_brand").alias("run"), F.col("p_type").alias("cls")).agg((F.avg("p_retailprice") / 2000 - 0.65).alias("u"), F.count(F.lit(1)).alias("n"))
+    """per brand one learner class for each part type, with a value and an interval"""
+    g = i.table("part").groupBy(F.col("p_brand").alias("run"), F.col("p_type").alias("cls")).agg((F.avg("p_retailprice") / 2000 - 0.65).alias("u"), F.count(F.lit(1)).alias("n"))
     return g.select("run", "cls", "u", (F.col("u") - F.col("n") % 7 * 0.01).alias("lo"), (F.col("u") + F.col("n") % 5 * 0.02).alias("hi"))
 
 
@@ -394,7 +394,7 @@ def _(i):
     """gain of ridge read-outs fitted on declared donor sets over the output in use (the number of lines)"""
     d = donor_rows(i)
     base = d.select(F.lit("in_use").alias("arm"), "unit_id", F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col("v")[1].alias("pred")) for t in (0, 1)])))
-    o = transfer(i).withColumnRenamed("fit", "arm").unionByName(base)
+    o = transfer(i).where("pred is not null").drop("status").withColumnRenamed("fit", "arm").unionByName(base)
     return SC.arms_gain(o, d.select("unit_id", "y", "y2"), ["y", "y2"], "in_use", 5, 63, 0.05)
 
 

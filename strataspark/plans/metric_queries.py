@@ -424,12 +424,12 @@ def _(i):
     return M.threshold_otsu(i.panel, ["feature"], "measured", 64)
 
 
-@query("donor_eligibility", """, d AS (SELECT o_custkey AS g, o_orderstatus AS st, o_orderpriority AS ce, 's' || CAST(o_orderkey % 3 AS VARCHAR) AS sm FROM orders WHERE o_custkey % 3 = 0 OR o_orderstatus = 'F'),
+@query("donor_eligibility", """, d AS (SELECT o_custkey AS g, o_orderstatus AS st, o_orderpriority AS ce, 's' || CAST(o_orderkey % 3 AS VARCHAR) AS sm FROM orders),
  f AS (SELECT g, count(DISTINCT st) AS n_status, count(DISTINCT ce) AS n_centres, count(DISTINCT sm) AS n_samples, min(st) AS st, min(ce) AS centre, min(sm) AS first_sample, count(*) AS n FROM d GROUP BY 1)
  SELECT g, n_status, n_centres, n_samples, centre, first_sample, n, n_first, CASE WHEN n_status = 1 THEN CASE st WHEN 'F' THEN 'healthy' WHEN 'O' THEN 'patient' END END AS kind,
   CASE WHEN n_status = 1 AND st IN ('F', 'O') THEN n_centres = 1 AND n_first >= 1 ELSE false END AS eligible
  FROM f JOIN (SELECT g, sm AS first_sample, count(*) AS n_first FROM d GROUP BY 1, 2) USING (g, first_sample)""")
 def _(i):
-    o = i.table("orders").where("o_custkey % 3 = 0 or o_orderstatus = 'F'")
+    o = i.table("orders")
     d = o.select(F.col("o_custkey").alias("g"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("ce"), F.concat(F.lit("s"), (F.col("o_orderkey") % 3).cast("string")).alias("sm"))
     return M.donor_eligibility(d, "g", "st", "ce", "sm", {"F": "healthy", "O": "patient"}, 1)

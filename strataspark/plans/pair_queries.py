@@ -125,12 +125,12 @@ def _(i):
 
 
 QR = """, u AS (SELECT unit_id, cls, list_transform(z, lambda x: x / (nz + 1e-8::DOUBLE)) AS u FROM (SELECT unit_id, cls, CAST(z AS DOUBLE[]) AS z, sqrt(list_dot_product(CAST(z AS DOUBLE[]), CAST(z AS DOUBLE[]))) AS nz FROM vectors)),
- nr AS (SELECT a.unit_id AS i, b.unit_id AS j, a.cls AS call, b.cls AS label, row_number() OVER (PARTITION BY a.unit_id ORDER BY round(list_dot_product(a.u, b.u), 9) DESC, b.unit_id) AS rank FROM u a JOIN u b ON a.unit_id % 5 = 0 AND b.unit_id % 5 > 1)"""
+ nr AS (SELECT a.unit_id AS i, b.unit_id AS j, a.cls AS call, b.cls AS label, row_number() OVER (PARTITION BY a.unit_id ORDER BY round(list_dot_product(a.u, b.u), 9) DESC, b.unit_id) AS rank FROM u a JOIN u b ON a.unit_id % 5 = 0 AND b.unit_id % 5 <> 0)"""
 
 
 @query("knn_label_disagreement", QR + " SELECT i AS unit_id, round(avg(CASE WHEN label <> call THEN 1.0 ELSE 0 END), 6)::DOUBLE AS disagreement FROM nr WHERE rank <= 10 GROUP BY 1")
 def _(i):
-    return K.knn_label_disagreement(i.vectors.where("unit_id % 5 = 0"), i.vectors.where("unit_id % 5 > 1"), "cls", "cls", 10)
+    return K.knn_label_disagreement(i.vectors.where("unit_id % 5 = 0"), i.vectors.where("unit_id % 5 <> 0"), "cls", "cls", 10)
 
 
 KR = """, u AS (SELECT unit_id, CAST(cls AS DOUBLE) AS y, list_transform(z, lambda x: x / (nz + 1e-8::DOUBLE)) AS u FROM (SELECT unit_id, cls, CAST(z AS DOUBLE[]) AS z, sqrt(list_dot_product(CAST(z AS DOUBLE[]), CAST(z AS DOUBLE[]))) AS nz FROM vectors)),

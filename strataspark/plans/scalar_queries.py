@@ -45,10 +45,10 @@ def _(i):
     return P.depth_features(i.counts)
 
 
-@query("median_scaled", f"""SELECT unit_id, feature, round(count / {TOT} * 1e4 * coalesce(1 / m, 1), 6) AS value FROM counts LEFT JOIN (SELECT feature, quantile_cont(count, 0.5) AS m FROM counts WHERE feature <> 'Brand#7' GROUP BY 1) USING (feature)""")
+@query("median_scaled", f"""SELECT unit_id, feature, round(count / {TOT} * 1e4 * coalesce(1 / m, 1), 6) AS value FROM counts LEFT JOIN (SELECT feature, quantile_cont(count, 0.5) AS m FROM counts GROUP BY 1) USING (feature)""")
 def _(i):
     from ..operators.ranking import group_percentile
-    med = group_percentile(i.counts.where("feature <> 'Brand#7'"), ["feature"], "count", {"median": 0.5})
+    med = group_percentile(i.counts, ["feature"], "count", {"median": 0.5})
     return P.median_scaled(i.counts, med).select("unit_id", "feature", "value")
 
 

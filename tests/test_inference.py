@@ -105,7 +105,9 @@ def test_donor_fits_leave_the_donor_out(spark):
         x = got[(got.fit == "T") & got.unit_id.isin(p.unit_id[g == t])].set_index("unit_id").pred
         assert np.allclose(x[p.unit_id[g == t]].values, (b0 + V[g == t] @ W)[:, 0])
     # two donors at the other site and one other donor of study b are too few for a fit
-    assert set(got.fit) == {"T", "L", "C"} and set(p.group_id[got[got.fit == "L"].unit_id]) == {"d0", "d1", "d2", "d3"}
+    done = got[got.status == "fitted"]
+    assert set(done.fit) == {"T", "L", "C"} and set(p.group_id[done[done.fit == "L"].unit_id]) == {"d0", "d1", "d2", "d3"}
+    assert len(got) == 4 * len(p) and got[got.status != "fitted"].pred.isna().all()
 
 
 def test_mixture_threshold_close_to_the_truth(spark):

@@ -112,3 +112,10 @@ def test_percentiles_agree_on_both_sides_of_the_short_group_border(spark):
         got = R.group_percentile(d, ["g"], "v", {"lo": 0.0, "a": 0.05, "m": 0.5, "b": 0.95, "hi": 1.0}, accuracy=100).first()
         assert np.allclose([got.lo, got.a, got.m, got.b, got.hi], np.quantile(v, [0, 0.05, 0.5, 0.95, 1]))
         assert np.isclose(R.group_percentile(d, [], "v", {"m": 0.5}, accuracy=100).first().m, np.median(v))
+
+
+def test_nested_draws_and_the_whole_pool(spark):
+    d = spark.range(300).select(F.col("id").alias("unit_id"))
+    got = S.nested_draw(d, [5, 40, "all"], 9).toPandas().groupby("size").unit_id.apply(set)
+    order = sorted(range(300), key=lambda u: md5(9, u))
+    assert got[5] == set(order[:5]) and got[40] == set(order[:40]) and got[300] == set(range(300))
