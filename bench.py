@@ -9,7 +9,7 @@ import time
 HEADLINE = [
     "counts_long_filtered", "log1p_cp10k", "clr", "q_scale", "class_scores", "gate_class", "agreement_report", "pearson_by_feature", "auroc", "threshold_otsu",
     "rank_encode", "accuracy_at_matched_coverage", "coverage_curve_tau", "decision_under_edit", "marker_shares", "knn_within_group", "must_separate_sweep",
-    "bootstrap_two_stage", "bootstrap_cluster", "crossfit_residuals", "u_shift", "span_loss",
+    "bootstrap_two_stage", "bootstrap_cluster", "crossfit_residuals", "u_shift", "span_loss", "knn_regression", "gap_inference", "method_comparison", "donor_transfer_fits",
 ]
 
 

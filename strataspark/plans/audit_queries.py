@@ -363,7 +363,7 @@ def _(i):
     return SC.group_difference(checkpointed(arm_units(i)), "asis", "repair", "even", "odd", 20, 57, 0.05)
 
 
-# ---- fits without a SQL form: checked against brute force in the tests
+# ---- fits, most of them without a SQL form: checked against brute force in the tests
 def donor_rows(i):
     d = order_rows(i, ["1-URGENT", "5-LOW"])
     num = F.regexp_extract("cluster", r"(\d+)", 1).cast("int")
@@ -398,7 +398,14 @@ def _(i):
     return SC.arms_gain(o, d.select("unit_id", "y", "y2"), ["y", "y2"], "in_use", 5, 63, 0.05)
 
 
-@query("random_fourier_features")
+RFF = f""", v AS (SELECT unit_id, CAST(z AS DOUBLE[]) AS x FROM vectors), r AS (SELECT x, row_number() OVER (ORDER BY {B.hash_key(64, 'unit_id')}, unit_id) AS r, count(*) OVER () AS n FROM v),
+ bw AS (SELECT quantile_cont(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 0.5) AS b FROM r a JOIN r b ON a.r % a.n + 1 = b.r),
+ dims AS (SELECT unnest(range(64)) AS j), feats AS (SELECT unnest(range(8)) AS k),
+ wt AS (SELECT k, list(sqrt(-2 * ln(1 - {B.hash_unit(64, "'radius'", 'j', 'k')})) * cos(2 * pi() * {B.hash_unit(64, "'angle'", 'j', 'k')}) * sqrt(2.0::DOUBLE / b) ORDER BY j) AS w, 2 * pi() * {B.hash_unit(64, "'phase'", 'k')} AS phase FROM dims, feats, bw GROUP BY k),
+ f AS (SELECT unit_id, k, sqrt(2.0::DOUBLE / 8) * cos(list_dot_product(x, w) + phase) AS f FROM v, wt), z AS (SELECT unit_id, k, (f - avg(f) OVER (PARTITION BY k)) / stddev_pop(f) OVER (PARTITION BY k) AS z FROM f)"""
+
+
+@query("random_fourier_features", RFF + " SELECT unit_id, " + ", ".join(f"round(max(z) FILTER (k = {k}), 6) + 0.0 AS f{k}" for k in range(8)) + " FROM z GROUP BY 1")
 def _(i):
     d = i.vectors.select("unit_id", F.transform("z", lambda e: e.cast("double")).alias("x"))
     return X.random_fourier_features(d, d, 8, 64).select("unit_id", *[F.col("x")[64 + j].alias(f"f{j}") for j in range(8)])

@@ -13,7 +13,8 @@ from strataspark.plans import catalogue  # noqa: E402
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 SHORT = ["counts_long_filtered", "table_profile", "donor_site_split", "gate_per_batch", "agreement_report", "selective_accuracy", "accuracy_at_matched_coverage", "knn_within_group", "gap_ratio",
-         "decision_under_edit", "bootstrap_two_stage", "marker_share_null", "unexplained_fraction", "arms_family", "contrast_arms", "ledger_rules", "poison_invariance"]
+         "decision_under_edit", "bootstrap_two_stage", "marker_share_null", "unexplained_fraction", "arms_family", "contrast_arms", "ledger_rules", "poison_invariance",
+         "read_mtx_long", "read_events_jsonl", "counts_integrity", "map_to_vocab", "select_treated_control", "id_regex_share", "random_fourier_features", "median_scaled", "donor_eligibility", "nested_draw", "bootstrap_cluster", "auroc", "threshold_otsu", "pool_closure", "heterogeneity_q", "hypothesis_test"]
 NAMES = sorted(catalogue.QUERIES) if os.environ.get("ALL_QUERIES") else SHORT
 
 
