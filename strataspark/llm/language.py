@@ -22,6 +22,8 @@ SCRIPT_RANGES = [(0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "a
                  (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x32000, "other")]
 SCRIPTS = sorted({s for _, s in SCRIPT_RANGES})
 SEGMENT = 256
+#: Bytes of text in hand at a time; a task needs some forty times as much.
+BLOCK = 2 << 20
 _TABLES: dict = {}
 
 
@@ -89,7 +91,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         full = np.flatnonzero(n)
         return {"lang": names[full // width].tolist(), "slot": full % width, "n": n[full]}
 
-    counts = map_documents(rows, text, "lang string, slot int, n long", count).groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    counts = map_documents(rows, text, "lang string, slot int, n long", count, BLOCK).groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     if counts.select("lang").distinct().count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: the label column isn't a language")
     got = counts.collect()
@@ -183,7 +185,7 @@ def label_words(texts: list, model: Model) -> tuple[np.ndarray, np.ndarray, np.n
         return (np.zeros(0, np.int64),) * 4
     new = np.flatnonzero(np.r_[True, np.diff(at) > 1])
     scores = np.empty((len(new), len(model.languages)), np.float32)
-    step = max(1, (1 << 22) // len(model.languages))  # letters scored at a time
+    step = max(1, (1 << 20) // len(model.languages))  # letters scored at a time
     cuts = [0]
     while cuts[-1] < len(new):
         cuts.append(max(cuts[-1] + 1, int(np.searchsorted(new, new[cuts[-1]] + step))))
@@ -221,5 +223,5 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     def run(block: pa.RecordBatch) -> dict:
         langs, score, spans = predict(block.column(1).to_pylist(), model)
         return {doc_id: block.column(0), "lang_pred": langs, "score": score, "spans": spans}
-    return map_documents(documents(docs, doc_id, text), text, f"`{doc_id}` {kind}, lang_pred string, score double, spans string", run)
+    return map_documents(documents(docs, doc_id, text), text, f"`{doc_id}` {kind}, lang_pred string, score double, spans string", run, BLOCK)
 
