@@ -19,8 +19,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest doc_id."""
-    found = minhash.near_duplicates(docs, width=5, percent=85)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays: that with the
+    smallest doc_id."""
+    found = minhash.near_duplicates(docs, width=5, percent=80)
     return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti")
 
 

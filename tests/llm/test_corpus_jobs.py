@@ -72,13 +72,13 @@ def test_suffix_array_is_sorted():
     assert keys == sorted(keys) and sorted(order) == list(range(300))
 
 
-def brute_near(docs):
+def brute_near(docs, percent=85):
     sets = {}
     for i, t in docs:
         w = (t or "").encode().lower().split()
         sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     label = {i: i for i in sets}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     while True:
         new = dict(label)
         for a, b in links:

@@ -30,7 +30,7 @@ def test_stages(spark, rng, tmp_path):
         if name == "language":
             alive = {i: t for i, t in alive.items() if i not in (105, 106, 107)}
         elif name == "near_duplicates":
-            near = brute_near(alive.items())
+            near = brute_near(alive.items(), 80)
             alive = {i: t for i, t in alive.items() if near[i][2]}
             assert 100 in alive and not {101, 102} & set(alive)
         elif name == "decontamination":
