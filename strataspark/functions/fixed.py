@@ -29,3 +29,18 @@ CONTRAST_KINDS = ["donor", "batch", "study", "disease", "condition"]
 MIN_UNITS = 10
 MIN_FIT_ROWS = 50
 MIN_SIDE_ROWS = 20
+
+# labels of comparisons, contrasts and marks
+NO_ADDED_LOSS = "no added loss"
+LOSS_UNRESOLVED = "loss no longer resolved"
+NOT_ATTAINABLE = "not attainable"
+CONFIRMATORY = "confirmatory possible"
+REDUCES_BELOW_MARGIN = "reduces the loss by less than the margin"
+REDUCES = "reduces the loss"
+ADDS = "adds to the loss"
+DOES_NOT_REDUCE = "does not reduce the loss"
+STEP_CONFIRMED = "located step confirmed"
+STEP_NOT_CONFIRMED = "located step not confirmed"
+MARK_NOT_HERE = "cannot be put on these rows"
+MARK_NOT_SUPPORTED = "not supported"
+MARK_BETWEEN = "between the marks"

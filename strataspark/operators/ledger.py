@@ -189,7 +189,7 @@ def span_loss(stages: DataFrame, draws: DataFrame, span: tuple[str, str], step_m
     p = stages.where(F.col("stage").isin(*span)).groupBy("run", "outcome").agg((at(1, F.abs("u")) - at(0, F.abs("u"))).alias("added"), at(0, F.col("verdict")).alias("ref_verdict"), at(1, F.col("verdict")).alias("end_verdict"),
                                                                               at(1, (F.col("hi") - F.col("lo")) / 2).alias("end_half"))
     iv = _span_draws(stages, draws, span).groupBy("run", "outcome").agg(F.percentile("d", F.lit(alpha / 2)).alias("lo"), F.percentile("d", F.lit(1 - alpha / 2)).alias("hi"))
-    r = F.when(F.col("lo") > step_margin, "loss").when(F.col("hi") < step_margin, "no added loss").otherwise("unresolved")
+    r = F.when(F.col("lo") > step_margin, "loss").when(F.col("hi") < step_margin, fixed.NO_ADDED_LOSS).otherwise("unresolved")
     return p.join(iv, ["run", "outcome"]).withColumn("half_width", (F.col("hi") - F.col("lo")) / 2).withColumn("reading", r)
 
 
@@ -212,9 +212,9 @@ def admit_run(spans: DataFrame, runs: DataFrame, margin: float, step_margin: flo
     ready = F.coalesce(F.col("resolved") & (F.col("snr") >= min_snr) & (F.col("ref_verdict") != "reject") & (F.col("reading") == "loss"), F.lit(False))
     d = d.withColumn("diagnostic", F.when(ready, "ready").otherwise("not ready"))
     w = F.col("half_width")
-    cert = (F.when(F.col("diagnostic") != "ready", "not attainable").when((F.col("ref_verdict") == "support") & (F.col("end_half") < margin), "absolute").when(w <= step_margin / 2, "relative")
-             .when(w < step_margin, "marginal").otherwise("not attainable"))
-    return d.select("run", "outcome", "resolved", "snr", "diagnostic", cert.alias("certification"), F.when(F.col("sealed") & (F.col("n_clusters") >= min_clusters), "confirmatory possible").otherwise("exploratory").alias("grade"))
+    cert = (F.when(F.col("diagnostic") != "ready", fixed.NOT_ATTAINABLE).when((F.col("ref_verdict") == "support") & (F.col("end_half") < margin), "absolute").when(w <= step_margin / 2, "relative")
+             .when(w < step_margin, "marginal").otherwise(fixed.NOT_ATTAINABLE))
+    return d.select("run", "outcome", "resolved", "snr", "diagnostic", cert.alias("certification"), F.when(F.col("sealed") & (F.col("n_clusters") >= min_clusters), fixed.CONFIRMATORY).otherwise("exploratory").alias("grade"))
 
 
 def contrast_draws(stages: DataFrame, draws: DataFrame, delta_draws: DataFrame, pairs: DataFrame, span: tuple[str, str], seed=0) -> DataFrame:
@@ -241,7 +241,7 @@ def contrast_arms(spans: DataFrame, cdraws: DataFrame, step_margin: float, alpha
     a = spans.select(F.col("run").alias("arm"), "outcome", F.col("added").alias("added_arm"))
     d = g.join(b, ["base", "outcome"]).join(a, ["arm", "outcome"])
     small = F.col("hi") < step_margin
-    r = F.when(F.col("lo") > 0, F.when(small, "reduces the loss by less than the margin").otherwise("reduces the loss")).when(F.col("hi") < 0, "adds to the loss").when(small, "does not reduce the loss").otherwise("unresolved")
+    r = F.when(F.col("lo") > 0, F.when(small, fixed.REDUCES_BELOW_MARGIN).otherwise(fixed.REDUCES)).when(F.col("hi") < 0, fixed.ADDS).when(small, fixed.DOES_NOT_REDUCE).otherwise("unresolved")
     ok = F.col("base_lo") > 0
     return d.select("base", "arm", "outcome", "paired", (F.col("added_base") - F.col("added_arm")).alias("removed"), "lo", "hi", small.alias("below_margin"), r.alias("reading"), "base_reading",
                     F.when(ok, 1 - F.col("added_arm") / F.when(ok, F.col("added_base"))).alias("share_removed"), F.when(ok, F.col("share_lo")).alias("share_lo"), F.when(ok, F.col("share_hi")).alias("share_hi"))
@@ -257,8 +257,8 @@ def diagnose(contrasts: DataFrame, cdraws: DataFrame, base: str, located: str, c
     y = y.join(d.select("outcome", (F.col("l_paired") & F.col("c_paired")).alias("ap")), "outcome").withColumn("k", F.when(F.col("ap"), F.col("ck")).otherwise(F.col("perm")))
     diff = x.join(y, ["outcome", "k"]).groupBy("outcome").agg(F.percentile(F.col("rl") - F.col("rc"), F.lit(alpha / 2)).alias("lo"), F.percentile(F.col("rl") - F.col("rc"), F.lit(1 - alpha / 2)).alias("hi"))
     d = d.join(diff, "outcome")
-    o = (F.when(F.col("l_base_reading") != "loss", "not testable").when((F.col("l_reading") == "reduces the loss") & (F.col("lo") > 0), "located step confirmed")
-          .when(F.col("l_below_margin") | (F.col("hi") < 0), "located step not confirmed").otherwise("unresolved"))
+    o = (F.when(F.col("l_base_reading") != "loss", "not testable").when((F.col("l_reading") == fixed.REDUCES) & (F.col("lo") > 0), fixed.STEP_CONFIRMED)
+          .when(F.col("l_below_margin") | (F.col("hi") < 0), fixed.STEP_NOT_CONFIRMED).otherwise("unresolved"))
     return d.select("outcome", o.alias("diagnosis"), (F.col("l_removed") - F.col("c_removed")).alias("located_minus_control"), "lo", "hi", F.col("c_below_margin").alias("selective"))
 
 
@@ -268,7 +268,7 @@ def closure(spans: DataFrame, arm: str, control: str) -> DataFrame:
     d = s(arm, "a").join(s(control, "c"), "outcome")
     ar, cr, ae, ce = (F.col(x) for x in ("a_reading", "c_reading", "a_end", "c_end"))
     g = (F.when((cr != "loss") & (ce != "reject"), "not testable").when((ae == "support") & (ce == "reject"), "absolute").when(ar == "loss", "not closed")
-          .when((ar == "no added loss") & (cr == "loss"), "relative").when((ar == "unresolved") & (cr == "loss"), "loss no longer resolved").otherwise("not testable"))
+          .when((ar == fixed.NO_ADDED_LOSS) & (cr == "loss"), "relative").when((ar == "unresolved") & (cr == "loss"), fixed.LOSS_UNRESOLVED).otherwise("not testable"))
     return d.select("outcome", g.alias("grade"))
 
 
@@ -302,7 +302,7 @@ def mark_rule(table: DataFrame, by: list[str], base: str, with_arm: str, without
     mark = 0.5 * F.col("u_b")
     meets = lambda k: (F.col(f"verdict_{k}") != "reject") & (F.col(f"u_{k}") <= mark)
     still = lambda k: (F.col(f"verdict_{k}") == "reject") & (F.col(f"u_{k}") > mark)
-    o = (F.when(F.col("verdict_b") != "reject", "cannot be put on these rows").when(meets("o"), "not supported").when(meets("w") & still("o"), "supported").when(still("w"), "not answered").otherwise("between the marks"))
+    o = (F.when(F.col("verdict_b") != "reject", fixed.MARK_NOT_HERE).when(meets("o"), fixed.MARK_NOT_SUPPORTED).when(meets("w") & still("o"), "supported").when(still("w"), "not answered").otherwise(fixed.MARK_BETWEEN))
     return g.select(*by, o.alias("outcome"))
 
 
