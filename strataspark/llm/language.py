@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import checkpointed
 from .common import documents, map_documents
 
 SLOTS = 1 << 15
@@ -91,14 +92,13 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         full = np.flatnonzero(n)
         return {"lang": names[full // width].tolist(), "slot": full % width, "n": n[full]}
 
-    counts = map_documents(rows, text, "lang string, slot int, n long", count, BLOCK).groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    counts = checkpointed(map_documents(rows, text, "lang string, slot int, n long", count, BLOCK).groupBy("lang", "slot").agg(F.sum("n").alias("n")))
     if counts.select("lang").distinct().count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: the label column isn't a language")
-    got = counts.collect()
-    languages = sorted({r.lang for r in got})
+    got = counts.toPandas()
+    languages = sorted(got["lang"].unique())
     n = np.zeros((SLOTS + len(SCRIPTS), len(languages)))
-    for r in got:
-        n[r.slot, languages.index(r.lang)] = r.n
+    n[got["slot"].to_numpy(np.int64), np.searchsorted(languages, got["lang"].to_numpy(str))] = got["n"]
     seen = np.log((n[:SLOTS] + 0.5) / (n[:SLOTS].sum(0) + 0.5 * SLOTS)) if languages else np.zeros((SLOTS, 0))
     weights = np.maximum(seen - seen.max(1, keepdims=True), -4.0) if languages else seen
     share = n[SLOTS:] / np.maximum(n[SLOTS:].sum(0), 1) if languages else n[SLOTS:]
