@@ -61,7 +61,7 @@ class Encoder:
         return [array("I", self.by_rank(p)).tobytes() if ok else next(rest) for p, ok in zip(pieces, plain)]
 
     def __call__(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
-        """``known`` keeps the pieces from call to call; it is emptied when it has grown to ``KNOWN_PIECES``."""
+        """``known`` keeps the ids of words after a space from call to call; grown to ``KNOWN_PIECES`` it is emptied."""
         parts: list[list[str] | None] = []
         missing: set[str] = set()
         if len(known) > KNOWN_PIECES:
@@ -71,14 +71,14 @@ class Encoder:
                 parts.append(None)
                 continue
             words = t.split(" ")
-            words[1:] = [" " + w for w in words[1:]]
             parts.append(words)
             missing.update(set(words).difference(known))
         new = list(missing)
-        known.update(zip(new, self._encode_pieces(new)))
-        whole = [t for t, p in zip(texts, parts) if p is None]
-        rest = iter(self._encode(whole))
-        return [b"".join(map(known.__getitem__, p)) if p is not None else next(rest) for p in parts]
+        known.update(zip(new, self._encode_pieces([" " + w for w in new])))
+        whole = self._encode([t for t, p in zip(texts, parts) if p is None])
+        heads = self._encode_pieces([p[0] for p in parts if p is not None])
+        rest, first = iter(whole), iter(heads)
+        return [next(first) + b"".join(map(known.__getitem__, p[1:])) if p is not None else next(rest) for p in parts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
