@@ -28,7 +28,9 @@ CUES = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer",
 IDENTIFIERS = ("password passwd secret token apikey api_key access_key private_key client_secret authorization bearer basic credential session_id signature username user_name "
                "localhost example config default value string true false null none self this return function import public static void const class "
                "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ http https www com org net json xml yaml utf-8 base64 sha256 sha1 md5 rsa ssh-rsa").encode()
-TOKEN = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
+#: A token, or a value after '=' or ':', which may hold more signs; '=' only as padding at the end.
+TOKEN = re.compile(r"""(?:(?<=[=:])\x20*["']?(?P<value>[A-Za-z0-9+/_~.!$%^*#-]{16,}PAD)|(?P<token>(?:[A-Za-z0-9+/_~.-]|%[0-9A-Fa-f]{2}){16,}PAD))""".replace("PAD", r"(?:={1,2}(?![A-Za-z0-9+/_=~.%-]))?"))
+INNER = re.compile(r"[A-Za-z0-9+/_~.-]")
 _CUE = re.compile("(?ai:" + "|".join(CUES) + ")")
 _CUE_BYTES = [c.encode() for c in CUES]
 _ASSIGN_BYTES = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
@@ -69,10 +71,10 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
         base = sorted((a, b) for a, _, b in found)
         for m in _CUE.finditer(text):
             for t in TOKEN.finditer(text, m.end(), min(len(text), m.end() + NEAR)):
-                start = t.start()
-                end = TOKEN.match(text, start).end()
+                start = t.start(t.lastgroup)
+                end = TOKEN.match(text, t.start()).end()
                 token = text[start:end]
-                if start and TOKEN.fullmatch(text[start - 1] * 16) or not _mixed(token) or any(a < end and start < b for a, b in base) or (start, 3, end) in found:
+                if start and INNER.match(text[start - 1]) or not _mixed(token) or any(a < end and start < b for a, b in base) or (start, 3, end) in found:
                     continue
                 if novelty(token, text[max(0, start - AROUND):start] + text[end:end + AROUND]) >= NOVELTY:
                     found.append((start, 3, end))
