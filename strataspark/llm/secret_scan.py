@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings in sensitive context that zstandard can't explain.
 
 The base kinds (assign, access, hex) are found by their patterns, leftmost and without overlap within a kind. Besides,
-each long token of mixed characters shortly after a sensitive word is compressed with a dictionary made of the text
+each long token of mixed characters in the line of a sensitive word, on both sides of it, or in the next line, and in
+the lines of a key block, is compressed with a dictionary made of the text
 around it and of common identifiers; what it adds to the compressed size, per character, is its novelty. Tokens of
 high novelty that no base span touches are reported as ``novel``.
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -30,8 +32,14 @@ IDENTIFIERS = ("password passwd secret token apikey api_key access_key private_k
                "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ http https www com org net json xml yaml utf-8 base64 sha256 sha1 md5 rsa ssh-rsa").encode()
 #: A token, or a value after '=' or ':', which may hold more signs; '=' only as padding at the end.
 TOKEN = re.compile(r"""(?:(?<=[=:])\x20*["']?(?P<value>[A-Za-z0-9+/_~.!$%^*#-]{16,}PAD)|(?P<token>(?:[A-Za-z0-9+/_~.-]|%[0-9A-Fa-f]{2}){16,}PAD))""".replace("PAD", r"(?:={1,2}(?![A-Za-z0-9+/_=~.%-]))?"))
-INNER = re.compile(r"[A-Za-z0-9+/_~.-]")
 _CUE = re.compile("(?ai:" + "|".join(CUES) + ")")
+_ARMOR = re.compile(r"-----(BEGIN|END)\b([^\n-]*)-----")
+#: Lines of nothing but a token or its rest, without what wraps lines; pieces of a key's body.
+_ALONE, _TAIL, _WRAP = re.compile(r"[A-Za-z0-9+/_~.-]{16,}={0,2}"), re.compile(r"=?[A-Za-z0-9+/]{1,15}={0,2}"), " \t\r\"'`>#*,;()\\+"
+_HEADER = re.compile(r"\n|[A-Za-z-]+: ")
+_PIECE = re.compile(r"\\[nrt]|(=?[A-Za-z0-9+/]+={0,2})")
+#: A short last line below a line of a key, and the end of the block or none.
+_REST = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/]+={0,2})[\x20\t\r]*(?:\n|$)[\x20\t]*(-----END)?")
 _CUE_BYTES = [c.encode() for c in CUES]
 _ASSIGN_BYTES = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
 _HEX_MARK = bytes(48 if c in b"0123456789abcdef" else 32 for c in range(256))
@@ -54,6 +62,81 @@ def _mixed(token: str) -> bool:
     return digit and (lower or upper) or lower and upper
 
 
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """The bodies of armored blocks (BEGIN to END) whose label holds a cue."""
+    marks = list(_ARMOR.finditer(text)) if "-----" in text else []
+    return [(m.end(), n.start()) for m, n in zip(marks, marks[1:]) if m[1] == "BEGIN" and n[1] == "END" and _CUE.search(m[2])]
+
+
+def _sensitive(text: str, cues: list[int], blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches of whole lines, in order: the line of each cue, the next line with text (a value may follow its label),
+    what ends up to NEAR behind the cue, armored blocks, and the token lines that go on from a line of one token."""
+    lines, starts, at = text.split("\n"), [], 0
+    for line in lines:
+        starts.append(at)
+        at += len(line) + 1
+    after, far = [0] * len(lines), len(lines) - 1
+    for i in range(len(lines) - 1, -1, -1):
+        after[i] = far
+        far = i if lines[i].strip() else far
+    of = lambda p: bisect_right(starts, p) - 1
+    marked, upto = bytearray(len(lines)), -1
+    for a, b in sorted([(of(c), max(after[of(c)], of(min(len(text), c + NEAR)))) for c in cues] + [(of(a), of(b)) for a, b in blocks]):
+        for i in range(max(a, upto + 1), b + 1):
+            marked[i] = 1
+        upto = max(upto, b)
+    lines = [line.strip(_WRAP) for line in lines]
+    alone, tail = ([bool(p.fullmatch(line)) for line in lines] for p in (_ALONE, _TAIL))
+    ends = [line.startswith("-----END") for line in lines]
+    head = False  # between BEGIN and the first line of the body
+    for i in range(1, len(lines)):
+        head = marked[i - 1] and "-----BEGIN" in lines[i - 1] or head and bool(_HEADER.match(lines[i - 1] + "\n"))
+        marked[i] |= head or marked[i - 1] and alone[i - 1] and alone[i]
+    for i in range(len(lines) - 2, -1, -1):  # upwards: a block whose beginning isn't in the text
+        marked[i] |= marked[i + 1] and (alone[i] and (alone[i + 1] or tail[i + 1] or ends[i + 1]) or tail[i] and ends[i + 1])
+    out: list[tuple[int, int]] = []
+    starts.append(at)
+    for i in range(len(lines)):
+        if marked[i]:
+            if i and marked[i - 1]:
+                out[-1] = (out[-1][0], starts[i + 1] - 1)
+            else:
+                out.append((starts[i], starts[i + 1] - 1))
+    return out
+
+
+def _novel(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of novel tokens in sensitive context that no base span touches."""
+    cues = [m.end() for m in _CUE.finditer(text)]
+    if not cues:
+        return []
+    free = lambda a, b: not any(x < b and a < y for x, y in base)
+    blocks, found = _blocks(text), set()
+    for low, high in _sensitive(text, cues, blocks):
+        for t in TOKEN.finditer(text, low, high):
+            a, b = t.span(t.lastgroup)
+            if _mixed(text[a:b]) and free(a, b) and novelty(text[a:b], text[max(0, a - AROUND):a] + text[b:b + AROUND]) >= NOVELTY:
+                found.add((a, b))
+    # what stands beside the novel lines of a key belongs to it: the rest of an armored body, and the short last line of a wrapped one
+    for low, high in blocks:
+        own = sorted(x for x in found if low <= x[0] < high)
+        if own:
+            body = [m.span(1) for m in _PIECE.finditer(text, low, high) if m[1]]
+            first = next((i for i, (a, b) in enumerate(body) if b - a >= 16), len(body))
+            for a, b in body[first:]:
+                k = bisect_right(own, (b,)) - 1
+                if free(a, b) and (k < 0 or own[k][1] <= a):
+                    found.add((a, b))
+    above = (0, 0)
+    for a, b in sorted(found):
+        rest = _REST.match(text, b)
+        wrapped = above[1] - above[0] == b - a > 0 and text[above[1]:a].isspace()
+        if rest and len(rest[1]) < min(16, b - a) and (rest[2] or wrapped) and free(*rest.span(1)):
+            found.add(rest.span(1))
+        above = (a, b)
+    return sorted(found)
+
+
 def scan(text: str | None) -> list[tuple[int, int, int]]:
     """Spans (start, number of the kind, end) in order."""
     if not text:
@@ -68,16 +151,7 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     if b"0" * 32 in raw.translate(_HEX_MARK):
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(w in low for w in _CUE_BYTES):
-        base = sorted((a, b) for a, _, b in found)
-        for m in _CUE.finditer(text):
-            for t in TOKEN.finditer(text, m.end(), min(len(text), m.end() + NEAR)):
-                start = t.start(t.lastgroup)
-                end = TOKEN.match(text, t.start()).end()
-                token = text[start:end]
-                if start and INNER.match(text[start - 1]) or not _mixed(token) or any(a < end and start < b for a, b in base) or (start, 3, end) in found:
-                    continue
-                if novelty(token, text[max(0, start - AROUND):start] + text[end:end + AROUND]) >= NOVELTY:
-                    found.append((start, 3, end))
+        found += [(a, 3, b) for a, b in _novel(text, sorted((a, b) for a, _, b in found))]
     return sorted(found)
 
 
