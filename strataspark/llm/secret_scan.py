@@ -3,8 +3,8 @@
 The base kinds (assign, access, hex) are found by their patterns, leftmost and without overlap within a kind. Besides,
 each long token of mixed characters in the line of a sensitive word, on both sides of it, or in the next line, and in
 the lines of a key block, is compressed with a dictionary made of the text
-around it and of common identifiers; what it adds to the compressed size, per character, is its novelty. Tokens of
-high novelty that no base span touches are reported as ``novel``.
+around it, without its own further copies, and of common identifiers; what it adds to the compressed size, per character, is its novelty. Tokens of
+high novelty that no base span touches, and their copies anywhere in the text, are reported as ``novel``.
 
 Null texts count as empty and have no spans. Equal texts have equal spans. Offsets are code points, ends exclusive.
 Only the id and text columns are read."""
@@ -40,6 +40,7 @@ _HEADER = re.compile(r"\n|[A-Za-z-]+: ")
 _PIECE = re.compile(r"\\[nrt]|(=?[A-Za-z0-9+/]+={0,2})")
 #: A short last line below a line of a key, and the end of the block or none.
 _REST = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/]+={0,2})[\x20\t\r]*(?:\n|$)[\x20\t]*(-----END)?")
+_STATEMENT = re.compile(r"[\n;]|[.!?](?=\s)")
 _CUE_BYTES = [c.encode() for c in CUES]
 _ASSIGN_BYTES = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"]
 _HEX_MARK = bytes(48 if c in b"0123456789abcdef" else 32 for c in range(256))
@@ -105,34 +106,90 @@ def _sensitive(text: str, cues: list[int], blocks: list[tuple[int, int]]) -> lis
     return out
 
 
+class _Statements:
+    """The statement of a place: its bounds, and whether a cue stands in it."""
+    def __init__(self, text: str, cues: list[int]):
+        self.text, self.cues, self.starts = text, cues, None
+
+    def __call__(self, at: int) -> bool:
+        if self.starts is None:
+            self.starts = [0, *(m.end() for m in _STATEMENT.finditer(self.text)), len(self.text) + 1]
+        k = bisect_right(self.starts, at)
+        return bisect_right(self.cues, self.starts[k]) > bisect_right(self.cues, self.starts[k - 1])
+
+
+def _core(token: str) -> str:
+    """A token without what may be punctuation or padding around it."""
+    return token.strip(".~=-") or token
+
+
+def _copies(text: str, core: str, low: int, high: int):
+    at = text.find(core, low, high)
+    while at >= 0:
+        yield at
+        at = text.find(core, at + len(core), high)
+
+
+def _context(text: str, a: int, b: int, cued: _Statements) -> str:
+    """The characters around a candidate without further copies of it, which would explain a repeated secret by itself.
+
+    Only a copy that its line first names in a statement without a cue, and then in one with a cue, remains: it is a
+    name that the text explains."""
+    core = _core(text[a:b])
+    n = len(core)
+    out = []
+    for low, high in ((max(0, a - AROUND), a), (b, min(len(text), b + AROUND))):
+        at = low
+        for c in _copies(text, core, b if low == b else max(0, low - n), min(len(text), high + n) if low == b else a):
+            first, second = sorted((a, c))
+            if "\n" not in text[first:second] and not cued(first) and cued(second):
+                continue
+            out.append(text[at:max(at, c)])
+            at = max(at, min(high, c + n))
+        out.append(text[at:high])
+    return " ".join(out)
+
+
 def _novel(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of novel tokens in sensitive context that no base span touches."""
     cues = [m.end() for m in _CUE.finditer(text)]
     if not cues:
         return []
-    free = lambda a, b: not any(x < b and a < y for x, y in base)
-    blocks, found = _blocks(text), set()
+    taken = bytearray(len(text))
+    found: set[tuple[int, int]] = set()
+    free = lambda a, b: taken.find(1, a, b) < 0
+
+    def take(a: int, b: int) -> None:
+        found.add((a, b))
+        taken[a:b] = b"\1" * (b - a)
+
+    for a, b in base:
+        taken[a:b] = b"\1" * (b - a)
+    blocks, cued = _blocks(text), _Statements(text, cues)
     for low, high in _sensitive(text, cues, blocks):
         for t in TOKEN.finditer(text, low, high):
             a, b = t.span(t.lastgroup)
-            if _mixed(text[a:b]) and free(a, b) and novelty(text[a:b], text[max(0, a - AROUND):a] + text[b:b + AROUND]) >= NOVELTY:
-                found.add((a, b))
+            if _mixed(text[a:b]) and free(a, b) and novelty(text[a:b], _context(text, a, b, cued)) >= NOVELTY:
+                take(a, b)
+    # further copies of what was found
+    for core in sorted({_core(text[a:b]) for a, b in found}, key=lambda c: (-len(c), c)):
+        for at in _copies(text, core, 0, len(text)):
+            if free(at, at + len(core)):
+                take(at, at + len(core))
     # what stands beside the novel lines of a key belongs to it: the rest of an armored body, and the short last line of a wrapped one
     for low, high in blocks:
-        own = sorted(x for x in found if low <= x[0] < high)
-        if own:
+        if any(low <= a < high for a, _ in found):
             body = [m.span(1) for m in _PIECE.finditer(text, low, high) if m[1]]
             first = next((i for i, (a, b) in enumerate(body) if b - a >= 16), len(body))
             for a, b in body[first:]:
-                k = bisect_right(own, (b,)) - 1
-                if free(a, b) and (k < 0 or own[k][1] <= a):
-                    found.add((a, b))
+                if free(a, b):
+                    take(a, b)
     above = (0, 0)
     for a, b in sorted(found):
         rest = _REST.match(text, b)
         wrapped = above[1] - above[0] == b - a > 0 and text[above[1]:a].isspace()
         if rest and len(rest[1]) < min(16, b - a) and (rest[2] or wrapped) and free(*rest.span(1)):
-            found.add(rest.span(1))
+            take(*rest.span(1))
         above = (a, b)
     return sorted(found)
 

@@ -141,6 +141,14 @@ def test_secret_key_blocks(rng, join):
             assert secret_scan.redact(join.join(part)) == join.join("[SECRET]" if x in lines else x for x in part)
 
 
+def test_secret_printed_twice():
+    hidden = "q9ZxT4vLm2RkW8pYb7Ns"
+    for form in ("pwd={0}\npwd={0}\n", "export SIGNING_KEY={0}\ncurl -H 'X-Auth: {0}' https://host.example\n", "private_key={0}\ncurl https://host.example/{0}/list\n", "the auth header is {0}. Again: the auth header is {0}.", "x {0}\n" + 600 * "y " + "\nthe key is {0}"):
+        assert hidden not in secret_scan.redact(form.format(hidden)), form
+    text = "key={0} ".format(hidden) + "a " * 250 + hidden  # the copy is cut by the edge of the context
+    assert hidden not in secret_scan.redact(text)
+
+
 def test_secret_rows(spark, rng):
     rows = [*odd_rows(rng), (20, "é token = abcdefgh12")]
     got = {r.doc_id: r for r in secret_scan.secrets(frame(spark, rows)).collect()}
