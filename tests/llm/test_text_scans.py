@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from conftest_llm import frame, odd_rows, words
-from strataspark.llm import language, license_scan, media, pii, secret_scan
+from strataspark.llm import language, license_data, license_scan, media, pii, secret_scan
 
 ODD = ("1", "", "a")
 
@@ -176,6 +176,21 @@ def test_license_index_finds_every_verbatim_notice(rng):
         assert (name, 1.0) in [x[:2] for x in found]
 
 
+def test_license_set(spark, rng):
+    whole = license_data.texts()
+    assert {"mit-text", "gpl-2.0-text", "lgpl-2.1-text", "mpl-2.0-text", "epl-1.0-text", "isc-text", "unlicense-text"} <= set(whole)
+    few = ["mit-text", "isc-text", "bsd-3-clause-text", "gpl-2.0-text", "unlicense-text", "mpl-2.0-text"]
+    rows = [(i, f"{words(rng, 20)}\n\n{whole[n]}\n\n{words(rng, 20)}") for i, n in enumerate(few)]
+    lines = {"This work is licensed under the GNU Lesser General Public License, version 2.1": "lgpl-2.1-notice", "Licensed under CC BY-SA 4.0": "cc-by-sa-4.0-notice", "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0", "Released under the ISC License": "isc-notice",
+             "This work is licensed under the GNU General Public License, version 2": "gpl-2-notice", "// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND LicenseRef-Own": "spdx-mit,spdx-gpl-2.0-only,spdx-licenseref-own"}
+    rows += [(100 + i, f"{words(rng, 20)}\n{t}\n{words(rng, 20)}") for i, t in enumerate(lines)]
+    got = {r.doc_id: r.matches.split(",") for r in license_scan.licenses(frame(spark, rows)).collect()}
+    for i, n in enumerate(few):
+        (name, coverage, a, b), = [x.split(":") for x in got[i]]
+        assert (name, coverage) == (n, "1.0000") and int(b) - int(a) > 0.95 * len(whole[n].strip())
+    assert [",".join(x.split(":")[0] for x in got[100 + i]) for i in range(len(lines))] == list(lines.values())
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(2)
     for n in (1, 2, 5, 7):
