@@ -15,6 +15,8 @@ from strataspark.session import scratch_dir
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go."""
     model = language.train(docs)
+    if not model.languages:  # no labelled row to learn from: letters alone decide
+        return filter_documents(docs, "text", lambda texts: [any(map(str.isalpha, x or "")) for x in texts])
     return filter_documents(docs, "text", lambda texts: [x != "und" for x in language.predict(texts, model)[0]], language.BLOCK)
 
 

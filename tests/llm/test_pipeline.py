@@ -55,6 +55,12 @@ def test_run_and_empty(spark, rng, tmp_path):
         assert docs_out.count() == 0, name
 
 
+def test_language_stage_without_labels(spark, rng):
+    rows = [(1, words(rng, 30), None), (2, "1 a", None), (3, "123 456", None), (4, "", None), (5, None, None), (6, "привет", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == {1, 2, 6}
+
+
 def test_registered():
     import __spark_entry__ as e
     names = e.queries()
