@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, license_scan, media, minhash, packing, periodic, pii, secret_scan, sharding, suffix_dedup
+from . import burst_trie, decontaminate, language, license_scan, media, minhash, packing, periodic, pii, secret_scan, sharding, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,28 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_recompression_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents"), prepare=periodic.planted)
+
+
+@query("op11_burst_trie", r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+d AS (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS tid, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM t),
+r AS (SELECT conv_id, tid, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tid) - 1 AS pos FROM d),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM r)),
+b AS (SELECT i.conv_id, 0 AS part, pos, tid, w FROM ids i JOIN r ON r.conv_id = i.base AND r.pos < i.h
+  UNION ALL SELECT i.conv_id, 1, pos, tid, w FROM ids i JOIN r ON r.conv_id = i.conv_id AND r.pos >= i.h),
+seq AS (SELECT ids.conv_id, coalesce(list(tid ORDER BY part, pos) FILTER (tid IS NOT NULL), []) AS t, coalesce(list(w ORDER BY part, pos) FILTER (tid IS NOT NULL), []) AS w
+  FROM ids LEFT JOIN b ON b.conv_id = ids.conv_id GROUP BY ids.conv_id),
+steps AS (SELECT conv_id, d, array_to_string(t[1:d], '') AS k, CASE WHEN d > 0 THEN array_to_string(t[1:d - 1], '') END AS up, coalesce(w[d], 0) AS w, d = len(t) AS ends
+  FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM seq)),
+node AS (SELECT d, k, any_value(up) AS up, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends FROM steps GROUP BY d, k),
+kids AS (SELECT up, count(*) AS n FROM node WHERE d > 0 GROUP BY up),
+sub AS (SELECT s.k, sum((u.n - 1) * u.w) AS saved, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM node u LEFT JOIN kids ON kids.up = u.k JOIN steps s ON s.conv_id = u.conv_id AND s.d <= u.d GROUP BY s.k)
+SELECT node.conv_id, node.d::BIGINT AS depth, p.conv_id AS parent_conv_id, node.n::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, sub.leaves::BIGINT AS n_leaves, sub.saved::BIGINT AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN sub ON sub.k = node.k LEFT JOIN kids ON kids.up = node.k LEFT JOIN node p ON node.d > 0 AND p.k = node.up
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return burst_trie.prefix_trie(*burst_trie.shared_starts(burst_trie.turns(table(spark, sf_dir, "conversations"))))
