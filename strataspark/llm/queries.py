@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import burst_trie, decontaminate, language, license_scan, media, minhash, packing, periodic, pii, secret_scan, sharding, suffix_dedup
+from . import burst_trie, decontaminate, language, license_scan, media, minhash, packing, periodic, pii, secret_scan, sharding, suffix_dedup, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,10 @@ FROM node JOIN sub ON sub.k = node.k LEFT JOIN kids ON kids.up = node.k LEFT JOI
 """)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return burst_trie.prefix_trie(*burst_trie.shared_starts(burst_trie.turns(table(spark, sf_dir, "conversations"))))
+
+
+@query("op12_channel_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted", "restored")
