@@ -9,60 +9,62 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.draws import slot
 from ..functions.vectors import dot, l2_normalise, minus
-from ..session import checkpointed
+from ..session import checkpointed, ship_code
+from .balls import ball_search, matrix, similarity
 from .ranking import group_percentile, hash_rank
 
-DECIMALS = 9        # scores are rounded before they are compared, so float noise cannot split a tie
-
-
-def _block_top_k(k: int, exclude_self: bool, metric: str) -> Callable:
-    """Top ``k`` reference rows of one block for every query row of another: one matrix product."""
-    def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "sim": np.zeros(0)})
+def _whole_groups(k: int, exclude_self: bool, metric: str) -> Callable:
+    """Top ``k`` reference rows of a small group for every query row: one matrix product."""
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "sim": np.zeros(0), "rank": np.zeros(0, np.int32)})
         if len(q) == 0 or len(r) == 0:
             return empty
-        a, b = np.stack(q["u"].to_numpy()).astype(np.float64), np.stack(r["u"].to_numpy()).astype(np.float64)
-        s = a @ b.T
-        if metric == "euclidean":
-            s = 2 * s - (a * a).sum(1)[:, None] - (b * b).sum(1)[None, :]
-        s = np.round(s, DECIMALS)
+        r = r.sort_values("i", kind="stable")                # columns by id, so equal scores keep id order
+        s = similarity(matrix(q["u"]), matrix(r["u"]), metric)
         qi, rj = q["i"].to_numpy(), r["i"].to_numpy()
-        order = np.argsort(rj, kind="stable")                # columns by id, so equal scores keep id order
-        s, rj = s[:, order], rj[order]
         if exclude_self:
             s[qi[:, None] == rj[None, :]] = -np.inf
         m = min(k, s.shape[1])
         top = np.argsort(-s, axis=1, kind="stable")[:, :m]
         rows = np.repeat(np.arange(len(qi)), m)
-        out = pd.DataFrame({"i": qi[rows], "j": rj[top.ravel()], "sim": s[rows, top.ravel()]})
+        out = pd.DataFrame({"i": qi[rows], "j": rj[top.ravel()], "sim": s[rows, top.ravel()], "rank": np.tile(np.arange(1, m + 1, dtype=np.int32), len(qi))})
         return out[np.isfinite(out["sim"])]
     return run
 
 
+def _sides(queries: DataFrame, reference: DataFrame, by: list[str], z: str, metric: str, eps: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    prep = (lambda c: l2_normalise(c, eps)) if metric == "cosine" else (lambda c: F.transform(c, lambda x: x.cast("double")))
+    keys = [F.col(c) for c in by] or [F.lit(0).alias("__g")]
+    side = lambda d: checkpointed(d.select(*keys, F.col("unit_id").cast("long").alias("i"), F.transform(prep(z), lambda x: x + F.lit(0.0)).alias("u")))
+    q = side(queries)
+    return q, q if reference is queries else side(reference), by or ["__g"]
+
+
 def nearest(queries: DataFrame, reference: DataFrame, by: list[str], k: int, z: str = "z", exclude_self: bool = False,
             metric: str = "cosine", eps: float = 1e-8, block: int = 2048) -> DataFrame:
     """Exact ``k`` nearest reference rows (i, j, sim, rank) of every query row inside its group.
 
-    A group is cut into seeded blocks of about ``block`` rows. Every pair of a query block and a reference
-    block is one bounded task that returns at most k rows per query; the final k come from a per-query window
-    over k rows per reference block. No task holds a group and no all-pairs table is written."""
-    prep = (lambda c: l2_normalise(c, eps)) if metric == "cosine" else (lambda c: F.transform(c, lambda x: x.cast("double")))
-    const = [F.lit(0).alias("__g")]
-    keys = [F.col(c) for c in by] or const
-    g = by or ["__g"]
-    side = lambda d: checkpointed(d.select(*keys, F.col("unit_id").cast("long").alias("i"), prep(z).alias("u")))
-    q = side(queries)
-    r = q if reference is queries else side(reference)
-    nb = lambda d, name: d.groupBy(*g).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).alias(name))
-    sizes = nb(q, "nq").join(nb(r, "nr"), g)
-    q = q.join(sizes, g).withColumn("bq", slot("nq", "q", "i")).withColumn("br", F.explode(F.sequence(F.lit(1).cast("long"), F.col("nr"))))
-    r = r.join(sizes, g).withColumn("br", slot("nr", "r", "i")).withColumn("bq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("nq"))))
-    cols = [*g, "bq", "br"]
-    r = r.select(*[F.col(c).alias(c) for c in [*cols, "i", "u"]])            # own column identities when both sides are one table
-    part = (q.select(*cols, "i", "u").groupBy(*cols).cogroup(r.groupBy(*cols))
-             .applyInPandas(_block_top_k(k, exclude_self, metric), "i long, j long, sim double"))
-    w = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    Where every group is one block, each is one bounded task. Larger groups are searched through a tree of balls
+    (``balls.ball_search``): rows go only to blocks that may hold a neighbour, equal vectors are searched once."""
+    q, r, g = _sides(queries, reference, by, z, metric, eps)
+    ship_code(queries.sparkSession)
+    most = max(x.agg(F.max("n")).first()[0] or 0 for x in {id(d): d.groupBy(*g).agg(F.count(F.lit(1)).alias("n")) for d in (q, r)}.values())
+    if most <= block:
+        r = r.select(*[F.col(c).alias(c) for c in [*g, "i", "u"]])           # own column identities when both sides are one table
+        return q.groupBy(*g).cogroup(r.groupBy(*g)).applyInPandas(_whole_groups(k, exclude_self, metric), "i long, j long, sim double, rank int")
+    found, _ = ball_search(q, r, g, k + int(exclude_self), metric, block, r is q)
+    d = q.select(*g, "i", F.xxhash64("u").alias("h"), F.xxhash64(F.lit(1), "u").alias("h2")).join(found, [*g, "h", "h2"])
+    near = F.filter("near", lambda x: x["j"] != F.col("i")) if exclude_self else F.col("near")
+    d = d.select("i", F.posexplode(F.slice(near, 1, k)).alias("p", "x"))
+    return d.select("i", F.col("x.j").alias("j"), F.col("x.sim").alias("sim"), (F.col("p") + 1).cast("int").alias("rank"))
+
+
+def block_pairs(queries: DataFrame, reference: DataFrame, by: list[str], k: int, z: str = "z", exclude_self: bool = False, metric: str = "cosine", eps: float = 1e-8, block: int = 2048) -> DataFrame:
+    """Per group: pairs of a query block and a reference block (n_pairs), those that the search compares (n_searched), and
+    the share that the bounds skip."""
+    q, r, g = _sides(queries, reference, by, z, metric, eps)
+    _, blocks = ball_search(q, r, g, k + int(exclude_self), metric, block, r is q)
+    return blocks.select(*by, "n_pairs", "n_searched", (1 - F.col("n_searched") / F.col("n_pairs")).alias("share_skipped"))
 
 
 def knn_within_group(df: DataFrame, group: str, k: int, **kw) -> DataFrame:

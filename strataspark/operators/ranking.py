@@ -109,47 +109,86 @@ def running_sum(df: DataFrame, by: list[str], rank: str, sums: dict[str, str], b
     return d.drop("__blk", *[f"__o_{n}" for n in sums])
 
 
+CELLS = 4096            # different values of a bracket that are put in order at once
+BINS = 1024
+SHORT = 200             # rows of a group that needs no bracket
+SIDE = 0.02
+BROADCAST_ROWS = 100_000
+
+
+def _below(pairs: Column, k: Column) -> Column:
+    """Of an ordered array of (v, c): the index of the entry that holds position ``k``, and the count before it."""
+    start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).alias("at"), F.lit(False).alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        done = acc["done"] | (acc["before"] + x["c"] > k)
+        return F.struct(F.when(done, acc["before"]).otherwise(acc["before"] + x["c"]).alias("before"), F.when(done, acc["at"]).otherwise(acc["at"] + 1).alias("at"), done.alias("done"))
+    return F.aggregate(pairs, start, step)
+
+
+def _refined(cells: DataFrame, state: DataFrame, keys: list[str], log: bool) -> tuple[DataFrame, DataFrame]:
+    """One round: a histogram of every bracket, and the cells and state of the bin in which its position lies."""
+    scale = (lambda v: F.signum(v) * F.log1p(F.abs(v))) if log else (lambda v: v)
+    ends = cells.groupBy(*keys).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"))
+    width = scale(F.col("__hi")) - scale(F.col("__lo"))
+    # the ends always fall in different bins: infinite or vanishing widths leave only the largest value for the last one
+    spread = F.floor((scale(F.col("v")) - scale(F.col("__lo"))) / width * (BINS - 1))
+    ok = (width > 0) & (width < float("inf"))
+    at = F.when(F.col("v") == F.col("__hi"), BINS - 1).when(F.col("v") == F.col("__lo"), 0).when(ok, F.least(F.greatest(spread, F.lit(0)), F.lit(BINS - 2))).otherwise(1)
+    binned = checkpointed(cells.join(ends, keys).withColumn("bin", at.cast("int")).drop("__lo", "__hi"))
+    counts = binned.groupBy(*keys, "bin").agg(F.sum("c").alias("c"), F.min("v").alias("low"))
+    hist = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "c", "low"))).alias("hist"))          # at most BINS entries
+    found = state.join(hist, keys).withColumn("f", _below(F.col("hist"), F.col("k"))).withColumn("__n", F.col("f.at") + 1)
+    nxt = F.when(F.col("__n") < F.size("hist"), F.get(F.col("hist"), F.col("__n"))["low"]).otherwise(F.col("above"))
+    found = checkpointed(found.select(*keys, (F.col("k") - F.col("f.before")).alias("k"), "t", nxt.alias("above"), F.get(F.col("hist"), F.col("f.at"))["bin"].alias("bin")))
+    kept = binned.join(found.select(*keys, "bin"), [*keys, "bin"]).drop("bin")
+    return checkpointed(kept), found.drop("bin")
+
+
 def group_percentile(df: DataFrame, by: list[str], value, probs: dict[str, float], accuracy: int = 10000) -> DataFrame:
     """Exact percentiles (linear interpolation) per group: one column per entry of ``probs``.
 
-    Pass 1 brackets every wanted position with ``percentile_approx`` (rank error <= n/accuracy);
-    pass 2 counts rows between the brackets and keeps distinct values only inside them, so the
-    ordered scan of a group sees a sliver of its rows. A position outside its bracket fails the job."""
+    Pass 1 brackets every wanted position with ``percentile_approx`` (rank error <= n/accuracy); pass 2 counts what lies
+    below each bracket and keeps the different values inside it with their counts. Brackets of more than ``CELLS``
+    values are refined, all at once, by histograms in which only the bin of the position is kept: no group is ordered in
+    a task, whatever its size. A position outside its bracket fails the job."""
     v = F.col(value) if isinstance(value, str) else value
     names = list(probs)
-    if not by:
-        df, by_ = df.withColumn("__all", F.lit(1)), ["__all"]
-    else:
-        by_ = by
-    x = df.select(*by_, v.cast("double").alias("__v"))
-    x = x.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    slack = 3.0 / accuracy
-    lo = [max(p - slack, 0.0) for p in probs.values()]
-    hi = [min(p + slack, 1.0) for p in probs.values()]
-    br = x.groupBy(*by_).agg(F.percentile_approx("__v", [*lo, *hi], accuracy).alias("__q"), F.count(F.lit(1)).alias("__n"))
     m = len(names)
-    small = F.col("__n") <= 10 * accuracy                  # a short group is ordered whole
-    if by:
-        x = x.join(br, by_)
-    else:                                                  # one group: its brackets are a scalar
-        one = br.select(F.struct("__q", "__n")).scalar()
-        x = x.withColumn("__s", one).select(*by_, "__v", F.col("__s.__q").alias("__q"), F.col("__s.__n").alias("__n"))
-    inside = reduce(lambda a, b: a | b, [small] + [(F.col("__v") >= F.col("__q")[i]) & (F.col("__v") <= F.col("__q")[m + i]) for i in range(m)])
-    gap = reduce(lambda a, b: a + b, [F.when(~small & (F.col("__v") > F.col("__q")[m + i]), 1).otherwise(0) for i in range(m)])
-    cells = (x.select(*by_, gap.alias("__gap"), F.when(inside, F.col("__v")).alias("__keep"))
-              .groupBy(*by_, "__gap", "__keep").agg(F.count(F.lit(1)).alias("__c")))
-    w = Window.partitionBy(*by_).orderBy(F.col("__gap"), F.col("__keep").asc_nulls_first())
-    cum = F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    cells = cells.withColumn("__hi", cum).withColumn("__n", F.sum("__c").over(Window.partitionBy(*by_)))
-    aggs = []
-    for n in names:
-        h = (F.col("__n") - 1) * F.lit(float(probs[n]))
-        kept = F.coalesce(F.col("__keep"), F.raise_error(F.lit("percentile position outside its bracket")).cast("double"))
-        at = lambda k: (F.col("__hi") - F.col("__c") <= k) & (k < F.col("__hi"))
-        aggs += [F.max(F.when(at(F.floor(h)), kept)).alias(f"__a_{n}"), F.max(F.when(at(F.ceil(h)), kept)).alias(f"__b_{n}"),
-                 F.max(h - F.floor(h)).alias(f"__t_{n}")]
-    out = cells.groupBy(*by_).agg(*aggs)
-    return out.select(*by, *[(F.col(f"__a_{n}") + (F.col(f"__b_{n}") - F.col(f"__a_{n}")) * F.col(f"__t_{n}")).alias(n) for n in names])
+    by_ = by or ["__all"]
+    keys = [*by_, "__p"]
+    x = (df if by else df.withColumn("__all", F.lit(1))).select(*by_, (v.cast("double") + F.lit(0.0)).alias("v"))
+    x = x.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    # the bracket is narrow in long groups, wider in shorter ones, and the whole of a short one
+    edges = [f(p, s) for s in (3.0 / accuracy, SIDE) for f in (lambda p, s: max(p - s, 0.0), lambda p, s: min(p + s, 1.0)) for p in probs.values()]
+    br = checkpointed(x.groupBy(*by_).agg(F.percentile_approx("v", edges, accuracy).alias("__q"), F.count(F.lit(1)).alias("__n")))
+    at = F.when(F.col("__n") > 10 * accuracy, 0).otherwise(2 * m)
+    whole = F.col("__n") <= SHORT
+    few = br.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    d = x.join(F.broadcast(br) if few else br, by_)
+    side = lambda i: F.when(whole, 1).when(F.col("v") < F.get(F.col("__q"), at + i), 0).when(F.col("v") <= F.get(F.col("__q"), at + m + i), 1).otherwise(2)
+    # one row per value inside a bracket, and one per bracket for what lies below and above
+    d = d.select(*by_, "v", F.posexplode(F.array(*[side(i) for i in range(m)])).alias("__p", "__side"))
+    cells = d.groupBy(*keys, "__side", F.when(F.col("__side") == 1, F.col("v")).alias("__in")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v"))
+    cells = checkpointed(cells.drop("__in"))
+    outside = cells.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("__side") == 0, F.col("c"))), F.lit(0)).alias("below"), F.min(F.when(F.col("__side") == 2, F.col("v"))).alias("above"))
+    h = (F.col("__n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("__p") + 1)
+    state = br.select(*by_, "__n").join(outside, by_).select(*keys, (F.floor(h) - F.col("below")).alias("k"), (h - F.floor(h)).alias("t"), "above")
+    cells = cells.where("__side = 1").drop("__side")
+    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    log = False
+    while (sizes.agg(F.max("n")).first()[0] or 0) > CELLS:
+        cells, state = _refined(cells, state, keys, log)
+        sizes, log = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), not log
+    lists = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("cells"))                  # at most CELLS entries
+    got = state.join(lists, keys).withColumn("f", _below(F.col("cells"), F.col("k")))
+    here = F.get(F.col("cells"), F.col("f.at"))
+    last = F.col("k") + 1 >= F.col("f.before") + here["c"]          # the next position holds the next value
+    nxt = F.when(~last, here["v"]).when(F.col("f.at") + 1 < F.size("cells"), F.get(F.col("cells"), F.col("f.at") + 1)["v"]).otherwise(F.col("above"))
+    a = F.when((F.col("k") >= 0) & here.isNotNull(), here["v"]).otherwise(F.raise_error(F.lit("percentile position outside its bracket")).cast("double"))
+    val = F.when(F.col("t") == 0, a).otherwise(a + (nxt - a) * F.col("t"))
+    out = got.select(*by_, "__p", val.alias("val")).groupBy(*by_).agg(*[F.max(F.when(F.col("__p") == i, F.col("val"))).alias(n) for i, n in enumerate(names)])
+    return out.select(*by, *names)
 
 
 def top_k_by_count(df: DataFrame, value: str, position: str, k: int) -> DataFrame:

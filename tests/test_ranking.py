@@ -119,3 +119,22 @@ def test_nested_draws_and_the_whole_pool(spark):
     got = S.nested_draw(d, [5, 40, "all"], 9).toPandas().groupby("size").unit_id.apply(set)
     order = sorted(range(300), key=lambda u: md5(9, u))
     assert got[5] == set(order[:5]) and got[40] == set(order[:40]) and got[300] == set(range(300))
+
+
+def test_brackets_with_many_values_are_refined(spark, monkeypatch):
+    """Geometric values over 600 orders of magnitude, infinities, ties and few different values, in brackets that are cut
+    down to a handful of values by histograms."""
+    monkeypatch.setattr(R, "CELLS", 8)
+    rng = np.random.default_rng(4)
+    cases = {"wide": 10.0 ** rng.uniform(-300, 300, 4000) * rng.choice([-1, 1], 4000), "ties": np.round(rng.normal(size=4000), 1), "one": np.full(900, 2.5), "short": rng.normal(size=5),
+             "ends": np.r_[rng.normal(size=3000), np.full(40, np.inf), np.full(40, -np.inf)], "two": np.repeat([1.0, 5.0], 300)}
+    p = pd.DataFrame([(g, float(x)) for g, v in cases.items() for x in v], columns=["g", "v"])
+    probs = {"a": 0.0, "b": 0.05, "m": 0.5, "d": 0.973, "e": 1.0}
+    got = R.group_percentile(spark.createDataFrame(p).repartition(5), ["g"], "v", probs, accuracy=100).toPandas().set_index("g")
+    for g, v in cases.items():
+        v = np.sort(v)
+        for n, q in probs.items():
+            h = (len(v) - 1) * q
+            k, t = int(h), h - int(h)
+            want = v[k] if t == 0 or v[k] == v[k + 1] else v[k] + (v[k + 1] - v[k]) * t
+            assert got.loc[g, n] == want or np.isclose(got.loc[g, n], want, rtol=1e-12), (g, n)
