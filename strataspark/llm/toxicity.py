@@ -48,12 +48,13 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 READ_SIGN, KEEP_SIGN, DROP_REPEAT, DROP_GAP, END_AT_GAP = 1.0, 2.0, 0.7, 0.3, 1.5
 _SIGN = "[0-9@$!|+€£¥]"
 _LETTER = r"[^\W\d_]"
+_GAPS = " .*_-"
 WORDS = re.compile(_LETTER + "+")
 MIXED = re.compile(rf"(?:{_LETTER}|{_SIGN})+")
-SPACED = re.compile(rf"(?<![\w@$]){_LETTER}(?:[ .*_-]{{1,2}}(?:{_LETTER}|[0-9@$!|+]))+(?![\w@$])")
+SPACED = re.compile(rf"{_LETTER}(?:[{_GAPS}]{{1,2}}(?:{_LETTER}|[0-9@$!|+]))+(?![\w@$])")
 REPEATED = re.compile(rf"({_LETTER})\1\1")
 #: Runs of signs at a token's ends are no letters, nor is punctuation there.
-EDGES = re.compile(rf"^[!|+]+|[!|+]+$|^([@$€£¥])\1\1+|([@$€£¥])\2\2+$")
+EDGES = re.compile(r"^[!|+]+|[!|+]+$|^([@$€£¥])\1\1+|([@$€£¥])\2\2+$")
 SIGNED = re.compile(rf"{_LETTER}.*{_SIGN}|{_SIGN}.*{_LETTER}")
 _FOLD: dict[str, int] = {}
 _TABLES: list[np.ndarray] = []
@@ -147,8 +148,8 @@ def decode(token: str, cost: np.ndarray, spaced: bool = False) -> str:
 class Restorer:
     """Readings of obfuscated tokens, kept while the task lives (up to ``CACHE`` of them)."""
 
-    def __init__(self, cost: np.ndarray):
-        self.cost, self.known = cost, {}
+    def __init__(self, cost: np.ndarray, known: dict | None = None):
+        self.cost, self.known = cost, {} if known is None else known
 
     def read(self, token: str, spaced: bool) -> str:
         got = self.known.get((token, spaced))
@@ -158,31 +159,88 @@ class Restorer:
             got = self.known[token, spaced] = decode(token, self.cost, spaced)
         return got
 
-    def restored(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, reading) of the tokens that read otherwise than they are written."""
-        out = []
-        for m in SPACED.finditer(text):
-            if sum(1 for c in m[0] if c.isalnum() or c in SIGNS) >= 3:
-                out.append((m.start(), m.end(), self.read(m[0], True)))
-        signs = any(s in text for s in SIGNS)
-        if signs or REPEATED.search(text.lower()):
-            for m in MIXED.finditer(text):
-                token = EDGES.sub("", m[0])
-                if token and (REPEATED.search(token.lower()) or signs and SIGNED.search(token)):
-                    at = m.start() + m[0].index(token)
-                    got = self.read(token, False)
-                    if got != token.lower():
-                        out.append((at, at + len(token), got))
-        return sorted(out)
-
-    def words(self, text: str | None) -> set[str]:
-        """All words of the text, as written and as restored, in lower case."""
-        if not text:
-            return set()
-        found = set(WORDS.findall(text.lower()))
-        for _, _, reading in self.restored(text):
-            found.update(WORDS.findall(reading))
-        return found
+    def restored(self, texts: list) -> list[list[tuple[int, int, str]]]:
+        """(start, end, reading) of each text's tokens that read otherwise than they are written."""
+        out: list[list] = [[] for _ in texts]
+        spaced, mixed = suspicious(texts)
+        for hits, is_spaced in ((spaced, True), (mixed, False)):
+            last, end = -1, 0
+            for k, at in hits:
+                text = texts[k]
+                if k != last:
+                    last, end = k, 0
+                if at < end:
+                    continue
+                if is_spaced:
+                    m = SPACED.match(text, at)
+                    if m is None or sum(c not in _GAPS for c in m[0]) < 3:
+                        continue
+                    token, at, end = m[0], m.start(), m.end()
+                else:
+                    while at > end and (text[at - 1].isalpha() or text[at - 1] in SIGNS):
+                        at -= 1
+                    m = MIXED.match(text, at)
+                    if m is None:
+                        continue
+                    end = m.end()
+                    token = EDGES.sub("", m[0])
+                    if not token or not (SIGNED.search(token) or REPEATED.search(token.lower())):
+                        continue
+                    at += m[0].index(token)
+                got = self.read(token, is_spaced)
+                if got != token.lower():
+                    out[k].append((at, at + len(token), got))
+        return [sorted(x) for x in out]
+
+    def words(self, texts: list) -> tuple[list[set[str]], list[list[tuple[int, int, str]]]]:
+        """All words of each text, as written and as restored, in lower case; and the restored tokens."""
+        restored = self.restored(texts)
+        found = [set(WORDS.findall(t.lower())) if t else set() for t in texts]
+        for words, tokens in zip(found, restored):
+            for _, _, reading in tokens:
+                words.update(WORDS.findall(reading))
+        return found, restored
+
+
+def suspicious(texts: list) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Places (text, code point) at which a row of single letters begins, and of signs beside letters and letters three
+    times in a row, in order."""
+    whole = "\n" + "\n\n\n".join(t or "" for t in texts) + "\n\n\n"
+    starts = np.cumsum([1] + [len(t or "") + 3 for t in texts])
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind, low = _kinds()
+    c = kind[np.minimum(points, len(kind) - 1)]
+    for at in np.flatnonzero(points >= len(kind)):
+        c[at] = LETTER if whole[at].isalpha() else 0
+    letter, gap = c == LETTER, (c == GAP) | (c == BAR)
+    dark = letter | (c == SIGN) | (c == WEAK)
+    x = low[np.minimum(points, len(low) - 1)]
+    triple = letter[2:] & (x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]) & (points[2:] < len(low))
+    # punctuation stands for a letter only between letters and signs
+    near = (c[1:-1] == SIGN) & (letter[:-2] | letter[2:]) | (c[1:-1] == WEAK) & dark[:-2] & dark[2:] & (letter[:-2] | letter[2:])
+    mixed = np.union1d(np.flatnonzero(near) + 1, np.flatnonzero(triple) + 2)
+    # a single letter with a gap behind it, and a single letter or sign with a gap or an end behind that
+    single = letter[1:-4] & ~dark[:-5] & (c[:-5] != WORDY) & gap[2:-3]
+    first = single & (dark[3:-2] & ~dark[4:-1] | gap[3:-2] & dark[4:-1] & ~dark[5:])
+    spaced = np.flatnonzero(first) + 1
+    out = []
+    for hits in (spaced, mixed):
+        k = np.searchsorted(starts, hits, side="right") - 1
+        out.append(list(zip(k.tolist(), (hits - starts[k]).tolist())))
+    return out[0], out[1]
+
+
+LETTER, SIGN, GAP, BAR, WORDY, WEAK = 1, 2, 3, 4, 5, 6
+_KINDS: list[np.ndarray] = []
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower-case form of the code points below 0x3000."""
+    if not _KINDS:
+        chars = [chr(k) for k in range(0x3000)]
+        _KINDS.append(np.array([WEAK if c in "!|+" else SIGN if c in SIGNS else LETTER if c.isalpha() else BAR if c == "_" else GAP if c in _GAPS else WORDY if c.isalnum() else 0 for c in chars], np.uint8))
+        _KINDS.append(np.array([ord(c.lower()) if len(c.lower()) == 1 else k for k, c in enumerate(chars)], np.uint32))
+    return _KINDS[0], _KINDS[1]
 
 
 def features(word: str) -> list[str]:
@@ -196,18 +254,17 @@ class Model:
     chance: list[float]
     cost: np.ndarray
     known: dict = field(default_factory=dict, repr=False)
+    readings: dict = field(default_factory=dict, repr=False)
 
     def strongest(self, words: set[str]) -> float:
-        best, known, evidence = 0.0, self.known, self.evidence
-        for w in words:
-            e = known.get(w)
-            if e is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                e = known[w] = max((evidence.get(f, 0.0) for f in features(w)), default=0.0)
-            if e > best:
-                best = e
-        return best
+        known, evidence = self.known, self.evidence
+        new = words - known.keys()
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = words
+        for w in new:
+            known[w] = max(evidence.get(f, 0.0) for f in features(w))
+        return max(map(known.__getitem__, words), default=0.0)
 
 
 def _weight(toxic: np.ndarray, other: np.ndarray, prior: float) -> np.ndarray:
@@ -266,7 +323,7 @@ def _with_words(rows: DataFrame, cost) -> DataFrame:
 
     def run(block: pa.RecordBatch) -> dict:
         restorer = Restorer(cost.value)
-        return {"fold": block.column(1), "toxic": block.column(2), "words": [sorted(restorer.words(t)) for t in block.column(0).to_pylist()]}
+        return {"fold": block.column(1), "toxic": block.column(2), "words": [list(w) for w in restorer.words(block.column(0).to_pylist())[0]]}
     return map_documents(rows, "text", out, run, BLOCK)
 
 
@@ -276,25 +333,25 @@ def _feature_counts(rows: DataFrame, wanted: dict | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
-        total: Counter = Counter()
+        totals: dict[tuple, Counter] = {}
 
         def given() -> pa.RecordBatch:
-            cols = list(zip(*((*k, v) for k, v in total.items()))) or [[]] * 4
+            cols = list(zip(*((*k, f, n) for k, total in totals.items() for f, n in total.items()))) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
         for batch in batches:
             for fold, toxic, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                new = [w for w in words if w not in known]
+                if len(known) + len(new) > CACHE:
+                    known.clear()
+                    new = words
+                for w in new:
+                    known[w] = tuple(f for f in features(w) if wanted is None or f in wanted)
                 found: set[str] = set()
-                for w in words:
-                    fs = known.get(w)
-                    if fs is None:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        fs = known[w] = tuple(f for f in features(w) if wanted is None or f in wanted)
-                    found.update(fs)
-                total.update((fold, toxic, f) for f in found)
-                if len(total) >= CACHE:
+                found.update(*map(known.__getitem__, words))
+                totals.setdefault((fold, toxic), Counter()).update(found)
+                if sum(map(len, totals.values())) >= CACHE:
                     yield given()
-                    total.clear()
+                    totals.clear()
         yield given()
     return rows.mapInArrow(run, schema_of("fold int, toxic boolean, f string, n long"))
 
@@ -316,17 +373,9 @@ def _evidence_bins(rows: DataFrame, apart: list[dict], cost: np.ndarray) -> Data
 
 def score_texts(texts: list, model: Model) -> tuple[list[float], list[str]]:
     """Score of each text, and its restored tokens as ``start:end:reading`` in code points, semicolon-joined."""
-    restorer = Restorer(model.cost)
-    restorer.known = model.known.setdefault(None, {})
-    scores, spans = [], []
-    for t in texts:
-        words = set(WORDS.findall(t.lower())) if t else set()
-        found = restorer.restored(t) if t else []
-        for _, _, reading in found:
-            words.update(WORDS.findall(reading))
-        scores.append(model.chance[int(model.strongest(words) * BINS)])
-        spans.append(";".join(f"{a}:{b}:{r}" for a, b, r in found))
-    return scores, spans
+    restorer = Restorer(model.cost, model.readings)
+    words, restored = restorer.words(texts)
+    return [model.chance[int(model.strongest(w) * BINS)] for w in words], [";".join(f"{a}:{b}:{r}" for a, b, r in x) for x in restored]
 
 
 def toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
