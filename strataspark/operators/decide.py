@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..functions.draws import draw_key, uniform
+from ..functions.draws import binomial, draw_key, uniform
 
 
 # ---- questions (weighted criteria)
@@ -224,10 +224,9 @@ def recover_counts(stored: DataFrame, value: str, abs_tol: float = fixed.COUNT_T
 
 
 def thin_counts(counts: DataFrame, keep: float, seed, out: str = "thinned") -> DataFrame:
-    """Binomial thinning: every counted item is kept with probability ``keep`` by its own draw, inside the row."""
-    kept = F.aggregate(F.sequence(F.lit(1), F.col("count").cast("int")), F.lit(0).cast("long"),
-                       lambda acc, s: acc + F.when(uniform(seed, "unit_id", "feature", s) < keep, 1).otherwise(0))
-    return counts.withColumn(out, F.when(F.col("count") >= 1, kept).otherwise(0))
+    """Binomial thinning: every counted item is kept with probability ``keep``; one draw of O(log count) steps a row, for
+    whole counts up to 2^53."""
+    return counts.withColumn(out, F.when(F.col("count") >= 1, binomial("count", keep, seed, "unit_id", "feature")).otherwise(F.lit(0).cast("long")))
 
 
 def count_split(counts: DataFrame, seed) -> DataFrame:

@@ -24,38 +24,66 @@ def group_draws(rows: DataFrame, group: str, n_boot: int, seed) -> DataFrame:
     return s.join(g, "g_no").select("draw", "gslot", group)
 
 
-def bootstrap_two_stage(rows: DataFrame, group: str, n_boot: int, seed, strata: list[str] | None = None, scheme: str = "slots") -> DataFrame:
+CHUNK = 1 << 17        # rows that share the first split of a large group
+BUCKET = 32            # rows that share the last split
+BALLS = 2_000_000      # draws that a task makes at a time
+
+
+def multiplicities(rows: DataFrame, inner: list[str], totals: DataFrame, seed) -> DataFrame:
+    """(draw, inner, unit_id, w): for each (draw, inner, copies) of ``totals``, copies times as many balls as the group has
+    rows, thrown into its rows.
+
+    A seeded multinomial tree: the balls of a draw are split over chunks (only where a group has more than ``CHUNK`` rows),
+    then over buckets of ``BUCKET`` rows, then inside a bucket. Every split is counted before it is shuffled, and a
+    bucket's rows are one short array: what is shuffled and joined are counts of buckets, not balls."""
+    numbered = checkpointed(hash_rank(rows.select("unit_id", *inner), inner, f"{seed}r", ["unit_id"], out="r_no"))
+    g = inner or ["__g"]
+    if not inner:
+        numbered, totals = numbered.withColumn("__g", F.lit(0)), totals.withColumn("__g", F.lit(0))
+    sizes = checkpointed(numbered.groupBy(*g).agg(F.count(F.lit(1)).alias("n_in")))
+    t = checkpointed(totals.join(sizes, g).select("draw", *g, "n_in", "copies"))
+    first = t.where(F.col("n_in") <= CHUNK).select("draw", *g, "n_in", F.lit(0).cast("long").alias("chunk"), (F.col("copies") * F.col("n_in")).alias("balls"))
+    whole = t.agg(F.sum(F.col("copies") * F.col("n_in")), F.max("n_in")).first()
+    parts = max(1, -(-(whole[0] or 0) // BALLS))
+    place = lambda kind, size, *keys: F.floor(uniform(seed, F.lit(kind), "draw", *inner, *keys) * size).cast("long")
+    if (whole[1] or 0) > CHUNK:
+        # the rows of a large group stand for its balls, so that they are thrown where the rows lie
+        thrown = numbered.join(t.where(F.col("n_in") > CHUNK), g).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        thrown = thrown.withColumn("chunk", F.floor(place("c", F.col("n_in"), "copy", "r_no") / CHUNK).cast("long"))
+        first = first.unionByName(thrown.groupBy("draw", *g, "n_in", "chunk").agg(F.count(F.lit(1)).alias("balls")))
+    second = first.repartition(parts).withColumn("ball", F.explode(F.sequence(F.lit(1).cast("long"), F.col("balls"))))
+    at = place("b", F.least(F.lit(CHUNK), F.col("n_in") - F.col("chunk") * CHUNK), "chunk", "ball")
+    second = second.withColumn("bucket", F.col("chunk") * (CHUNK // BUCKET) + F.floor(at / BUCKET).cast("long")).groupBy("draw", *g, "bucket").agg(F.count(F.lit(1)).alias("balls"))
+    held = numbered.groupBy(*g, F.floor((F.col("r_no") - 1) / BUCKET).cast("long").alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("r_no", "unit_id"))).alias("held"))     # at most BUCKET rows
+    d = second.join(held, [*g, "bucket"])
+    d = d.withColumn("hit", F.transform(F.sequence(F.lit(1).cast("long"), F.col("balls")), lambda b: place("r", F.size("held"), "bucket", b).cast("int")))
+    each = F.transform(F.array_distinct("hit"), lambda i: F.struct(F.get(F.col("held"), i)["unit_id"].alias("unit_id"), F.size(F.filter("hit", lambda x: x == i)).cast("long").alias("w")))
+    return d.select("draw", *inner, F.inline(each))
+
+
+def bootstrap_two_stage(rows: DataFrame, group: str, n_boot: int, seed, strata: list[str] | None = None, scheme: str = "multinomial") -> DataFrame:
     """(draw, unit_id, w): groups with replacement, then rows with replacement inside every drawn group (and stratum).
 
-    scheme 'slots' draws exactly as many rows as a group has: n_boot * n slots, each joined to a densely numbered row,
-    and the slots are the numbered rows themselves, so a large group spreads over all tasks. scheme 'poisson' gives every row of a drawn group a Poisson(1) count
-    instead: no slot join, for very many rows; a different scheme, named in the output."""
-    strata = strata or []
-    inner = [group, *strata]
+    scheme 'multinomial' draws exactly as many rows as a group has, for each time it is drawn, by a tree of counts.
+    scheme 'poisson' gives every row of a drawn group a Poisson(1) count instead: one narrow pass, for very many rows; a
+    different scheme, named in the output."""
+    inner = [group, *(strata or [])]
     drawn = group_draws(rows, group, n_boot, seed)
     if scheme == "poisson":
         d = rows.select("unit_id", group).join(drawn, group)
         w = poisson1(uniform(seed, F.lit("p"), "draw", "gslot", "unit_id"))
         return d.groupBy("draw", "unit_id").agg(F.sum(w).cast("long").alias("w")).where("w > 0").withColumn("scheme", F.lit("poisson"))
-    numbered = hash_rank(rows.select("unit_id", *inner), inner, f"{seed}r", ["unit_id"], out="r_no")
-    sizes = rows.groupBy(*inner).agg(F.count(F.lit(1)).alias("n_in"))
-    # a group has as many slots as rows, so its numbered rows are the slots: no array as long as a group
-    slots = numbered.select(*inner, F.col("r_no").alias("rslot")).join(sizes, inner)
-    s = slots.join(drawn, group)
-    s = s.withColumn("r_no", slot("n_in", seed, F.lit("r"), "draw", "gslot", *strata, "rslot"))
-    s = s.groupBy("draw", *inner, "r_no").agg(F.count(F.lit(1)).alias("w"))
-    return s.join(numbered, [*inner, "r_no"]).select("draw", "unit_id", "w").withColumn("scheme", F.lit("slots"))
+    copies = drawn.groupBy("draw", group).agg(F.count(F.lit(1)).alias("copies"))
+    if strata:
+        copies = rows.select(*inner).distinct().join(copies, group)
+    return multiplicities(rows, inner, copies, seed).select("draw", "unit_id", "w").withColumn("scheme", F.lit("multinomial"))
 
 
 def bootstrap_rows(rows: DataFrame, by: list[str], n_boot: int, seed) -> DataFrame:
     """One-stage draw inside every group of ``by``: (by, draw, unit_id, w)."""
-    numbered = hash_rank(rows.select("unit_id", *by), by, f"{seed}r", ["unit_id"], out="r_no")
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_in"))
-    slots = numbered.select(*by, F.col("r_no").alias("rslot"))
-    slots = slots.join(sizes, by) if by else slots.withColumn("n_in", sizes.select("n_in").scalar())
-    s = _explode(slots, "draw", n_boot)
-    s = s.withColumn("r_no", slot("n_in", seed, F.lit("r"), *by, "draw", "rslot")).groupBy(*by, "draw", "r_no").agg(F.count(F.lit(1)).alias("w"))
-    return s.join(numbered, [*by, "r_no"]).select(*by, "draw", "unit_id", "w")
+    groups = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
+    copies = _explode(groups, "draw", n_boot).withColumn("copies", F.lit(1).cast("long"))
+    return multiplicities(rows, by, copies, seed).select(*by, "draw", "unit_id", "w")
 
 
 def with_point(draws: DataFrame, rows: DataFrame) -> DataFrame:

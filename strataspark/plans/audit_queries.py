@@ -8,7 +8,7 @@ from ..session import checkpointed
 from . import bindings as B
 from .bindings import hash_key
 from .registry import query
-from .resample_queries import cluster_sql, slot_sql
+from .resample_queries import cluster_sql, thrown_sql
 from .window_queries import STG, stage_table
 
 
@@ -232,8 +232,8 @@ def _(i):
 NB = 6
 MOM = SCOPE_SQL + f""", sd AS (SELECT unit_id, CASE WHEN cluster = '{EVENT}' THEN 1 ELSE 0 END AS a, y, CAST(unit_id AS VARCHAR) AS element FROM sr),
  nu AS (SELECT a, element, row_number() OVER (PARTITION BY a ORDER BY {hash_key('53r', 'element')}, element) AS r_no, count(*) OVER (PARTITION BY a) AS n_in FROM sd),
- sl AS (SELECT a, draw, n_in, unnest(range(1, n_in + 1)) AS rslot FROM (SELECT DISTINCT a, n_in FROM nu), (SELECT unnest(range(1, {NB + 1})) AS draw)),
- dw AS (SELECT a, draw, element, w FROM (SELECT a, draw, {slot_sql('n_in', 53, "'r'", 'a', 'draw', 'rslot')} AS r_no, count(*) AS w FROM sl GROUP BY 1, 2, 3) JOIN nu USING (a, r_no) UNION ALL SELECT a, 0, element, 1 FROM nu),
+ sl AS (SELECT a, draw, n_in, n_in AS balls FROM (SELECT DISTINCT a, n_in FROM nu), (SELECT unnest(range(1, {NB + 1})) AS draw)){thrown_sql('nu', 'sl', ['a'], 53, 'th')},
+ dw AS (SELECT a, draw, element, w FROM th JOIN nu USING (a, r_no) UNION ALL SELECT a, 0, element, 1 FROM nu),
  mo AS (SELECT scope, stage, a, draw, sum(w)::DOUBLE AS n, sum(w * y) / sum(w) AS my, sum(w * pred) / sum(w) AS mp, sum(w * pred * pred) / sum(w) - power(sum(w * pred) / sum(w), 2) AS vp, sum(w * pred * y) / sum(w) - sum(w * pred) * sum(w * y) / sum(w) / sum(w) AS cpy,
   sum(w * y * y) / sum(w) - power(sum(w * y) / sum(w), 2) AS vy FROM (SELECT scope, stage, unit_id, pred - (SELECT avg(y) FROM sr) AS pred FROM sp) JOIN (SELECT unit_id, a, element, y - (SELECT avg(y) FROM sr) AS y FROM sd) USING (unit_id) JOIN dw USING (a, element) GROUP BY 1, 2, 3, 4),
  us AS (SELECT scope, stage, draw, 1 - c.cpy / c.vp * (t.mp - c.mp) / (t.my - c.my) AS u, c.cpy / c.vp AS slope, (t.my - c.my) AS dy FROM mo t JOIN mo c USING (scope, stage, draw) WHERE t.a = 1 AND c.a = 0)"""
@@ -301,8 +301,8 @@ def _(i):
 
 
 FAM = f""", fe AS (SELECT site AS k, group_id AS event, avg(unit_id) / 1000 - 0.5 AS u, CASE count(*) % 3 WHEN 0 THEN 'support' WHEN 1 THEN 'reject' ELSE 'unresolved' END AS verdict FROM units GROUP BY 1, 2),
- nu AS (SELECT k, event, abs(u) AS u, row_number() OVER (PARTITION BY k ORDER BY {hash_key('54r', 'event')}, event) AS r_no, count(*) OVER (PARTITION BY k) AS n_in FROM fe), sl AS (SELECT k, draw, n_in, unnest(range(1, n_in + 1)) AS rslot FROM (SELECT DISTINCT k, n_in FROM nu), (SELECT unnest(range(1, 41)) AS draw)),
- dw AS (SELECT k, draw, avg(u) AS m FROM (SELECT k, draw, {slot_sql('n_in', 54, "'r'", 'k', 'draw', 'rslot')} AS r_no FROM sl) JOIN nu USING (k, r_no) GROUP BY 1, 2)
+ nu AS (SELECT k, event, abs(u) AS u, row_number() OVER (PARTITION BY k ORDER BY {hash_key('54r', 'event')}, event) AS r_no, count(*) OVER (PARTITION BY k) AS n_in FROM fe), sl AS (SELECT k, draw, n_in, n_in AS balls FROM (SELECT DISTINCT k, n_in FROM nu), (SELECT unnest(range(1, 41)) AS draw)){thrown_sql('nu', 'sl', ['k'], 54, 'th')},
+ dw AS (SELECT k, draw, sum(w * u) / sum(w) AS m FROM th JOIN nu USING (k, r_no) GROUP BY 1, 2)
  SELECT f.k, count(*) AS n_events, round(avg(abs(u)), 6) AS mean, CASE WHEN count(*) >= 3 THEN round(any_value(lo), 6) END AS lo, CASE WHEN count(*) >= 3 THEN round(any_value(hi), 6) END AS hi, round(min(abs(u)), 6) AS min, round(max(abs(u)), 6) AS max, count(*) FILTER (verdict = 'support') AS n_support,
   count(*) FILTER (verdict = 'unresolved') AS n_unresolved, count(*) FILTER (verdict = 'reject') AS n_reject FROM fe f JOIN (SELECT k, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM dw GROUP BY 1) q ON q.k = f.k GROUP BY 1"""
 
@@ -316,8 +316,8 @@ def _(i):
 
 # ---- arms
 ARM_SQL = order_sql("sr", ["1-URGENT", "5-LOW"]) + f""", ot AS (SELECT 'asis' AS arm, unit_id, x2 AS pred FROM sr UNION ALL SELECT 'level', unit_id, x FROM sr UNION ALL SELECT 'mix', unit_id, x2 + x FROM sr),
- nu AS (SELECT 1 AS a, CAST(unit_id AS VARCHAR) AS element, row_number() OVER (ORDER BY {hash_key('55r', 'unit_id')}, CAST(unit_id AS VARCHAR)) AS r_no, count(*) OVER () AS n_in FROM sr), sl AS (SELECT a, draw, n_in, unnest(range(1, n_in + 1)) AS rslot FROM (SELECT DISTINCT a, n_in FROM nu), (SELECT unnest(range(1, 9)) AS draw)),
- dw AS (SELECT draw, element, w FROM (SELECT a, draw, {slot_sql('n_in', 55, "'r'", 'a', 'draw', 'rslot')} AS r_no, count(*) AS w FROM sl GROUP BY 1, 2, 3) JOIN nu USING (r_no) UNION ALL SELECT 0, element, 1 FROM nu),
+ nu AS (SELECT 1 AS a, CAST(unit_id AS VARCHAR) AS element, row_number() OVER (ORDER BY {hash_key('55r', 'unit_id')}, CAST(unit_id AS VARCHAR)) AS r_no, count(*) OVER () AS n_in FROM sr), sl AS (SELECT a, draw, n_in, n_in AS balls FROM (SELECT DISTINCT a, n_in FROM nu), (SELECT unnest(range(1, 9)) AS draw)){thrown_sql('nu', 'sl', ['a'], 55, 'th')},
+ dw AS (SELECT draw, element, w FROM th JOIN nu USING (a, r_no) UNION ALL SELECT 0, element, 1 FROM nu),
  mo AS (SELECT arm, draw, sum(w * pred * y) / sum(w) - sum(w * pred) * sum(w * y) / sum(w) / sum(w) AS c, sum(w * pred * pred) / sum(w) - power(sum(w * pred) / sum(w), 2) AS vp, sum(w * y * y) / sum(w) - power(sum(w * y) / sum(w), 2) AS vy FROM ot JOIN sr USING (unit_id) JOIN dw ON element = CAST(unit_id AS VARCHAR) GROUP BY 1, 2),
  u AS (SELECT arm, draw, 1 - c * c / (vp * vy) AS u FROM mo), g AS (SELECT u.arm, draw, u.u, b.u - u.u AS gain FROM u JOIN (SELECT draw, u FROM u WHERE arm = 'asis') b USING (draw))"""
 
@@ -334,10 +334,9 @@ def boot_sql(src, by, key, n, seed, name):
     """one-stage multiplicities (by, draw, key, w) with draw 0"""
     pb = f"PARTITION BY {by} " if by else ""
     g = f"{by}, " if by else ""
-    parts = [f"'r'", *([by] if by else []), "draw", "rslot"]
     return f""", {name}_n AS (SELECT {g}{key}, row_number() OVER ({pb}ORDER BY {hash_key(f'{seed}r', key)}, {key}) AS r_no, count(*) OVER ({pb}) AS n_in FROM (SELECT DISTINCT {g}{key} FROM {src})),
- {name}_s AS (SELECT {g}draw, n_in, unnest(range(1, n_in + 1)) AS rslot FROM (SELECT DISTINCT {g}n_in FROM {name}_n), (SELECT unnest(range(1, {n + 1})) AS draw)),
- {name} AS (SELECT {g}draw, {key}, w FROM (SELECT {g}draw, {slot_sql('n_in', seed, *parts)} AS r_no, count(*) AS w FROM {name}_s GROUP BY ALL) JOIN {name}_n USING ({g}r_no) UNION ALL SELECT {g}0, {key}, 1 FROM {name}_n)"""
+ {name}_t AS (SELECT {g}draw, n_in, n_in AS balls FROM (SELECT DISTINCT {g}n_in FROM {name}_n), (SELECT unnest(range(1, {n + 1})) AS draw)){thrown_sql(f'{name}_n', f'{name}_t', [by] if by else [], seed, f'{name}_c')},
+ {name} AS (SELECT {g}draw, {key}, w FROM {name}_c JOIN {name}_n USING ({g}r_no) UNION ALL SELECT {g}0, {key}, 1 FROM {name}_n)"""
 
 
 AFU = """, fu AS (SELECT arm, group_id AS unit_id, fit, CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END AS grp, 0.5 + (n % 11) * 0.01 - k * 0.05 + fit * 0.01 * (n % 3) AS u FROM (SELECT group_id, count(*) AS n FROM units GROUP BY 1), (VALUES ('asis', 0), ('repair', 1), ('control', 0.1)) a(arm, k), (SELECT unnest(range(0, 3)) AS fit))"""

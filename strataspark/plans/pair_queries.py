@@ -86,6 +86,12 @@ def _(i):
     return K.knn_within_group(i.vectors, "group_id", 10)
 
 
+@query("knn_block_pairs")
+def _(i):
+    """block pairs of the neighbour search inside each group, and the share that the bounds skip"""
+    return K.block_pairs(i.vectors, i.vectors, ["group_id"], 10, exclude_self=True, block=64)
+
+
 @query("undirected_edges", KN + " SELECT lo, hi, round(cos, 6) AS cos FROM ed")
 def _(i):
     return edges_of(i)

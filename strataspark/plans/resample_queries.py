@@ -16,14 +16,22 @@ def slot_sql(n, seed, *parts):
     return f"(CAST(floor({hash_unit(seed, *parts)} * {n}) AS BIGINT) + 1)"
 
 
+def thrown_sql(numbered, totals, inner, seed, name):
+    """CTE ``name`` (draw, inner, r_no, w): the balls of ``totals`` (draw, inner, n_in, balls) thrown into buckets of 32 of the
+    rows that ``numbered`` numbers, then into the rows of a bucket (groups of at most 131,072 rows)"""
+    g = "".join(f"{c}, " for c in inner)
+    return f""", {name}_b AS (SELECT draw, {g}n_in, CAST(floor({hash_unit(seed, "'b'", 'draw', *inner, '0', 'ball')} * n_in) AS BIGINT) // 32 AS bucket, count(*) AS balls FROM (SELECT *, unnest(range(1, balls + 1)) AS ball FROM {totals}) GROUP BY ALL),
+ {name} AS (SELECT draw, {g}bucket * 32 + CAST(floor({hash_unit(seed, "'r'", 'draw', *inner, 'bucket', 'ball')} * least(32, n_in - bucket * 32)) AS BIGINT) + 1 AS r_no, count(*) AS w FROM (SELECT *, unnest(range(1, balls + 1)) AS ball FROM {name}_b) GROUP BY ALL)"""
+
+
 def two_stage_sql(src, group, n_boot, seed, strata=(), name="ts"):
     """CTEs of the two-stage multiplicities (draw, unit_id, w) over ``src`` (unit_id, group, strata)"""
-    inner = ", ".join([group, *strata])
+    keys = [group, *strata]
+    inner = ", ".join(keys)
     return f""", {name}_g AS (SELECT {group}, row_number() OVER (ORDER BY {hash_key(f'{seed}g', group)}, {group}) AS g_no, count(*) OVER () AS ng FROM (SELECT DISTINCT {group} FROM {src})),
  {name}_d AS (SELECT draw, gslot, {slot_sql('ng', seed, "'g'", 'draw', 'gslot')} AS g_no FROM (SELECT g_no AS gslot, ng FROM {name}_g), (SELECT unnest(range(1, {n_boot + 1})) AS draw)),
  {name}_n AS (SELECT unit_id, {inner}, row_number() OVER (PARTITION BY {inner} ORDER BY {hash_key(f'{seed}r', 'unit_id')}, unit_id) AS r_no, count(*) OVER (PARTITION BY {inner}) AS n_in FROM {src}),
- {name}_s AS (SELECT draw, gslot, {inner}, n_in, unnest(range(1, n_in + 1)) AS rslot FROM {name}_d JOIN {name}_g USING (g_no) JOIN (SELECT DISTINCT {inner}, n_in FROM {name}_n) USING ({group})),
- {name}_c AS (SELECT draw, {inner}, {slot_sql('n_in', seed, "'r'", 'draw', 'gslot', *strata, 'rslot')} AS r_no, count(*) AS w FROM {name}_s GROUP BY ALL),
+ {name}_t AS (SELECT draw, {inner}, n_in, count(*) * any_value(n_in) AS balls FROM {name}_d JOIN {name}_g USING (g_no) JOIN (SELECT DISTINCT {inner}, n_in FROM {name}_n) USING ({group}) GROUP BY ALL){thrown_sql(f'{name}_n', f'{name}_t', keys, seed, f'{name}_c')},
  {name} AS (SELECT draw, unit_id, w FROM {name}_c JOIN {name}_n USING ({inner}, r_no))"""
 
 
@@ -58,8 +66,8 @@ def _(i):
 def cluster_sql(src, n_boot, seed, name="cb"):
     return f""", {name}_e AS (SELECT DISTINCT 1 AS a, cluster AS element FROM {src} WHERE a = 1 UNION ALL SELECT 0, 'unit:' || CAST(unit_id AS VARCHAR) FROM {src} WHERE a = 0),
  {name}_n AS (SELECT a, element, row_number() OVER (PARTITION BY a ORDER BY {hash_key(f'{seed}r', 'element')}, element) AS r_no, count(*) OVER (PARTITION BY a) AS n_in FROM {name}_e),
- {name}_s AS (SELECT a, draw, n_in, unnest(range(1, n_in + 1)) AS rslot FROM (SELECT DISTINCT a, n_in FROM {name}_n), (SELECT unnest(range(1, {n_boot + 1})) AS draw)),
- {name} AS (SELECT a, draw, element, w FROM (SELECT a, draw, {slot_sql('n_in', seed, "'r'", 'a', 'draw', 'rslot')} AS r_no, count(*) AS w FROM {name}_s GROUP BY 1, 2, 3) JOIN {name}_n USING (a, r_no)),
+ {name}_t AS (SELECT a, draw, n_in, n_in AS balls FROM (SELECT DISTINCT a, n_in FROM {name}_n), (SELECT unnest(range(1, {n_boot + 1})) AS draw)){thrown_sql(f'{name}_n', f'{name}_t', ['a'], seed, f'{name}_c')},
+ {name} AS (SELECT a, draw, element, w FROM {name}_c JOIN {name}_n USING (a, r_no)),
  {name}_w AS (SELECT a, 0 AS draw, element, 1 AS w FROM {name}_e UNION ALL SELECT a, draw, element, w FROM {name})"""
 
 

@@ -249,15 +249,32 @@ def _(i):
     return d.select("unit_id", "feature", "recovered", F.round("deviation", 3).alias("deviation"))
 
 
-THIN = "(SELECT unit_id, feature, count(*) FILTER ({u} < 0.25) AS q, count(*) FILTER ({u} < 0.5) AS h FROM (SELECT unit_id, feature, unnest(range(1, CAST(count AS BIGINT) + 1)) AS s FROM counts) GROUP BY 1, 2)".format(u=hash_unit(21, "unit_id", "feature", "s"))
+def gamma_sql(shape, side, seed, level):
+    """first accepted of six tries of a gamma draw"""
+    u = [f"({hash_unit(seed, 'unit_id', 'feature', repr(side), str(level), str(k), 't')} + {2.0 ** -53!r}::DOUBLE)" for k in range(3)]
+    d = f"({shape} - {1.0 / 3.0!r}::DOUBLE)"
+    x = f"sqrt(-2.0::DOUBLE * ln({u[0]})) * cos(6.283185307179586::DOUBLE * {u[1]})"
+    tries = f"list_transform(list_transform(range(1, 7), lambda t: {{'x': {x}, 'v': power(1.0::DOUBLE + {x} / sqrt(9.0::DOUBLE * {d}), 3.0::DOUBLE), 'lu': ln({u[2]})}}), lambda s: CASE WHEN s.v > 0 AND s.lu < 0.5::DOUBLE * s.x * s.x + {d} - {d} * s.v + {d} * ln(greatest(s.v, 1e-300::DOUBLE)) THEN {d} * s.v END)"
+    return f"coalesce(list_filter({tries}, lambda g: g IS NOT NULL)[1], {d})"
 
 
-@query("thin_counts", f"SELECT unit_id, feature, q AS thinned FROM {THIN}")
+def thin_sql(p, seed, name, levels=10):
+    """CTEs of the binomial draw (unit_id, feature, k): halves are decided by a Beta draw while over 32 items are left (counts up to 32,768)"""
+    out = f", {name}0 AS (SELECT unit_id, feature, CAST(count AS BIGINT) AS n, {p!r}::DOUBLE AS p, 0::BIGINT AS k FROM counts)"
+    for l in range(1, levels + 1):
+        i = "CAST((n + 1) // 2 AS DOUBLE)"
+        out += f""", {name}{l} AS (SELECT unit_id, feature, CASE WHEN n <= 32 THEN n WHEN y <= p THEN n - (n + 1) // 2 ELSE (n + 1) // 2 - 1 END AS n, CASE WHEN n <= 32 THEN p WHEN y <= p THEN (p - y) / (1.0::DOUBLE - y) ELSE p / y END AS p, CASE WHEN n > 32 AND y <= p THEN k + (n + 1) // 2 ELSE k END AS k
+ FROM (SELECT *, a / (a + b) AS y FROM (SELECT *, CASE WHEN n > 32 THEN {gamma_sql(i, 'a', seed, l)} END AS a, CASE WHEN n > 32 THEN {gamma_sql(f'(CAST(n AS DOUBLE) + 1 - {i})', 'b', seed, l)} END AS b FROM {name}{l - 1})))"""
+    u = hash_unit(seed, "unit_id", "feature", "s")
+    return out + f", {name} AS (SELECT unit_id, feature, k + len(list_filter(range(1, n + 1), lambda s: {u} < p)) AS k FROM {name}{levels})"
+
+
+@query("thin_counts", thin_sql(0.25, 21, "tq") + " SELECT unit_id, feature, k AS thinned FROM tq")
 def _(i):
     return D.thin_counts(i.counts, 0.25, 21).select("unit_id", "feature", "thinned")
 
 
-@query("count_split", f"SELECT unit_id, feature, h AS half_a, CAST(count AS BIGINT) - h AS half_b FROM {THIN} JOIN counts USING (unit_id, feature)")
+@query("count_split", thin_sql(0.5, 21, "th") + " SELECT unit_id, feature, k AS half_a, CAST(count AS BIGINT) - k AS half_b FROM th JOIN counts USING (unit_id, feature)")
 def _(i):
     return D.count_split(i.counts, 21).select("unit_id", "feature", "half_a", "half_b")
 

@@ -134,6 +134,19 @@ def test_thinning_and_recovery(spark):
     assert (r.recovered == r["count"]).all() and r.deviation.max() < 1
 
 
+def test_thinning_of_large_counts_is_binomial(spark):
+    """Mean, variance and third moment for counts on both sides of the limit of single draws, and up to 2^40."""
+    for count, keep, rows in ((32, 0.25, 3000), (33, 0.25, 3000), (500, 0.9, 3000), (2 ** 40, 0.3, 1500)):
+        c = spark.range(rows).select(F.col("id").alias("unit_id"), F.lit("f").alias("feature"), F.lit(float(count)).alias("count"))
+        x = D.thin_counts(c, keep, 7).toPandas().thinned.to_numpy(float)
+        sd = (count * keep * (1 - keep)) ** 0.5
+        z = (x - count * keep) / sd
+        assert x.min() >= 0 and x.max() <= count and abs(z.mean()) < 4 / rows ** 0.5 and abs(z.var() - 1) < 0.12 and abs((z ** 3).mean() - (1 - 2 * keep) / sd) < 0.25
+    edge = spark.createDataFrame([(1, "f", 1000.0), (2, "f", 0.0), (3, "f", None)], "unit_id long, feature string, count double")
+    got = {r.unit_id: (r.a, r.b) for r in D.thin_counts(D.thin_counts(edge, 1.0, 1, "a"), 0.0, 1, "b").collect()}
+    assert got == {1: (1000, 0), 2: (0, 0), 3: (0, 0)}
+
+
 def test_events_round_trip(spark, tmp_path):
     p = spark.createDataFrame([(1, "a1", 2.0), (1, "b1", 8.0), (2, "a1", 1.0)], "unit_id long, feature string, predicted double")
     q = spark.createDataFrame([("a1", 4.0), ("b1", 4.0)], "feature string, q double")

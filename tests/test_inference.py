@@ -314,3 +314,19 @@ def test_boosted_residuals_are_out_of_fold(spark):
     p, V, Y, d = rows_of(spark, 200)
     r = X.crossfit(d.withColumn("fold", F.col("fold") % 2), "y1", 2, {"regressor": "boosted", "max_iter": 5}, "m").toPandas()
     assert len(r) == 200 and np.corrcoef(r.y1, r.pred)[0, 1] > 0.5
+
+
+def test_multinomial_tree_has_the_moments_of_drawing_with_replacement(spark, monkeypatch):
+    """Counts of 100 rows over many draws: totals, mean 1, variance 1 - 1/n, covariance -1/n; chunks of a large group too."""
+    d = spark.range(100).select(F.col("id").alias("unit_id"), F.lit("a").alias("g"))
+    for chunk in (1 << 17, 64):
+        monkeypatch.setattr(R, "CHUNK", chunk)
+        w = R.bootstrap_rows(d, ["g"], 1500, 5).toPandas().pivot_table(index="draw", columns="unit_id", values="w", fill_value=0)
+        w = w.reindex(columns=range(100), fill_value=0).to_numpy(float)
+        assert w.shape == (1500, 100) and (w.sum(1) == 100).all()
+        assert abs(w.var(0).mean() - 0.99) < 0.02 and np.abs(w.mean(0) - 1).max() < 0.13
+        c = np.cov(w.T)
+        assert abs(c[np.triu_indices(100, 1)].mean() + 0.01) < 2e-3
+        assert abs(c[:32, :32][np.triu_indices(32, 1)].mean() + 0.01) < 5e-3 and abs(c[:32, 64:].mean() + 0.01) < 5e-3
+    assert R.bootstrap_rows(d.select("unit_id"), [], 3, 1).groupBy("draw").agg(F.sum("w")).collect()[0][1] == 100
+    assert R.bootstrap_rows(d.limit(0), ["g"], 3, 1).count() == 0

@@ -111,3 +111,33 @@ def test_symbols_and_clashes(spark):
         J.symbol_to_id_unique(bad, "s", "id", "line").collect()
     with pytest.raises(ValueError):
         J.harmonise_features(f, {"a": ["x"], "b": ["x"]}, f)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_ball_search_with_copies_zeros_and_clusters(spark, metric):
+    rng = np.random.default_rng(1)
+    n = 420
+    Z = (rng.normal(size=(8, 5)) * 3)[rng.integers(0, 8, n)] + rng.normal(size=(n, 5)) * 0.2
+    Z[100:240], Z[250:253] = Z[100], 0                        # a third of all rows equal; rows without a direction
+    g = np.where(np.arange(n) < 300, "hot", np.where(np.arange(n) < 419, "b", "single"))
+    d = spark.createDataFrame(pd.DataFrame({"unit_id": np.arange(n), "group_id": g, "z": list(Z)})).repartition(4)
+    ids = np.arange(n)
+    q, r = ids[ids % 3 == 0], ids[ids % 3 != 0]
+    U = Z / (np.linalg.norm(Z, axis=1, keepdims=True) + 1e-8) if metric == "cosine" else Z
+
+    def want(i, pool):
+        pool = [j for j in pool if g[j] == g[i] and j != i]
+        s = U[pool] @ U[i] if metric == "cosine" else -((U[pool] - U[i]) ** 2).sum(1)
+        return [j for _, j in sorted(zip(-np.round(s, 9), pool))[:5]]
+    got = K.nearest(d, d, ["group_id"], 5, exclude_self=True, metric=metric, block=16).toPandas().sort_values(["i", "rank"]).groupby("i").j.apply(list).to_dict()
+    assert got == {int(i): want(i, ids) for i in ids if want(i, ids)}
+    cross = K.nearest(d.where("unit_id % 3 = 0"), d.where("unit_id % 3 <> 0"), ["group_id"], 5, metric=metric, block=16).toPandas().sort_values(["i", "rank"]).groupby("i").j.apply(list).to_dict()
+    assert cross == {int(i): want(i, r) for i in q if want(i, r)}
+
+
+def test_ball_search_skips_block_pairs(spark):
+    rng = np.random.default_rng(2)
+    Z = (rng.normal(size=(12, 6)) * 4)[np.arange(600) % 12] + rng.normal(size=(600, 6)) * 0.1
+    d = spark.createDataFrame(pd.DataFrame({"unit_id": np.arange(600), "z": list(Z)}))
+    r = K.block_pairs(d, d, [], 5, exclude_self=True, metric="euclidean", block=32).first()
+    assert r.n_searched < r.n_pairs and r.share_skipped > 0.5
