@@ -98,23 +98,32 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, key:
     return inside.join(before, [*by, "__bucket"]).withColumn(name, (F.col("__before") + F.col("__inside")).cast("long")).drop("__before", "__inside", "__bucket")
 
 
+EDGES_PER_TASK = 250_000
+
+
 def components(edges: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Connected components of edges (a, b): rows (node, label) with the smallest node as the label.
 
     Alternates large stars (each neighbour above a node joins its smallest neighbour) and small stars until nothing
-    changes. Minima are partial aggregates, so a node with very many edges isn't gathered in one task; nothing is
-    collected but two totals per round."""
-    state = checkpoint(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    changes. Each star is one exchange: a node's edges come sorted, the smallest neighbour is the first of them, repeated
+    edges are dropped as they pass, and no group is held. Nothing is collected but two totals per round."""
+    from pyspark.sql import Window as W
+    by = W.partitionBy("u").orderBy("v")
+    new = F.col("v") != F.coalesce(F.lag("v").over(by), F.col("v") - 1)
+    state = checkpoint(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    seen, tasks = None, None
     while True:
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        state = checkpoint(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        total = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if tasks:
+            state = state.coalesce(tasks)
+        both = state.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        large = both.select("u", "v", F.least("u", F.first("v").over(by)).alias("m"), new.alias("new")).where("new AND v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        small = large.select("u", "v", F.first("v").over(by).alias("m"), new.alias("new")).where("new")
+        # the smallest neighbour keeps the node, the others join the smallest
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        state = checkpoint(small)
+        total = (state.coalesce(tasks) if tasks else state).agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (total.n, total.h) == seen:
             break
-        seen = (total.n, total.h)
+        seen, tasks = (total.n, total.h), max(1, total.n // EDGES_PER_TASK)
+    state = state.distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

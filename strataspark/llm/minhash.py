@@ -4,8 +4,9 @@ Documents are posted under each (coordinate, value) of their signature. Two sets
 the threshold collide in at least ``need`` of the coordinates, but for a chance below 1e-7. So, with a document's
 coordinates in the order of the length of their posting lists, both documents have a common coordinate among their
 first ``n - need + 1`` (the prefix), and the long lists, which come last, are skipped unless almost all coordinates of
-a document are in long lists. Candidate groups are compared on full shingle sets inside tasks, in blocks of bounded
-size; only spanning links leave a task.
+a document are in long lists. Documents that meet in a list are candidates; inside tasks, in blocks of bounded size,
+the collisions of each pair are counted over all coordinates, pairs with ``need`` or more are retained, and these are
+confirmed on full shingle sets. Only spanning links leave a task.
 
 Empty and null texts have no shingles and are linked with nothing. Documents with equal sets are one class from the
 start, however many there are. Repeated ids are taken as rows of one document. Only id and text columns are read."""
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed
 from .common import components, documents, map_documents, schema_of
-from .hashing import mix, shingles_of
+from .hashing import BASE, mix, shingles_of
 
 COORDINATES = 64
 MISS = 1e-7
 BLOCK = 512
+BLOCK_BYTES = 8 << 20
 FILTER_BITS = 1 << 22
 
 
@@ -48,7 +50,7 @@ def _signatures(value: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     factors = mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
     with np.errstate(over="ignore"):
         for k in range(n):
-            out[full, k] = (k << 32) | np.minimum.reduceat(((value ^ factors[k]) * factors[k]) >> np.uint64(32), first).astype(np.int64)
+            out[full, k] = (np.minimum.reduceat((value ^ factors[k]) * factors[k], first) + np.uint64(k) * np.uint64(BASE)).view(np.int64)
     return out
 
 
@@ -183,14 +185,27 @@ def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray, links: np.ndarray) ->
     return ids[move], ids[lab[move]]
 
 
-def _compare(rows: DataFrame, percent: int) -> DataFrame:
-    """Spanning links (a, b) of groups of rows (k1, k2, k3, side, id, set); side 0 is compared with side 1, side 2 with all."""
+def collisions(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Coordinates in which each signature on the left has the value of each on the right."""
+    out = np.zeros((len(left), len(right)), np.int16)
+    for k in range(left.shape[1]):
+        out += left[:, k][:, None] == right[:, k][None, :]
+    return out
+
+
+def _compare(rows: DataFrame, percent: int, need: int) -> DataFrame:
+    """Spanning links (a, b) of groups of rows (k1, k2, k3, side, id, set, tokens); side 0 is compared with side 1, side 2
+    with all. Pairs with fewer than ``need`` collisions are dropped before their sets are compared."""
     def run(group: pa.Table) -> dict:
         side = np.asarray(group["side"])
         ids = np.asarray(group["id"])
         sets = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
+        tokens = group["tokens"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        links = linked([sets[i] for i in a], [sets[i] for i in b], percent)
+        links = (collisions(tokens[a], tokens[b]) >= need) & (ids[a][:, None] != ids[b][None, :])
+        rows_, cols = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
+        if len(rows_):
+            links[np.ix_(rows_, cols)] &= linked([sets[i] for i in a[rows_]], [sets[i] for i in b[cols]], percent)
         x, y = _forest(ids, a, b, links)
         return {"a": x, "b": y}
     return by_group(rows, ["k1", "k2", "k3"], "a long, b long", run)
@@ -205,9 +220,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     posts = checkpointed(prefix_postings(classes, n, need))
     hubs = posts.groupBy("token").agg(F.min("id").alias("hub"), F.count("*").alias("df")).where("df > 1")
     coarse = components(posts.join(hubs, "token").select(F.col("id").alias("a"), F.col("hub").alias("b")), checkpointed)
-    sizes = coarse.groupBy("label").agg(F.count("*").alias("size"))
-    members = checkpointed(coarse.join(sizes, "label").select(F.col("node").alias("id"), F.col("label").alias("cluster"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")))
-    links = _cluster_links(docs, members, posts, percent, doc_id, text, width)
+    found = coarse.withColumnRenamed("node", "id").join(classes.select("id", "n_shingles", "tokens"), "id")
+    sizes = found.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    members = found.join(sizes, "label").select("id", F.col("label").alias("cluster"), "blocks", "tokens").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    links = _cluster_links(docs, checkpointed(members), posts, percent, need, doc_id, text, width)
     joined = components(links, checkpointed)
     found = classes.select(*prints, F.col("id").alias("class")).join(joined.withColumnRenamed("node", "class"), "class", "left").select(*prints, F.coalesce("label", "class").alias("component"))
     full = signed.where("n_shingles > 0").select("id", *prints).join(found, prints).select("id", "n_shingles", F.col("component").alias("component_id"))
@@ -215,30 +231,30 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return full.unionByName(none).select(F.col("id").alias(doc_id), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _cluster_links(docs: DataFrame, members: DataFrame, posts: DataFrame, percent: int, doc_id: str, text: str, width: int) -> DataFrame:
+def _cluster_links(docs: DataFrame, members: DataFrame, posts: DataFrame, percent: int, need: int, doc_id: str, text: str, width: int) -> DataFrame:
     """Links inside candidate clusters. A cluster of one block is compared in one task. A larger one is first compared
     with its hubs (up to ``BLOCK / 4`` members with many postings), block by block; only members that this leaves
     outside the component of the first hub are then compared with the whole cluster, again block by block."""
     sets = checkpointed(_sets(docs, _bit_filter(members.select("id")), doc_id, text, width).dropDuplicates(["id"]).join(members, "id"))
-    small = sets.where("blocks = 1").select(F.col("cluster").alias("k1"), F.lit(-1).alias("k2"), F.lit(0).alias("k3"), F.lit(2).alias("side"), "id", "set")
+    small = sets.where("blocks = 1").select(F.col("cluster").alias("k1"), F.lit(-1).alias("k2"), F.lit(0).alias("k3"), F.lit(2).alias("side"), "id", "set", "tokens")
     large = sets.where("blocks > 1")
     if not large.take(1):
-        return checkpointed(_compare(small, percent))
+        return checkpointed(_compare(small, percent, need))
     weight = members.where("blocks > 1").join(posts, "id").groupBy("id", "cluster", "blocks").agg(F.count("*").alias("w"))
     hubs = _top_hubs(weight)
-    hub_sets = large.join(hubs, "id").select("cluster", "blocks", "id", "set", "first")
-    ends = (hub_sets.select(F.col("cluster").alias("k1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k2"), F.lit(0).alias("k3"), F.lit(0).alias("side"), "id", "set")
-            .unionByName(large.select(F.col("cluster").alias("k1"), F.col("block").alias("k2"), F.lit(0).alias("k3"), F.lit(1).alias("side"), "id", "set")))
-    first = checkpointed(_compare(small.unionByName(ends), percent))
+    hub_sets = large.join(hubs, "id").select("cluster", "blocks", "id", "set", "tokens", "first")
+    ends = (hub_sets.select(F.col("cluster").alias("k1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k2"), F.lit(0).alias("k3"), F.lit(0).alias("side"), "id", "set", "tokens")
+            .unionByName(large.select(F.col("cluster").alias("k1"), F.col("block").alias("k2"), F.lit(0).alias("k3"), F.lit(1).alias("side"), "id", "set", "tokens")))
+    first = checkpointed(_compare(small.unionByName(ends), percent, need))
     label = components(first, checkpointed)
     state = members.where("blocks > 1").join(label, F.col("id") == F.col("node"), "left").select("id", "cluster", F.coalesce("label", "id").alias("label"))
     main = state.join(hubs.where("first").select("id"), "id").select("cluster", F.col("label").alias("main"))
     rest = state.join(main, "cluster").where("label != main").select("id", "cluster")
-    count = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rest_blocks"))
+    count = rest.join(sets.select("id", F.octet_length("set").alias("bytes")), "id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("rest_blocks"))
     todo = checkpointed(large.join(count, "cluster").join(rest.select("id", F.lit(True).alias("out")), "id", "left").withColumn("rest_block", F.pmod(F.xxhash64("id", F.lit(11)), F.col("rest_blocks")).cast("int")))
-    left = todo.where("out").select(F.col("cluster").alias("k1"), F.col("rest_block").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k3"), F.lit(0).alias("side"), "id", "set")
-    right = todo.select(F.col("cluster").alias("k1"), F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("k2"), F.col("block").alias("k3"), F.lit(1).alias("side"), "id", "set")
-    return checkpointed(first.unionByName(_compare(left.unionByName(right), percent)))
+    left = todo.where("out").select(F.col("cluster").alias("k1"), F.col("rest_block").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k3"), F.lit(0).alias("side"), "id", "set", "tokens")
+    right = todo.select(F.col("cluster").alias("k1"), F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("k2"), F.col("block").alias("k3"), F.lit(1).alias("side"), "id", "set", "tokens")
+    return checkpointed(first.unionByName(_compare(left.unionByName(right), percent, need)))
 
 
 def _top_hubs(weight: DataFrame) -> DataFrame:
