@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import checkpointed
+from ..session import checkpointed, ship_code
 
 COEF = "alpha double, target int, intercept double, coef array<double>, n double, score double"
 
@@ -41,6 +41,7 @@ def gram_table(df: DataFrame, by: list[str], x: str, y: list[str], flush: int =
         if acc:
             yield out()
 
+    ship_code(src.sparkSession)
     parts = src.mapInPandas(partial, schema).select(*by, F.posexplode("vals").alias("pos", "val"))
     return parts.groupBy(*by, "pos").agg(F.sum("val").alias("val"))
 
@@ -130,6 +131,7 @@ def ridge_solve(gram: DataFrame, by: list[str], d: int | None, alphas: list[floa
         k_in = d if d is not None else M.shape[0] - 1 - n_targets
         return pd.DataFrame(_rows(key, _ridge(M, k_in, alphas, standardise, relative), M[0, 0]), columns=[*keys, "alpha", "target", "intercept", "coef", "n", "score"])
 
+    ship_code(g.sparkSession)
     out = g.groupBy(*keys).applyInPandas(run, _schema(g, keys)).drop("score")
     return out if by else out.drop("__one")
 
@@ -150,6 +152,7 @@ def ridge_select(train: DataFrame, val: DataFrame, by: list[str], d: int, alphas
         k = int(np.argmax(scores))
         return pd.DataFrame(_rows(key, [models[k]], M[0, 0], scores[k]), columns=cols)
 
+    ship_code(a.sparkSession)
     out = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, _schema(a, keys))
     return out if by else out.drop("__one")
 
@@ -171,6 +174,7 @@ def fit_sets(gram: DataFrame, member: str, members: DataFrame, fit: str, d: int,
         k = int(np.argmax(np.round(sc / len(Ms), 9)))
         return pd.DataFrame(_rows((pdf[fit].iloc[0],), [_ridge(tot, d, [alphas[k]], False, relative)[0]], tot[0, 0], float(sc[k] / len(Ms))), columns=cols)
 
+    ship_code(g.sparkSession)
     return g.groupBy(fit).applyInPandas(run, _schema(members, [fit]))
 
 
@@ -198,6 +202,7 @@ def ridge_loo_alpha(df: DataFrame, gram: DataFrame, fold: str, x: str, y: str, d
                     acc[(f, a)] += float(np.sum((r / (1 - 1 / n - (Z * Z / (e + a)).sum(1))) ** 2))
         yield pd.DataFrame([(f, a, s) for (f, a), s in acc.items()], columns=["fold", "alpha", "sse"])
 
+    ship_code(df.sparkSession)
     parts = df.select(F.col(fold).alias("f"), F.col(x).alias("x"), F.col(y).cast("double").alias("y")).mapInPandas(run, "fold long, alpha double, sse double")
     s = parts.groupBy("fold", "alpha").agg(F.sum("sse").alias("sse"))
     return s.groupBy("fold").agg(F.min_by("alpha", F.struct(F.round("sse", 9), "alpha")).alias("alpha"))
@@ -395,24 +400,29 @@ def random_fourier_features(df: DataFrame, reference: DataFrame, n_features: int
         for b in batches:
             yield pd.DataFrame({"unit_id": b["unit_id"], x: [np.concatenate([v, w]) for v, w in zip(b[x], (waves(b[x]) - centre) / scale)]})
 
+    ship_code(df.sparkSession)
     return df.select("unit_id", x).mapInPandas(run, f"unit_id long, {x} array<double>")
 
 
 def svd_components(values: DataFrame, n_features: int, k: int, pos: str = "pos", value: str = "value") -> DataFrame:
-    """Scores of a truncated SVD of sparse rows (unit_id, pos, value), one unit per row. Signs are arbitrary."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-    entry = F.map_from_entries(F.collect_list(F.struct(F.col(pos).cast("int"), F.col(value).cast("double"))))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda j: F.coalesce(F.try_element_at("e", j), F.lit(0.0)))
-    g = checkpointed(values.groupBy("unit_id").agg(entry.alias("e")).select("unit_id", dense.alias("x")))
-    V = RowMatrix(MLUtils.convertVectorColumnsFromML(g.select(array_to_vector("x").alias("v")), "v")).computeSVD(k).V.toArray()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"unit_id": b["unit_id"], "x": list(np.stack(b["x"].to_numpy()) @ V)})
+    """Scores of a truncated SVD of sparse rows (unit_id, pos, value), one unit per row. Signs are arbitrary.
+
+    The cross products are those of the entries that a unit has, summed before the shuffle; no row is made dense. One
+    features x features matrix is decomposed, and the scores are sums over the entries again. Several entries of a unit
+    at one position add up; the components must be fewer than the features."""
+    e = checkpointed(values.select("unit_id", F.col(pos).cast("int").alias("pos"), F.col(value).cast("double").alias("v")).where("v <> 0").groupBy("unit_id", "pos").agg(F.sum("v").alias("v")))
+    rows = e.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("e"))                       # at most n_features entries
+    pairs = rows.select(F.explode("e").alias("a"), "e").select("a", F.explode(F.filter("e", lambda x: x["pos"] >= F.col("a.pos"))).alias("b"))
+    gram = pairs.groupBy(F.col("a.pos").alias("i"), F.col("b.pos").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("s")).toPandas()
+    m = np.zeros((n_features, n_features))
+    m[gram["i"], gram["j"]] = m[gram["j"], gram["i"]] = gram["s"]
+    top = np.linalg.eigh(m)[1][:, ::-1][:, :k]
+    weights = values.sparkSession.createDataFrame([(j, [float(x) for x in top[j]]) for j in range(n_features)], "pos int, c array<double>")
+    terms = e.join(F.broadcast(weights), "pos")                                                                         # n_features rows
+    sums = terms.groupBy("unit_id").agg(*[F.sum(F.col("v") * F.col("c")[j]).alias(f"s{j}") for j in range(k)])
+    none = values.select("unit_id").distinct().join(sums, "unit_id", "left")
+    return none.select("unit_id", F.array(*[F.coalesce(F.col(f"s{j}"), F.lit(0.0)) for j in range(k)]).alias("x"))
 
-    return g.mapInPandas(run, "unit_id long, x array<double>")
 
 
 # ---- mixture thresholds

@@ -63,3 +63,9 @@ def scratch_dir(spark: SparkSession) -> str:
     import uuid
     base = shared_folder(spark)
     return f"{base}/scratch-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-")
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder whose rows nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
