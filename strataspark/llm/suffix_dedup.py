@@ -22,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import checkpointed, scratch_dir, ship_code
+from ..session import checkpointed, drop_folder, scratch_dir, ship_code
 from .common import documents, map_documents, schema_of
 from .hashing import BASE, TABLE, mix, powers
 from .minhash import FILTER_BITS, _bit_filter
 
 GRAM, MAX_RUN, PIECE, HOT_RUNS, SORT_BYTES = 24, 256, 1 << 20, 4096, 1 << 20
+RUN_COST = 100
 PERIOD = 16
 #: A difference cover modulo 16.
 COVER = (0, 1, 2, 5, 8)
@@ -304,7 +306,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     d = hashlib.blake2b(raw[k:k + width], digest_size=16).digest()
                     add(True, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), i, a + k, 1, None)
         return out
-    return map_documents(rows, "text", spec, run, 4 << 20)
+    return map_documents(rows, "text", spec, run, 2 << 20)
 
 
 def _passing(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
@@ -339,7 +341,8 @@ def _sorted_marks(rows: DataFrame, width: int) -> DataFrame:
             bucket = np.asarray(batch.column(0))
             edge = np.flatnonzero(np.r_[not held or bucket[0] != held[-1].column(0)[-1].as_py(), bucket[1:] != bucket[:-1]])
             at = 0
-            reach = np.cumsum(np.asarray(batch.column(3)) * 4)
+            # suffix array of the windows, and the bytes with what each run costs besides them
+            reach = np.cumsum(np.asarray(batch.column(3)) * 4 + np.asarray(pc.binary_length(batch.column(4)), np.int64) + RUN_COST)
             base = 0
             for e in edge:
                 if size + (reach[e - 1] if e else 0) - base >= SORT_BYTES:
@@ -356,8 +359,9 @@ def _sorted_marks(rows: DataFrame, width: int) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def repeated_stretches(docs: DataFrame, width: int = 100) -> DataFrame:
-    """Marks (id, start, end) over documents (id, text): every removed byte lies in one at least."""
+def repeated_stretches(docs: DataFrame, width: int = 100, scratch: list | None = None) -> DataFrame:
+    """Marks (id, start, end) over documents (id, text): every removed byte lies in one at least. The marks are read from
+    two folders, which are added to ``scratch`` and may be dropped once the marks are stored."""
     spark, docs = docs.sparkSession, docs.where("id is not null")
     folder = f"{scratch_dir(spark)}/runs"
     _settle(_first_pass(docs, width), width).write.parquet(folder)
@@ -369,6 +373,8 @@ def repeated_stretches(docs: DataFrame, width: int = 100) -> DataFrame:
     bytes_ = f"{scratch_dir(spark)}/bytes"
     _fetch(docs, wanted, width).write.parquet(bytes_)
     fetched = spark.read.parquet(bytes_)
+    if scratch is not None:
+        scratch += [folder, bytes_]
     sorted_ = _sorted_marks(fetched.where("not hot").select("bucket", "id", "start", "size", "raw"), width)
     windows = fetched.where("hot").select("bucket", "print", "id", "start").distinct()
     first = windows.groupBy("bucket", "print").agg(F.min(F.struct("id", "start")).alias("m"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -379,14 +385,19 @@ def repeated_stretches(docs: DataFrame, width: int = 100) -> DataFrame:
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 100) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     plain = documents(docs, doc_id, text).select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    marks = checkpointed(repeated_stretches(plain, width).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("marks")))
+    scratch: list[str] = []
+    marks = checkpointed(repeated_stretches(plain, width, scratch).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("marks")))
+    for folder in scratch:
+        drop_folder(docs.sparkSession, folder)
     spec = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def run(block: pa.RecordBatch) -> dict:
         out: dict = {"id": block.column(0), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-        for text, found in zip(block.column(1).to_pylist(), block.column(2).to_pylist()):
+        found = block.column(2)
+        edges, places = np.asarray(found.offsets), (np.asarray(found.values.field(0)), np.asarray(found.values.field(1)))
+        for k, text in enumerate(block.column(1).to_pylist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            stretches = kept_parts(found or [])
+            stretches = merged(*(x[edges[k]:edges[k + 1]] for x in places))
             at, rest = 0, []
             for a, b in stretches:
                 rest.append(raw[at:a])
@@ -399,15 +410,14 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ids = marks.select("id")
     touched = _passing(plain, ids).join(marks, "id", "left").select("id", "text", "marks")
     others = _passing(plain, ids, inside=False).select("id", "text", F.lit(None).cast("array<struct<start: bigint, end: bigint>>").alias("marks"))
-    return map_documents(touched, "text", spec, run).unionByName(map_documents(others, "text", spec, run)).withColumnRenamed("id", doc_id)
-
-
-def kept_parts(found: list) -> list[tuple[int, int]]:
-    """Maximal stretches of a list of marks."""
-    out: list[list[int]] = []
-    for a, b in sorted((m["start"], m["end"]) for m in found):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    return map_documents(touched, "text", spec, run, 2 << 20).unionByName(map_documents(others, "text", spec, run, 2 << 20)).withColumnRenamed("id", doc_id)
+
+
+def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal stretches of marks."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    return list(zip(start[new].tolist(), reach[np.r_[new[1:], len(start)] - 1].tolist()))
