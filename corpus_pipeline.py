@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strataspark.llm import decontaminate, language, minhash, packing, secret_scan
 from strataspark.llm.common import filter_documents, replace_texts, table
 from strataspark.llm.queries import ranks_path, tokenizer_path
-from strataspark.session import scratch_dir
+from strataspark.session import drop_folder, scratch_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    last = None
     for name, stage in STAGES:
         folder = f"{scratch_dir(spark)}/{name}"
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if last:  # what the stage read
+            drop_folder(spark, last)
+        last = folder
     return docs
