@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import checkpointed, ship_code
 
@@ -159,23 +159,26 @@ def ridge_select(train: DataFrame, val: DataFrame, by: list[str], d: int, alphas
 
 def fit_sets(gram: DataFrame, member: str, members: DataFrame, fit: str, d: int, alphas: list[float], how: str = "pearson", relative: bool = True, min_members: int = 3) -> DataFrame:
     """One ridge per declared fit set; its penalty is chosen by leaving one member (donor, fold) of the set out in turn.
-    A fit gathers one small matrix per member; sets with fewer than ``min_members`` members give no fit."""
-    g = gram.join(members, member)
+
+    A set's cross products are summed once. Each (fit, left-out member) is a task of its own on the set's sum less the
+    member's own matrix, so a task holds two small matrices whatever the size of the set. Sets with fewer than
+    ``min_members`` members give no fit. On equal scores the first penalty of ``alphas`` is taken."""
+    g = checkpointed(gram.join(members, member).select(fit, member, "pos", "val"))
+    size = g.groupBy(fit).agg(F.count_distinct(member).alias("__m")).where(F.col("__m") >= min_members).select(fit)
+    tot = checkpointed(g.join(size, fit).groupBy(fit, "pos").agg(F.sum("val").alias("val")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [fit, "alpha", "target", "intercept", "coef", "n", "score"]
-        Ms = [_matrix(m["pos"], m["val"]) for _, m in pdf.sort_values([member, "pos"]).groupby(member)]
-        if len(Ms) < min_members:
-            return pd.DataFrame(columns=cols)
-        tot = sum(Ms)
-        sc = np.zeros(len(alphas))
-        for M in Ms:
-            sc += [_score(M, d, b0, W, how) for _, b0, W in _ridge(tot - M, d, alphas, False, relative)]
-        k = int(np.argmax(np.round(sc / len(Ms), 9)))
-        return pd.DataFrame(_rows((pdf[fit].iloc[0],), [_ridge(tot, d, [alphas[k]], False, relative)[0]], tot[0, 0], float(sc[k] / len(Ms))), columns=cols)
+        own, whole = _matrix(pdf["pos"], pdf["val"]), _matrix(pdf["pos"], pdf["tot"])
+        models = _ridge(whole - own, d, alphas, False, relative)
+        return pd.DataFrame([(pdf[fit].iloc[0], k, _score(own, d, b0, W, how)) for k, (_, b0, W) in enumerate(models)], columns=[fit, "k", "score"])
 
     ship_code(g.sparkSession)
-    return g.groupBy(fit).applyInPandas(run, _schema(members, [fit]))
+    kind = g.schema[fit].dataType.simpleString()
+    scores = g.join(tot.withColumnRenamed("val", "tot"), [fit, "pos"]).groupBy(fit, member).applyInPandas(run, f"{fit} {kind}, k int, score double")
+    mean = scores.groupBy(fit, "k").agg(F.avg("score").alias("score"))
+    best = mean.groupBy(fit).agg(F.max_by(F.struct("k", "score"), F.struct(F.round("score", 9), -F.col("k"))).alias("b"))
+    best = best.select(fit, F.element_at(F.array(*[F.lit(float(x)) for x in alphas]), F.col("b.k") + 1).alias("alpha"), F.col("b.score").alias("score"))
+    return ridge_solve(tot, [fit], d, alphas, relative=relative).join(best, [fit, "alpha"]).select(fit, "alpha", "target", "intercept", "coef", "n", "score")
 
 
 def ridge_loo_alpha(df: DataFrame, gram: DataFrame, fold: str, x: str, y: str, d: int, alphas: list[float]) -> DataFrame:
@@ -282,29 +285,135 @@ def crossfit(df: DataFrame, target: str, k: int, spec: dict, kind: str, x: str =
     return out
 
 
-def logistic_probe(train: DataFrame, val: DataFrame, test: DataFrame, label: str, grid: list[float], balanced: bool = False, x: str = "x") -> DataFrame:
-    """Class probabilities of the evaluated rows; C chosen by validation log loss (smaller C on ties). With one class in
-    training every row gets that class. labels are strings; columns call, confidence and label."""
-    from pyspark.ml.functions import vector_to_array
-    n = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()         # one row per class
+def _softmax(x: np.ndarray, B: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """Log probabilities of the classes (columns) under coefficients B (classes x (1 + inputs)); absent classes have none."""
+    z = np.where(active[None, :], x @ B.T, -np.inf)
+    z -= z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def softmax_fits(rows: DataFrame, n_classes: int, penalties: list[float], x: str = "x", tol: float = 1e-7, max_iter: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial logistic fits by iteratively reweighted least squares, all of them in one pass per step.
+
+    rows: x, y (class number), w (array: the row's weight in each fit, 0 where it has no part). Fit f minimises the
+    weighted log loss plus penalties[f] / 2 times the squared coefficients; intercepts are free. A task adds up gradient
+    and curvature of its rows for every fit, the sums of a fit are solved in a task of its own, and only coefficients
+    (fits x classes x inputs, declared numbers) come to the driver. A step that raises a fit's loss is halved. Fits
+    that don't reach a gradient of ``tol`` times their weight in ``max_iter`` steps are an error. Returns coefficients (fit,
+    class, 1 + inputs) and which classes each fit has."""
+    src = checkpointed(rows.select(x, "y", "w"))
+    first = src.select(F.size(x).alias("d")).first()
+    d, n_fits, m = first.d, len(penalties), n_classes
+    held = src.select("y", F.posexplode("w").alias("f", "v")).groupBy("f", "y").agg(F.sum("v").alias("v")).where("v > 0").toPandas()     # fits x classes
+    active = np.zeros((n_fits, m), bool)
+    active[held["f"], held["y"]] = True
+    weight = held.groupby("f")["v"].sum().reindex(range(n_fits), fill_value=0.0).to_numpy()
+    p = m * (d + 1)
+    old = B = np.zeros((n_fits, m, d + 1))
+    step = np.zeros((n_fits, m, d + 1))
+    loss = np.full(n_fits, np.inf)
+    open_ = weight > 0
+    ship_code(src.sparkSession)
+
+    def sums(B: np.ndarray, todo: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc = {int(f): [0.0, np.zeros((m, d + 1)), np.zeros((m, d + 1, m, d + 1))] for f in todo}
+            for b in batches:
+                X = np.column_stack([np.ones(len(b)), np.stack(b[x].to_numpy()).astype(float)])
+                y, W = b["y"].to_numpy(int), np.stack(b["w"].to_numpy())
+                for f, a in acc.items():
+                    on = W[:, f] > 0
+                    if not on.any():
+                        continue
+                    Z, w, yy = X[on], W[on, f], y[on]
+                    lp = _softmax(Z, B[f], active[f])
+                    P = np.exp(lp)
+                    a[0] -= float(w @ lp[np.arange(len(yy)), yy])
+                    G = P * w[:, None]
+                    G[np.arange(len(yy)), yy] -= w
+                    a[1] += G.T @ Z
+                    for i in np.flatnonzero(active[f]):
+                        for j in np.flatnonzero(active[f]):
+                            if j >= i:
+                                h = Z.T @ (Z * (w * P[:, i] * ((i == j) - P[:, j]))[:, None])
+                                a[2][i, :, j, :] += h
+                                if j > i:
+                                    a[2][j, :, i, :] += h
+            for f, (v, g, h) in acc.items():
+                yield pd.DataFrame({"f": f, "pos": np.arange(1 + p + p * p), "val": np.concatenate([[v], g.ravel(), h.ravel()])})
+        return src.mapInPandas(run, "f int, pos int, val double").groupBy("f", "pos").agg(F.sum("val").alias("val"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = int(pdf["f"].iloc[0])
+        v = np.zeros(1 + p + p * p)
+        v[pdf["pos"].to_numpy()] = pdf["val"].to_numpy()
+        pull = np.full((m, d + 1), penalties[f])
+        pull[:, 0] = 0.0
+        now = B[f]
+        g = v[1:1 + p].reshape(m, d + 1) + pull * now
+        g[~active[f]] = 0.0
+        H = v[1 + p:].reshape(p, p) + np.diag(np.where(np.repeat(active[f], d + 1), pull.ravel(), 1.0))
+        # the intercepts' common shift changes nothing: the solution of least norm leaves it out
+        move = -np.linalg.lstsq(H, g.ravel(), rcond=1e-12)[0]
+        return pd.DataFrame({"f": [f], "loss": [v[0] + 0.5 * float((pull * now * now).sum())], "slope": [float(np.abs(g).max())], "move": [move]})
+
+    for _ in range(max_iter):
+        todo = np.flatnonzero(open_)
+        if not len(todo):
+            return B, active
+        got = sums(B, todo).groupBy("f").applyInPandas(solve, "f int, loss double, slope double, move array<double>").toPandas()
+        new = B.copy()
+        for r in got.itertuples():
+            f = r.f
+            if r.loss > loss[f] + 1e-12 * abs(loss[f]):
+                step[f] /= 2
+                new[f] = old[f] + step[f]
+                continue
+            loss[f] = r.loss
+            if r.slope <= tol * weight[f]:
+                open_[f] = False
+                continue
+            step[f] = np.asarray(r.move).reshape(m, d + 1)
+            old = old.copy()
+            old[f] = B[f]
+            new[f] = B[f] + step[f]
+        B = new
+    raise RuntimeError(f"the logistic fit hasn't converged after {max_iter} iterations")
+
+
+def _numbered_classes(train: DataFrame, label: str) -> tuple[list, dict, Column]:
+    n = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col(label).isNotNull()).orderBy(label).collect()         # one row per class
     classes = [r[0] for r in n]
+    return classes, {r[0]: r[1] for r in n}, F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (c, i)])[F.col(label)].cast("int")
+
+
+def logistic_probe(train: DataFrame, val: DataFrame, test: DataFrame, label: str, grid: list[float], balanced: bool = False, x: str = "x") -> DataFrame:
+    """Class probabilities of the evaluated rows; C chosen by validation log loss (smaller C on ties), all penalties being
+    fitted together. With one class in training every row gets that class. labels are strings; columns call, confidence
+    and label."""
+    classes, n, number = _numbered_classes(train, label)
     if len(classes) == 1:
         return test.select("unit_id", F.col(label).alias("label"), F.lit(classes[0]).alias("call"), F.lit(1.0).alias("confidence"))
-    total = sum(r[1] for r in n)
-    idx = F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (c, float(i))])
-    w = F.create_map(*[F.lit(v) for r in n for v in (r[0], total / (len(classes) * r[1]))])
-    prep = lambda d: with_features(d, x).withColumn("y", F.col(label)).withColumn("label", idx[F.col(label)]).withColumn("w", w[F.col("y")] if balanced else F.lit(1.0))
-    tr, va, te = checkpointed(prep(train)), checkpointed(prep(val)), prep(test)
-    best = None
-    for c in sorted(grid):
-        m = fit_learner({"classifier": "logistic", "reg": 1.0 / (c * total), "weight": "w"}, "e", tr)
-        p = m.transform(va.where(F.col("label").isNotNull()))
-        loss = p.agg(F.avg(-F.log(F.greatest(F.element_at(vector_to_array("probability"), (F.col("label") + 1).cast("int")), F.lit(1e-15))))).first()[0]
-        if best is None or round(loss, 9) < best[0]:
-            best = (round(loss, 9), m)
-    p = best[1].transform(te).withColumn("pr", vector_to_array("probability"))
-    names = F.array(*[F.lit(c) for c in classes])
-    return p.select("unit_id", F.col("y").alias("label"), F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("call"), F.array_max("pr").alias("confidence"), "pr")
+    grid, total = sorted(grid), sum(n.values())
+    w = F.create_map(*[F.lit(v) for c in classes for v in (c, total / (len(classes) * n[c]))])[F.col(label)] if balanced else F.lit(1.0)
+    rows = train.where(F.col(label).isNotNull()).select(F.transform(x, lambda e: e.cast("double")).alias("x"), number.alias("y"), F.array_repeat(w, len(grid)).alias("w"))
+    B, active = softmax_fits(rows, len(classes), [1.0 / c for c in grid])
+
+    def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            X, y = np.column_stack([np.ones(len(b)), np.stack(b["x"].to_numpy()).astype(float)]), b["y"].to_numpy(int)
+            yield pd.DataFrame({"f": np.arange(len(grid)), "s": [float(-np.maximum(_softmax(X, B[f], active[f])[np.arange(len(y)), y], np.log(1e-15)).sum()) for f in range(len(grid))], "n": len(y)})
+    checked = val.select(F.transform(x, lambda e: e.cast("double")).alias("x"), number.alias("y")).where("y is not null")
+    s = checked.mapInPandas(losses, "f int, s double, n long").groupBy("f").agg((F.sum("s") / F.sum("n")).alias("loss"))
+    best = s.agg(F.min_by("f", F.struct(F.round("loss", 9), "f"))).first()[0]
+    best = 0 if best is None else best
+    kind = test.schema["unit_id"].dataType.simpleString()
+
+    def calls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pr = np.exp(_softmax(np.column_stack([np.ones(len(b)), np.stack(b["x"].to_numpy()).astype(float)]), B[best], active[best]))
+            yield pd.DataFrame({"unit_id": b["unit_id"], "label": b["label"], "call": [classes[k] for k in pr.argmax(1)], "confidence": pr.max(1), "pr": list(pr)})
+    return test.select("unit_id", F.col(label).alias("label"), F.transform(x, lambda e: e.cast("double")).alias("x")).mapInPandas(calls, f"unit_id {kind}, label string, call string, confidence double, pr array<double>")
 
 
 def probe_scores(pred: DataFrame, positive: str) -> DataFrame:
@@ -317,17 +426,28 @@ def probe_scores(pred: DataFrame, positive: str) -> DataFrame:
 
 def label_cost_curve(pool: DataFrame, evaluated: DataFrame, label: str, sizes: list[int], seeds: list[int], grid_reg: float = 1.0, x: str = "x") -> DataFrame:
     """Accuracy on the evaluated rows of a classifier trained on the first n labels of a seeded permutation, for every
-    (n, seed). The loop runs over declared sizes and seeds; each step is one distributed fit."""
+    (n, seed). The classifiers of all sizes and seeds are fitted together; only rows of the largest draws take part."""
     from .selection import nested_draw
-    out = None
-    for s in seeds:
-        draws = checkpointed(nested_draw(pool, sizes, s))
-        for n in sizes:
-            tr = pool.join(draws.where(F.col("size") == n).select("unit_id"), "unit_id")
-            p = logistic_probe(tr, tr, evaluated, label, [grid_reg], x=x)
-            r = p.agg(F.avg((F.col("call") == F.col("label")).cast("double")).alias("accuracy")).withColumn("n", F.lit(n)).withColumn("seed", F.lit(s))
-            out = r if out is None else out.unionByName(r)
-    return out
+    classes, _, number = _numbered_classes(pool, label)
+    fits = [(n, s) for s in seeds for n in sizes]
+    draws = None
+    for k, s in enumerate(seeds):
+        part = nested_draw(pool.where(F.col(label).isNotNull()), sizes, s).groupBy("unit_id").agg(F.array_sort(F.collect_set("size")).alias("in"))          # at most one entry per size
+        part = part.select("unit_id", F.lit(k).alias("k"), "in")
+        draws = part if draws is None else draws.unionByName(part)
+    member = draws.groupBy("unit_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "in"))).alias("in"))                                            # one entry per seed
+    w = F.array(*[F.coalesce(F.array_contains(F.try_element_at("in", F.lit(seeds.index(s))), F.lit(n).cast("long")), F.lit(False)).cast("double") for n, s in fits])
+    rows = pool.join(member, "unit_id").select(F.transform(x, lambda e: e.cast("double")).alias("x"), number.alias("y"), w.alias("w"))
+    B, active = softmax_fits(rows, len(classes), [1.0 / grid_reg] * len(fits))
+
+    def right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            X = np.column_stack([np.ones(len(b)), np.stack(b["x"].to_numpy()).astype(float)])
+            for f, (n, s) in enumerate(fits):
+                call = _softmax(X, B[f], active[f]).argmax(1)
+                yield pd.DataFrame({"n": [n], "seed": [s], "hits": [int((call == b["y"].to_numpy()).sum())], "rows": [len(b)]})
+    test = evaluated.where(F.col(label).isNotNull()).select(F.transform(x, lambda e: e.cast("double")).alias("x"), F.coalesce(number, F.lit(-1)).alias("y"))
+    return test.mapInPandas(right, "n int, seed int, hits long, rows long").groupBy("n", "seed").agg((F.sum("hits") / F.sum("rows")).alias("accuracy")).select("accuracy", "n", "seed")
 
 
 def labels_needed(curve: DataFrame, target: float) -> DataFrame:

@@ -429,7 +429,7 @@ def _(i):
 @query("label_cost_curve")
 def _(i):
     v = labelled(i)
-    return X.label_cost_curve(v.where("unit_id % 5 > 1"), v.where("unit_id % 5 = 0"), "cls", [40, 120], [1])
+    return X.label_cost_curve(v.where("unit_id % 5 <> 0"), v.where("unit_id % 5 = 0"), "cls", [40, 120], [1, 2, 3])
 
 
 @query("crossfit_boosted")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataspark.operators import audit as A, fit as X, ledger as L, resample as R, scope as SC, selection as S
+from strataspark.operators import fit as FIT
 from strataspark.session import checkpointed
 
 
@@ -310,6 +311,60 @@ def test_logistic_probe_separates_and_falls_back(spark):
     assert X.labels_needed(X.label_cost_curve(tr, te, "cls", [80], [0]), 0.5).first().n_labels == 80
 
 
+def test_softmax_fits_have_no_gradient_left(spark):
+    """Three classes, unequal weights, fits with other rows and a fit without one class: gradient of the penalised loss by hand."""
+    rng = np.random.default_rng(3)
+    X, y = rng.normal(size=(240, 3)), rng.integers(0, 3, 240)
+    X[:, 0] += y
+    W = np.column_stack([np.ones(240), rng.random(240), (np.arange(240) < 90) & (y < 2)]).astype(float)
+    d = spark.createDataFrame([(X[i].tolist(), int(y[i]), W[i].tolist()) for i in range(240)], "x array<double>, y int, w array<double>").repartition(4)
+    pen = [0.5, 10.0, 1.0]
+    B, active = FIT.softmax_fits(d, 3, pen)
+    assert active.tolist() == [[True] * 3, [True] * 3, [True, True, False]]
+    Z = np.column_stack([np.ones(240), X])
+    for f in range(3):
+        on = active[f]
+        z = Z @ B[f][on].T
+        P = np.exp(z - z.max(1, keepdims=True))
+        P /= P.sum(1, keepdims=True)
+        G = ((P - (y[:, None] == np.flatnonzero(on)[None, :])) * W[:, f][:, None]).T @ Z
+        G[:, 1:] += pen[f] * B[f][on][:, 1:]
+        assert np.abs(G).max() < 1e-5 * W[:, f].sum()
+
+
+def test_fit_sets_equal_fits_on_rows(spark):
+    """Penalty by leaving one member out, by hand on the rows of each set."""
+    p, V, Y, d = rows_of(spark, 200)
+    p["g"] = ["abcd"[i % 4] for i in range(len(p))]
+    d = d.join(spark.createDataFrame(p[["unit_id", "g"]]), "unit_id")
+    alphas = [0.0, 0.1, 10.0]
+    gram = FIT.gram_table(d, ["g"], "x", ["y1"])
+    sets = {"one": "abc", "two": "abcd", "few": "ab"}
+    m = spark.createDataFrame([(f, g) for f, gs in sets.items() for g in gs], "fit string, g string")
+    got = FIT.fit_sets(gram, "g", m, "fit", V.shape[1], alphas).toPandas().set_index("fit")
+    assert sorted(got.index) == ["one", "two"]
+
+    def solve(on, a):
+        x, t = V[on] - V[on].mean(0), Y[on, 0] - Y[on, 0].mean()
+        w = np.linalg.solve(x.T @ x + a * np.trace(x.T @ x) / V.shape[1] * np.eye(V.shape[1]), x.T @ t)
+        return w, Y[on, 0].mean() - V[on].mean(0) @ w
+    for f, gs in sets.items():
+        if f == "few":
+            continue
+        on = p.g.isin(list(gs)).to_numpy()
+        score = []
+        for a in alphas:
+            r = []
+            for g in gs:
+                own = (p.g == g).to_numpy()
+                w, b = solve(on & ~own, a)
+                r.append(np.corrcoef(V[own] @ w + b, Y[own, 0])[0, 1])
+            score.append(np.mean(r))
+        best = int(np.argmax(np.round(score, 9)))
+        w, b = solve(on, alphas[best])
+        assert got.loc[f].alpha == alphas[best] and np.isclose(got.loc[f].score, score[best]) and np.allclose(got.loc[f].coef, w) and np.isclose(got.loc[f].intercept, b)
+
+
 def test_boosted_residuals_are_out_of_fold(spark):
     p, V, Y, d = rows_of(spark, 200)
     r = X.crossfit(d.withColumn("fold", F.col("fold") % 2), "y1", 2, {"regressor": "boosted", "max_iter": 5}, "m").toPandas()
