@@ -5,7 +5,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.draws import draw_key
+from ..session import checkpointed
 from .audit import verdict_union
+from .ranking import value_rank
 
 LEAK = fixed.LEAK_ORDER
 
@@ -99,6 +101,26 @@ def distinguishable_sites(rows: DataFrame, by: list[str] = []) -> DataFrame:
     return rows.join(b, [*by, "channel"]).where((F.col("site") < F.col("other")) & ((F.col("hi") < F.col("lo2")) | (F.col("hi2") < F.col("lo")))).select(*by, "channel", "site", "other")
 
 
+def distinguishable_counts(rows: DataFrame, by: list[str] = []) -> DataFrame:
+    """The same relation in one row per site, by a sweep over the ends of all intervals: ``pos``, the site's number in its
+    channel by (lo, site); ``n_below`` sites whose interval ends below its own, ``n_above`` whose interval begins above.
+    The sites above are those with pos > n - n_above, so the pairs follow from these rows; no pair is written.
+    Intervals without one of their ends are left out.
+
+    A channel's ends are ranked in value ranges and summed up over these, so no channel lies in one task."""
+    g = [*by, "channel"]
+    d = checkpointed(rows.select(*g, "site", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")).where("lo IS NOT NULL AND hi IS NOT NULL"))
+    ends = d.select(*g, F.inline(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("begins"), F.lit(0).alias("ends")), F.struct(F.col("hi").alias("at"), F.lit(0).alias("begins"), F.lit(1).alias("ends")))))
+    ends = ends.groupBy(*g, "at").agg(F.sum("begins").cast("long").alias("begins"), F.sum("ends").cast("long").alias("ends"))
+    swept = value_rank(ends, g, "at", 0, ["at"], out="__r", descending=False, sums={"begun": "begins", "ended": "ends"})
+    swept = checkpointed(swept.select(*g, "at", "begun", (F.col("ended") - F.col("ends")).alias("ended_before")))
+    n = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
+    pos = value_rank(d, g, "lo", 0, ["site"], out="pos", descending=False).select(*g, "site", "lo", "hi", "pos")
+    up = swept.select(*g, F.col("at").alias("hi"), "begun")
+    down = swept.select(*g, F.col("at").alias("lo"), F.col("ended_before").alias("n_below"))
+    return pos.join(n, g).join(up, [*g, "hi"]).join(down, [*g, "lo"]).select(*g, "site", "pos", "n", "n_below", (F.col("n") - F.col("begun")).alias("n_above"))
+
+
 def ledger_conflicts(events: DataFrame) -> DataFrame:
     """Pairs of runs with opposite resolved verdicts at the same readout, stage, scope and target, with the fields in which
     they differ. Supports meet rejects only, so a key without both sides makes no pair."""
@@ -109,6 +131,26 @@ def ledger_conflicts(events: DataFrame) -> DataFrame:
     return d.select(*keys, F.col("run_s").alias("run_support"), F.col("run_r").alias("run_reject"), F.col("u_s").alias("u_support"), F.col("u_r").alias("u_reject"), F.array_join(diff, ",").alias("differ_in"))
 
 
+def conflict_classes(events: DataFrame) -> DataFrame:
+    """The conflicts in one row per class of runs (readout, stage, scope, target, verdict, source_site, context): ``n_runs``, the
+    verdicts in the class, and ``n_links``, the opposite verdicts of other runs that they meet, over all of them. Classes of
+    the two sides at one key are linked all with all, so the pairs of ``ledger_conflicts`` follow by joining runs to them."""
+    keys = ["readout", "stage", "scope", "target"]
+    e = events.where(F.col("verdict").isin("support", "reject")).select(*keys, "run", "verdict", "source_site", "context")
+    n = lambda v: F.sum((F.col("verdict") == v).cast("long"))
+    total = e.groupBy(*keys).agg(n("support").alias("t_s"), n("reject").alias("t_r"))
+    own = e.groupBy(*keys, "run").agg(n("support").alias("o_s"), n("reject").alias("o_r"))
+    # a run doesn't conflict with itself; few runs have both verdicts at a key
+    both = own.where("o_s > 0 AND o_r > 0")
+    same = e.join(both, [*keys, "run"]).groupBy(*keys, "verdict", F.coalesce("source_site", F.lit("")).alias("__s"), F.coalesce("context", F.lit("")).alias("__c"), F.col("source_site").isNull().alias("__sn"), F.col("context").isNull().alias("__cn")).agg(
+        F.sum(F.when(F.col("verdict") == "support", F.col("o_r")).otherwise(F.col("o_s"))).alias("same"))
+    c = e.groupBy(*keys, "verdict", "source_site", "context").agg(F.count(F.lit(1)).alias("n_runs")).join(total, keys)
+    c = c.withColumn("__s", F.coalesce("source_site", F.lit(""))).withColumn("__c", F.coalesce("context", F.lit(""))).withColumn("__sn", F.col("source_site").isNull()).withColumn("__cn", F.col("context").isNull())
+    c = c.join(same, [*keys, "verdict", "__s", "__c", "__sn", "__cn"], "left")
+    links = F.col("n_runs") * F.when(F.col("verdict") == "support", F.col("t_r")).otherwise(F.col("t_s")) - F.coalesce("same", F.lit(0))
+    return c.select(*keys, "verdict", "source_site", "context", "n_runs", links.alias("n_links"))
+
+
 def ledger_rules(hypotheses: DataFrame, tests: DataFrame) -> DataFrame:
     """H1-H5. hypotheses: id, own, controls (array), forecast (map), basis (array), retrospective; tests: hypothesis, runs
     (array), arms (array)."""

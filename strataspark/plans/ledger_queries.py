@@ -110,6 +110,17 @@ def _(i):
     return L.distinguishable_sites(g.select("channel", "site", (F.col("m") - 2.5 * F.col("s")).alias("lo"), (F.col("m") + 2.5 * F.col("s")).alias("hi")))
 
 
+def interval_rows(i):
+    g = i.table("part").groupBy(F.col("p_type").alias("channel"), F.col("p_brand").alias("site")).agg(F.avg("p_retailprice").alias("m"), (F.stddev_samp("p_retailprice") / F.sqrt(F.count(F.lit(1)))).alias("s"))
+    return g.select("channel", "site", (F.col("m") - 2.5 * F.col("s")).alias("lo"), (F.col("m") + 2.5 * F.col("s")).alias("hi"))
+
+
+@query("distinguishable_counts", f", iv AS (SELECT * FROM {IV} WHERE lo IS NOT NULL AND hi IS NOT NULL) SELECT a.channel, a.site, row_number() OVER (PARTITION BY a.channel ORDER BY a.lo, {hash_key(0, 'a.site')}) AS pos, count(*) OVER (PARTITION BY a.channel) AS n, (SELECT count(*) FROM iv b WHERE b.channel = a.channel AND b.hi < a.lo) AS n_below, (SELECT count(*) FROM iv b WHERE b.channel = a.channel AND b.lo > a.hi) AS n_above FROM iv a")
+def _(i):
+    """one row per site of the relation of distinguishable_sites"""
+    return L.distinguishable_counts(interval_rows(i))
+
+
 LC = f", le AS (SELECT run, 'r' || CAST(n % 2 AS VARCHAR) AS readout, st AS stage, 'units' AS scope, 'shift' AS target, CASE (n // k) % 3 WHEN 0 THEN 'support' WHEN 1 THEN 'reject' ELSE 'unresolved' END AS verdict, n * 0.001 AS u, CASE WHEN n % 5 = 0 THEN NULL ELSE 's' || CAST(n % 5 AS VARCHAR) END AS source_site, 'c' || CAST(n % 2 AS VARCHAR) AS context FROM {NAMES}, (VALUES ('z', 2), ('out', 3)) s(st, k))"
 
 
@@ -126,6 +137,12 @@ def _(i):
     return L.ledger_conflicts(ledger_of(i))
 
 
+@query("conflict_classes", LC + """, v AS (SELECT * FROM le WHERE verdict IN ('support', 'reject')) SELECT readout, stage, scope, target, verdict, source_site, context, count(*) AS n_runs, CAST(sum((SELECT count(*) FROM v b WHERE b.readout = a.readout AND b.stage = a.stage AND b.scope = a.scope AND b.target = a.target AND b.verdict <> a.verdict AND b.run <> a.run)) AS BIGINT) AS n_links FROM v a GROUP BY ALL""")
+def _(i):
+    """one row per class of runs of the relation of ledger_conflicts"""
+    return L.conflict_classes(ledger_of(i))
+
+
 @query("verdict_events", LC + " SELECT 'verdict:' || run || ':' || readout || ':' || stage AS event_id, verdict, CASE verdict WHEN 'support' THEN 1 WHEN 'reject' THEN -1 ELSE 0 END::BIGINT AS sign FROM le")
 def _(i):
     return L.verdict_events(ledger_of(i), "run").select("event_id", "verdict", "sign")

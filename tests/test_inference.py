@@ -230,6 +230,23 @@ def test_conflicts_need_both_sides(spark):
     assert [(r.run_support, r.run_reject, r.differ_in) for r in got] == [("r1", "r2", "source_site")]
 
 
+def test_counts_of_intervals_and_conflicts_equal_their_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [("hot" if k < 60 else "b", f"s{k:03d}", float(lo), float(lo + w)) for k, (lo, w) in enumerate(zip(rng.integers(0, 12, 80), rng.integers(0, 4, 80)))] + [("b", "gap", None, 1.0)]
+    d = spark.createDataFrame(rows, "channel string, site string, lo double, hi double").repartition(3)
+    pairs = {(r.site, r.other) for r in L.distinguishable_sites(d.where("lo IS NOT NULL")).collect()}
+    got = L.distinguishable_counts(d).toPandas()
+    assert len(got) == 80 and got.n_below.sum() == got.n_above.sum() == len(pairs)
+    where = {r.site: r for r in got.itertuples()}
+    above = {(a.site, b.site) for a in where.values() for b in where.values() if a.channel == b.channel and b.pos > b.n - a.n_above}
+    assert {tuple(sorted(p)) for p in above} == pairs
+    e = [("r%d" % (k % 25), ["support", "reject", "unresolved"][k % 7 % 3], ["s1", None][k % 2], "c%d" % (k % 3), "k%d" % (k % 2)) for k in range(70)]
+    e = spark.createDataFrame(e, "run string, verdict string, source_site string, context string, readout string").select("*", *[F.lit("x").alias(c) for c in ("stage", "scope", "target")], F.lit(0.1).alias("u"))
+    c = L.conflict_classes(e).toPandas()
+    n = L.ledger_conflicts(e).count()
+    assert n > 0 and all(c[c.verdict == v].n_links.sum() == n for v in ("support", "reject"))
+
+
 # ---- fits whose queries have no SQL form
 def test_score_terms_and_shift_equal_numpy(spark):
     p, V, Y, d = rows_of(spark)
