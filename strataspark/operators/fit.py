@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import checkpointed, ship_code
 
+TASK_CELLS = 1 << 20
 COEF = "alpha double, target int, intercept double, coef array<double>, n double, score double"
 
 
@@ -160,21 +161,28 @@ def ridge_select(train: DataFrame, val: DataFrame, by: list[str], d: int, alphas
 def fit_sets(gram: DataFrame, member: str, members: DataFrame, fit: str, d: int, alphas: list[float], how: str = "pearson", relative: bool = True, min_members: int = 3) -> DataFrame:
     """One ridge per declared fit set; its penalty is chosen by leaving one member (donor, fold) of the set out in turn.
 
-    A set's cross products are summed once. Each (fit, left-out member) is a task of its own on the set's sum less the
-    member's own matrix, so a task holds two small matrices whatever the size of the set. Sets with fewer than
-    ``min_members`` members give no fit. On equal scores the first penalty of ``alphas`` is taken."""
+    A set's cross products are summed once. The left-out members go to tasks in parts of at most ``TASK_CELLS`` matrix
+    cells, each with the set's sum, from which a member's own matrix is subtracted: a task's size doesn't grow with the
+    set. Sets with fewer than ``min_members`` members give no fit. On equal scores the first penalty of ``alphas`` is taken."""
     g = checkpointed(gram.join(members, member).select(fit, member, "pos", "val"))
-    size = g.groupBy(fit).agg(F.count_distinct(member).alias("__m")).where(F.col("__m") >= min_members).select(fit)
-    tot = checkpointed(g.join(size, fit).groupBy(fit, "pos").agg(F.sum("val").alias("val")))
+    size = g.groupBy(fit).agg(F.count_distinct(member).alias("__m")).where(F.col("__m") >= min_members)
+    tot = checkpointed(g.join(size.select(fit), fit).groupBy(fit, "pos").agg(F.sum("val").alias("val")))
+    per = max(1, TASK_CELLS // (d + 2) ** 2)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, whole = _matrix(pdf["pos"], pdf["val"]), _matrix(pdf["pos"], pdf["tot"])
-        models = _ridge(whole - own, d, alphas, False, relative)
-        return pd.DataFrame([(pdf[fit].iloc[0], k, _score(own, d, b0, W, how)) for k, (_, b0, W) in enumerate(models)], columns=[fit, "k", "score"])
+        out, whole = [], None
+        for _, one in pdf.groupby(member, sort=False):
+            if whole is None:
+                whole = _matrix(one["pos"], one["tot"])
+            own = _matrix(one["pos"], one["val"])
+            out += [(pdf[fit].iloc[0], k, _score(own, d, b0, W, how)) for k, (_, b0, W) in enumerate(_ridge(whole - own, d, alphas, False, relative))]
+        return pd.DataFrame(out, columns=[fit, "k", "score"])
 
     ship_code(g.sparkSession)
     kind = g.schema[fit].dataType.simpleString()
-    scores = g.join(tot.withColumnRenamed("val", "tot"), [fit, "pos"]).groupBy(fit, member).applyInPandas(run, f"{fit} {kind}, k int, score double")
+    pairs = g.join(tot.withColumnRenamed("val", "tot"), [fit, "pos"]).join(size.select(fit, F.ceil(F.col("__m") / per).alias("__parts")), fit)
+    pairs = pairs.withColumn("__part", F.pmod(F.xxhash64(member), F.col("__parts")).cast("int"))
+    scores = pairs.groupBy(fit, "__part").applyInPandas(run, f"{fit} {kind}, k int, score double")
     mean = scores.groupBy(fit, "k").agg(F.avg("score").alias("score"))
     best = mean.groupBy(fit).agg(F.max_by(F.struct("k", "score"), F.struct(F.round("score", 9), -F.col("k"))).alias("b"))
     best = best.select(fit, F.element_at(F.array(*[F.lit(float(x)) for x in alphas]), F.col("b.k") + 1).alias("alpha"), F.col("b.score").alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.draws import poisson1, slot, uniform
+from ..functions.draws import draw_key, poisson1, slot, uniform
 from ..session import checkpointed
 from .ranking import hash_rank, value_rank, weighted_quantile
 from .selection import weighted_selective_accuracy
@@ -26,7 +26,7 @@ def group_draws(rows: DataFrame, group: str, n_boot: int, seed) -> DataFrame:
 
 CHUNK = 1 << 17        # rows that share the first split of a large group
 BUCKET = 32            # rows that share the last split
-BALLS = 2_000_000      # draws that a task makes at a time
+BALLS = 100_000        # draws that a task makes at a time
 
 
 def multiplicities(rows: DataFrame, inner: list[str], totals: DataFrame, seed) -> DataFrame:
@@ -36,15 +36,19 @@ def multiplicities(rows: DataFrame, inner: list[str], totals: DataFrame, seed) -
     A seeded multinomial tree: the balls of a draw are split over chunks (only where a group has more than ``CHUNK`` rows),
     then over buckets of ``BUCKET`` rows, then inside a bucket. Every split is counted before it is shuffled, and a
     bucket's rows are one short array: what is shuffled and joined are counts of buckets, not balls."""
-    numbered = checkpointed(hash_rank(rows.select("unit_id", *inner), inner, f"{seed}r", ["unit_id"], out="r_no"))
     g = inner or ["__g"]
+    base = rows.select("unit_id", *inner)
     if not inner:
-        numbered, totals = numbered.withColumn("__g", F.lit(0)), totals.withColumn("__g", F.lit(0))
-    sizes = checkpointed(numbered.groupBy(*g).agg(F.count(F.lit(1)).alias("n_in")))
-    t = checkpointed(totals.join(sizes, g).select("draw", *g, "n_in", "copies"))
-    first = t.where(F.col("n_in") <= CHUNK).select("draw", *g, "n_in", F.lit(0).cast("long").alias("chunk"), (F.col("copies") * F.col("n_in")).alias("balls"))
+        base, totals = base.withColumn("__g", F.lit(0)), totals.withColumn("__g", F.lit(0))
+    base = checkpointed(base)
+    t = totals.join(base.groupBy(*g).agg(F.count(F.lit(1)).alias("n_in")), g).select("draw", *g, "n_in", "copies")
     whole = t.agg(F.sum(F.col("copies") * F.col("n_in")), F.max("n_in")).first()
     parts = max(1, -(-(whole[0] or 0) // BALLS))
+    if (whole[1] or 0) > CHUNK:
+        numbered = checkpointed(hash_rank(base, g, f"{seed}r", ["unit_id"], out="r_no"))
+    else:                                                   # groups of at most CHUNK rows
+        numbered = base.withColumn("r_no", F.row_number().over(Window.partitionBy(*g).orderBy(draw_key(f"{seed}r", "unit_id"), "unit_id")).cast("long"))
+    first = t.where(F.col("n_in") <= CHUNK).select("draw", *g, "n_in", F.lit(0).cast("long").alias("chunk"), (F.col("copies") * F.col("n_in")).alias("balls"))
     place = lambda kind, size, *keys: F.floor(uniform(seed, F.lit(kind), "draw", *inner, *keys) * size).cast("long")
     if (whole[1] or 0) > CHUNK:
         # the rows of a large group stand for its balls, so that they are thrown where the rows lie

@@ -14,9 +14,10 @@ from .window_queries import STG, stage_table
 
 def order_rows(i, priorities):
     """orders of some priorities with the trial's columns"""
-    o, c, n = i.table("orders"), i.table("customer"), i.table("nation")
-    q = i.table("lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("nl"))
-    return (o.where(F.col("o_orderpriority").isin(priorities)).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(q, F.col("o_orderkey") == F.col("l_orderkey"))
+    o, c, n = i.table("orders").where(F.col("o_orderpriority").isin(priorities)), i.table("customer"), i.table("nation")
+    lines = i.table("lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")          # only these orders' lines are summed
+    q = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("nl"))
+    return (o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(q, F.col("o_orderkey") == F.col("l_orderkey"))
              .select(F.col("o_orderkey").alias("unit_id"), F.col("n_name").alias("cluster"), F.col("n_regionkey").cast("string").alias("site"), F.log1p("o_totalprice").alias("y"), F.log1p("qty").alias("x"), F.col("nl").cast("double").alias("x2")))
 
 
@@ -439,7 +440,23 @@ def _(i):
     return X.crossfit(f, "y", 2, {"regressor": "boosted", "max_iter": 3}, "m").select("unit_id", "fold", "pred")
 
 
-@query("threshold_gmm")
+def _density(k):
+    return f"-0.5 * ln(v{k}) - power(x - m{k}, 2) / (2 * v{k})"
+
+
+#: the same steps as a recursive query: all groups advance until none of them moves
+GMM = f"""WITH RECURSIVE {B.PRELUDE.strip().removeprefix('WITH ')}, hv AS (SELECT site, feature, CAST(measured AS DOUBLE) AS x, count(*) AS c FROM panel JOIN units USING (unit_id) WHERE measured > 0 GROUP BY ALL),
+ mo AS (SELECT site, feature, sum(x * c) / sum(c) AS m, sqrt(greatest(sum(x * x * c) / sum(c) - power(sum(x * c) / sum(c), 2), 1e-12)) AS sd FROM hv GROUP BY 1, 2),
+ em AS (SELECT site, feature, m - 0.75 * sd AS m1, m + 0.75 * sd AS m2, sd * sd AS v1, sd * sd AS v2, 0.5::DOUBLE AS p2, NULL::DOUBLE AS ll, 0 AS it, true AS go FROM mo
+ UNION ALL SELECT site, feature, s1 / t1, s2 / t2, greatest(q1 / t1 - power(s1 / t1, 2), 1e-6), greatest(q2 / t2 - power(s2 / t2, 2), 1e-6), least(greatest(n2 / (n1 + n2), 1e-9), 1 - 1e-9), ll, it + 1, bool_or(ll0 IS NULL OR abs(ll - ll0) > 1e-4) OVER ()
+ FROM (SELECT *, greatest(n1, 1e-9) AS t1, greatest(n2, 1e-9) AS t2 FROM (SELECT site, feature, it, any_value(ll0) AS ll0, sum(c * (1 - r)) AS n1, sum(c * r) AS n2, sum(c * (1 - r) * x) AS s1, sum(c * r * x) AS s2, sum(c * (1 - r) * x * x) AS q1, sum(c * r * x * x) AS q2, sum(c * lse) / sum(c) AS ll
+ FROM (SELECT *, 1 / (1 + exp(least(a - b, 700))) AS r, greatest(a, b) + ln(1 + exp(-abs(a - b))) AS lse FROM (SELECT site, feature, it, ll AS ll0, x, c, ln(1 - p2) + {_density(1)} AS a, ln(p2) + {_density(2)} AS b FROM em JOIN hv USING (site, feature) WHERE go)) GROUP BY site, feature, it))),
+ fi AS (SELECT site, feature, least(m1, m2) AS ml, greatest(m1, m2) AS mu, CASE WHEN m1 > m2 THEN v2 ELSE v1 END AS vl, CASE WHEN m1 > m2 THEN v1 ELSE v2 END AS vu, CASE WHEN m1 > m2 THEN 1 - p2 ELSE p2 END AS pu FROM em WHERE it = (SELECT max(it) FROM em)),
+ th AS (SELECT *, list_filter(range(0, 4001), lambda k: ln(pu) - 0.5 * ln(vu) - power(ml + (mu - ml) * k / 4000 - mu, 2) / (2 * vu) >= ln(1 - pu) - 0.5 * ln(vl) - power((mu - ml) * k / 4000, 2) / (2 * vl))[1] AS k FROM fi)
+ SELECT site, feature, round(coalesce(ml + (mu - ml) * k / 4000, (ml + mu) / 2), 6) AS threshold, round(ml + 3 * sqrt(vl), 6) AS background_mu3sd, round(ml, 6) AS ml, round(mu, 6) AS mu FROM th"""
+
+
+@query("threshold_gmm", whole=GMM)
 def _(i):
     return X.threshold_gmm(i.panel.join(i.units.select("unit_id", "site"), "unit_id"), ["site", "feature"], "measured")
 

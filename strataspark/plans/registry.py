@@ -25,11 +25,11 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def query(name: str, sql: str | None = None):
-    """Registers ``fn(inputs) -> DataFrame`` under ``name`` with the SQL body of its oracle."""
+def query(name: str, sql: str | None = None, whole: str | None = None):
+    """Registers ``fn(inputs) -> DataFrame`` under ``name`` with the SQL body of its oracle, or with its ``whole`` SQL."""
     def wrap(fn):
         QUERIES[name] = lambda spark, sf_dir: tidy(fn(Inputs(spark, sf_dir)))
-        if sql:
-            ORACLES[name] = PRELUDE + sql
+        if sql or whole:
+            ORACLES[name] = whole or PRELUDE + sql
         return fn
     return wrap
