@@ -370,26 +370,69 @@ def donor_rows(i):
     return d.select("unit_id", F.col("cluster").alias("group_id"), "site", F.when(num % 2 == 0, "a").otherwise("b").alias("study"), F.array("x", "x2").alias("v"), "y", (F.col("y") - F.col("x")).alias("y2"))
 
 
+#: donors' rows, and the four fits in closed form (two inputs) from sums per member
+DONOR_SQL = order_sql("dq", ["1-URGENT", "5-LOW"]) + f""", dr AS (SELECT unit_id, cluster AS group_id, site, CASE WHEN CAST(regexp_extract(cluster, '(\\d+)', 1) AS INT) % 2 = 0 THEN 'a' ELSE 'b' END AS study, x AS x1, x2, y AS y0, y - x AS y1 FROM dq),
+ dl AS (SELECT unit_id, group_id, x1, x2, 0 AS target, y0 AS y FROM dr UNION ALL SELECT unit_id, group_id, x1, x2, 1, y1 FROM dr),
+ df AS (SELECT *, group_id || '|' || CAST(fold AS VARCHAR) AS part FROM (SELECT unit_id, group_id, (row_number() OVER (PARTITION BY group_id ORDER BY {B.hash_key(61, 'unit_id')}, unit_id) - 1) % 3 AS fold FROM dr)),
+ dm AS (SELECT group_id AS member, target, count(*)::DOUBLE AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS st, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum(x1 * y) AS s1t, sum(x2 * y) AS s2t, sum(y * y) AS stt FROM dl GROUP BY 1, 2
+  UNION ALL SELECT part, target, count(*)::DOUBLE, sum(x1), sum(x2), sum(y), sum(x1 * x1), sum(x1 * x2), sum(x2 * x2), sum(x1 * y), sum(x2 * y), sum(y * y) FROM dl JOIN df USING (unit_id) GROUP BY 1, 2),
+ dn AS (SELECT DISTINCT group_id, site, study FROM dr), fp AS (SELECT DISTINCT group_id, part FROM df),
+ ms AS (SELECT 'T' AS fit, a.group_id AS tg, b.group_id AS member FROM dn a JOIN dn b ON b.study = 'a' AND a.group_id <> b.group_id UNION ALL SELECT 'S', a.group_id, b.group_id FROM dn a JOIN dn b ON b.study = 'a' AND a.group_id <> b.group_id AND a.site <> b.site
+  UNION ALL SELECT 'L', a.group_id, b.group_id FROM dn a JOIN dn b ON b.study = a.study AND a.group_id <> b.group_id UNION ALL SELECT 'C', a.part, b.part FROM fp a JOIN fp b ON a.group_id = b.group_id AND a.part <> b.part),
+ mt AS (SELECT fit, tg, target, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(st) AS st, sum(s11) AS s11, sum(s12) AS s12, sum(s22) AS s22, sum(s1t) AS s1t, sum(s2t) AS s2t FROM ms JOIN dm USING (member) GROUP BY 1, 2, 3 HAVING count(*) >= CASE WHEN fit = 'C' THEN 2 ELSE 3 END),
+ lo AS (SELECT m.fit, m.tg, m.member, t.target, o.n AS n0, o.s1 AS o1, o.s2 AS o2, o.st AS ot, o.s11 AS o11, o.s12 AS o12, o.s22 AS o22, o.s1t AS o1t, o.s2t AS o2t, o.stt AS ott,
+  t.n - o.n AS n, t.s1 - o.s1 AS s1, t.s2 - o.s2 AS s2, t.st - o.st AS st, t.s11 - o.s11 AS s11, t.s12 - o.s12 AS s12, t.s22 - o.s22 AS s22, t.s1t - o.s1t AS s1t, t.s2t - o.s2t AS s2t FROM ms m JOIN mt t USING (fit, tg) JOIN dm o ON o.member = m.member AND o.target = t.target),
+ pe AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 0.01::DOUBLE), (2, 1.0::DOUBLE)) p(k, alpha)),
+ co AS (SELECT *, s11 - s1 * s1 / n AS c11, s12 - s1 * s2 / n AS c12, s22 - s2 * s2 / n AS c22, s1t - s1 * st / n AS c1t, s2t - s2 * st / n AS c2t FROM lo),
+ sv2 AS (SELECT *, c11 + alpha * (c11 + c22) / 2 AS aa, c22 + alpha * (c11 + c22) / 2 AS dd FROM co, pe),
+ ws AS (SELECT *, (dd * c1t - c12 * c2t) / (aa * dd - c12 * c12) AS b1, (aa * c2t - c12 * c1t) / (aa * dd - c12 * c12) AS b2 FROM sv2),
+ rs AS (SELECT fit, tg, member, k, avg(r) AS r FROM (SELECT fit, tg, member, k, (b1 * (o1t - o1 * ot / n0) + b2 * (o2t - o2 * ot / n0)) / nullif(sqrt(greatest((b1 * b1 * (o11 - o1 * o1 / n0) + 2 * b1 * b2 * (o12 - o1 * o2 / n0) + b2 * b2 * (o22 - o2 * o2 / n0)) * (ott - ot * ot / n0), 0)), 0) AS r FROM ws) GROUP BY 1, 2, 3, 4),
+ bs AS (SELECT fit, tg, arg_max(k, row(round(r, 9), -k)) AS k FROM (SELECT fit, tg, k, avg(r) AS r FROM rs GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ fc AS (SELECT *, s11 - s1 * s1 / n AS c11, s12 - s1 * s2 / n AS c12, s22 - s2 * s2 / n AS c22, s1t - s1 * st / n AS c1t, s2t - s2 * st / n AS c2t FROM mt JOIN bs USING (fit, tg) JOIN pe USING (k)),
+ fs AS (SELECT *, c11 + alpha * (c11 + c22) / 2 AS aa, c22 + alpha * (c11 + c22) / 2 AS dd FROM fc),
+ fb AS (SELECT fit, tg, target, n, s1, s2, st, (dd * c1t - c12 * c2t) / (aa * dd - c12 * c12) AS b1, (aa * c2t - c12 * c1t) / (aa * dd - c12 * c12) AS b2 FROM fs),
+ tr AS (SELECT f.fit, d.unit_id, d.target, st / n - b1 * s1 / n - b2 * s2 / n + b1 * x1 + b2 * x2 AS pred FROM (VALUES ('T'), ('S'), ('L'), ('C')) f(fit) CROSS JOIN dl d JOIN df USING (unit_id) LEFT JOIN fb ON fb.fit = f.fit AND fb.target = d.target AND fb.tg = CASE WHEN f.fit = 'C' THEN df.part ELSE d.group_id END)"""
+
+
 def transfer(i):
     return SC.donor_transfer_fits(donor_rows(i), "v", ["y", "y2"], 2, [0.0, 0.01, 1.0], "a", 3, 61)
 
 
-@query("donor_transfer_fits")
+@query("donor_transfer_fits", DONOR_SQL + " SELECT fit, unit_id, target::BIGINT AS target, round(pred, 6) AS pred, CASE WHEN pred IS NULL THEN 'too few members' ELSE 'fitted' END AS status FROM tr")
 def _(i):
     return transfer(i)
 
 
-@query("score_terms")
+TERMS_SQL = DONOR_SQL + boot_sql("dr", "group_id", "unit_id", 5, 62, "bw") + """, sp AS (SELECT group_id, fit, target, draw, sum(w) AS n, sum(w * y) / sum(w) AS my, sum(w * pred) / sum(w) AS mp, sum(w * y * y) / sum(w) AS yy, sum(w * pred * pred) / sum(w) AS pp, sum(w * pred * y) / sum(w) AS py
+  FROM tr JOIN dl USING (unit_id, target) JOIN bw USING (unit_id, group_id) WHERE pred IS NOT NULL GROUP BY 1, 2, 3, 4),
+ st AS (SELECT group_id, fit, draw, avg(CASE WHEN yy - my * my > 1e-12 AND pp - mp * mp > 1e-12 THEN (py - mp * my) / sqrt((yy - my * my) * (pp - mp * mp)) END) AS v FROM sp GROUP BY 1, 2, 3),
+ te AS (SELECT group_id, fit AS term, draw, v FROM st UNION ALL SELECT a.group_id, t.term, a.draw, a.v - b.v FROM (VALUES ('site', 'T', 'S'), ('study', 'L', 'T'), ('own', 'C', 'L')) t(term, p, q) JOIN st a ON a.fit = t.p JOIN st b ON b.fit = t.q AND b.group_id = a.group_id AND b.draw = a.draw WHERE a.v - b.v IS NOT NULL)"""
+
+
+@query("score_terms", TERMS_SQL + " SELECT group_id, term, round(max(v) FILTER (draw = 0), 6) AS point, round(quantile_cont(v, 0.025) FILTER (draw > 0), 6) AS lo, round(quantile_cont(v, 0.975) FILTER (draw > 0), 6) AS hi, count(v) FILTER (draw > 0) AS n_finite, count(*) FILTER (draw > 0 AND v IS NULL) AS n_undefined FROM te GROUP BY 1, 2")
 def _(i):
     return SC.score_terms(checkpointed(transfer(i)), donor_rows(i), ["y", "y2"], {"site": ("T", "S"), "study": ("L", "T"), "own": ("C", "L")}, 5, 62, 0.05)
 
 
-@query("group_shift_u")
+@query("group_shift_u", DONOR_SQL + """, gs AS (SELECT fit, target, group_id, count(*) AS n, sum(y) AS sy, sum(pred) AS sp, sum(y * y) AS yy FROM tr JOIN dl USING (unit_id, target) WHERE pred IS NOT NULL GROUP BY 1, 2, 3),
+ gt AS (SELECT fit, target, sum(n) AS n, sum(sy) AS sy, sum(sp) AS sp, sqrt(greatest(sum(yy) / sum(n) - power(sum(sy) / sum(n), 2), 1e-12)) AS sd FROM gs GROUP BY 1, 2),
+ gd AS (SELECT g.group_id, g.fit, (g.sy / g.n - (t.sy - g.sy) / (t.n - g.n)) / sd AS dy, (g.sp / g.n - (t.sp - g.sp) / (t.n - g.n)) / sd AS dp FROM gs g JOIN gt t USING (fit, target))
+ SELECT group_id, fit, round(sqrt(sum(power(dy - dp, 2))) / greatest(sqrt(sum(dy * dy)), 1e-12), 6) AS u FROM gd GROUP BY 1, 2""")
 def _(i):
     return SC.group_shift_u(checkpointed(transfer(i)), donor_rows(i), ["y", "y2"])
 
 
-@query("forecast_ceilings")
+CEIL_SQL = DONOR_SQL + f""", nu AS (SELECT 1 AS a, CAST(unit_id AS VARCHAR) AS element, row_number() OVER (ORDER BY {B.hash_key('63r', 'unit_id')}, CAST(unit_id AS VARCHAR)) AS r_no, count(*) OVER () AS n_in FROM dr),
+ sl AS (SELECT a, draw, n_in, n_in AS balls FROM (SELECT DISTINCT a, n_in FROM nu), (SELECT unnest(range(1, 6)) AS draw)){thrown_sql('nu', 'sl', ['a'], 63, 'tw')},
+ dw AS (SELECT draw, CAST(element AS BIGINT) AS unit_id, w FROM tw JOIN nu USING (a, r_no) UNION ALL SELECT 0, unit_id, 1 FROM dr),
+ ot AS (SELECT fit AS arm, unit_id, target, pred FROM tr WHERE pred IS NOT NULL UNION ALL SELECT 'in_use', unit_id, target, x2 FROM dl), ce AS (SELECT target, avg(y) AS c FROM dl GROUP BY 1),
+ om AS (SELECT arm, draw, target, sum(w * p * v) / sum(w) - sum(w * p) * sum(w * v) / sum(w) / sum(w) AS c, sum(w * p * p) / sum(w) - power(sum(w * p) / sum(w), 2) AS vp, sum(w * v * v) / sum(w) - power(sum(w * v) / sum(w), 2) AS vy
+  FROM (SELECT arm, target, unit_id, pred - c AS p, y - c AS v FROM ot JOIN dl USING (unit_id, target) JOIN ce USING (target)) JOIN dw USING (unit_id) GROUP BY 1, 2, 3),
+ ua AS (SELECT arm, draw, 1 - avg(CASE WHEN vp > 1e-12 AND vy > 1e-12 THEN c * c / (vp * vy) ELSE 0 END) AS u FROM om GROUP BY 1, 2), ga AS (SELECT ua.arm, draw, ua.u, b.u - ua.u AS gain FROM ua JOIN (SELECT draw, u FROM ua WHERE arm = 'in_use') b USING (draw))"""
+
+
+@query("forecast_ceilings", CEIL_SQL + """ SELECT arm, round(max(u) FILTER (draw = 0), 6) AS u, round(quantile_cont(u, 0.025) FILTER (draw > 0), 6) AS u_lo, round(quantile_cont(u, 0.975) FILTER (draw > 0), 6) AS u_hi, round(max(gain) FILTER (draw = 0), 6) AS gain,
+ round(quantile_cont(gain, 0.025) FILTER (draw > 0), 6) AS lo, round(quantile_cont(gain, 0.975) FILTER (draw > 0), 6) AS hi FROM ga GROUP BY 1""")
 def _(i):
     """gain of ridge read-outs fitted on declared donor sets over the output in use (the number of lines)"""
     d = donor_rows(i)
@@ -411,7 +454,26 @@ def _(i):
     return X.random_fourier_features(d, d, 8, 64).select("unit_id", *[F.col("x")[64 + j].alias(f"f{j}") for j in range(8)])
 
 
-@query("svd_components")
+def _times(a, b):
+    """product of two symmetric matrices held as lists of rows"""
+    return f"list_transform({a}, lambda r: list_transform({b}, lambda q: list_dot_product(r, q)))"
+
+
+def svd_sql(d, k, squarings=16):
+    """top eigenvectors of the cross products by squaring (a power of 2^16 is of rank one), found part taken off each time; scores are sums over entries"""
+    out = f""", sx AS (SELECT unit_id, CAST(regexp_extract(feature, '(\\d+)', 1) AS INT) AS pos, ln(1 + count)::DOUBLE AS v FROM counts),
+ sg AS (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) AS s FROM sx a JOIN sx b USING (unit_id) GROUP BY 1, 2), sm0 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(coalesce(s, 0::DOUBLE) ORDER BY j) AS r FROM (SELECT unnest(range(1, {d + 1})) AS i) CROSS JOIN (SELECT unnest(range(1, {d + 1})) AS j) LEFT JOIN sg USING (i, j) GROUP BY 1))"""
+    for n in range(k):
+        out += f", sp{n}_0 AS (SELECT m FROM sm{n})"
+        for q in range(squarings):
+            scaled = "list_transform(m, lambda r: list_transform(r, lambda e: e / t))"
+            out += f", sp{n}_{q + 1} AS (SELECT {_times('m', 'm')} AS m FROM (SELECT {scaled} AS m FROM (SELECT m, list_sum(list_transform(range(1, {d + 1}), lambda i: m[i][i])) AS t FROM sp{n}_{q})))"
+        out += f""", sv{n} AS (SELECT list_transform(c, lambda e: e / sqrt(list_dot_product(c, c))) AS v FROM (SELECT m[list_position(g, list_max(g))] AS c FROM (SELECT m, list_transform(range(1, {d + 1}), lambda i: m[i][i]) AS g FROM sp{n}_{squarings})))
+ , sm{n + 1} AS (SELECT list_transform(range(1, {d + 1}), lambda i: list_transform(range(1, {d + 1}), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM (SELECT m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM sm{n}, sv{n}))"""
+    return out
+
+
+@query("svd_components", svd_sql(25, 3) + " SELECT unit_id, " + ", ".join(f"round(abs(sum(sx.v * sv{n}.v[pos])), 6) AS c{n}" for n in range(3)) + " FROM sx, sv0, sv1, sv2 GROUP BY 1")
 def _(i):
     v = i.counts.select("unit_id", (F.regexp_extract("feature", r"(\d+)", 1).cast("int") - 1).alias("pos"), F.log1p("count").alias("value"))
     return X.svd_components(v, 25, 3).select("unit_id", *[F.abs(F.col("x")[j]).alias(f"c{j}") for j in range(3)])
