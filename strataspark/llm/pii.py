@@ -3,7 +3,8 @@
 An Aho-Corasick automaton finds at-signs, plus signs, digits, schemes and identifier cues in one pass; at each anchor
 a small deterministic parser expands the match to its bounds and validates it. The base kinds (email, ip, card, phone)
 are leftmost and don't overlap within a kind; a match that fails its validation is dropped and not tried again from
-inside. The cues add validated account numbers (iban, ssn, account) and links with user names (url).
+inside. The cues, in upper or lower case, add account numbers (iban and ssn by their own rules; account: 8 to 17 digits,
+not one digit repeated) and links with user names (url).
 
 Null texts count as empty. Equal texts have equal spans. Offsets are code points, ends exclusive. Only the id and text
 columns are read."""
@@ -28,9 +29,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "konto": "account", "cuenta": "account", "compte": "account"}
 AFTER = {
-    "iban": re.compile(r"(?:\s*(?:no|number|nr)\.?)?[\s:#=]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])"),
-    "ssn": re.compile(r"(?:\s*(?:no|number)\.?)?[\s:#=]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])"),
-    "account": re.compile(r"(?:\s*(?:no|number|nr)\.?)?[\s:#=]*([0-9](?:[\x20-]?[0-9]){7,16})(?![0-9])"),
+    "iban": re.compile(r"(?:\s*(?:no|number|nr)\.?)?[\s:#=]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])", re.IGNORECASE),
+    "ssn": re.compile(r"(?:\s*(?:no|number)\.?)?[\s:#=]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])", re.IGNORECASE),
+    "account": re.compile(r"(?:\s*(?:no|number|nr)\.?)?[\s:#=]*([0-9](?:[\x20-]?[0-9]){7,16})(?![0-9])", re.IGNORECASE),
 }
 LINK = re.compile(r"://([^\s/?#@:]+)(?::[^\s/?#@]*)?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -45,8 +46,7 @@ def _automaton():
             a.add_word(c, (c, 1))
         a.add_word("://", ("://", 3))
         for cue, kind in CUES.items():
-            for form in (cue, cue.upper(), cue.capitalize()):
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
         a.make_automaton()
         _AUTOMATON.append(a)
     return _AUTOMATON[0]
@@ -65,6 +65,20 @@ def iban_ok(value: str) -> bool:
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, at its own length: the few letters whose lower case is longer stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _good(kind: str, value: str) -> bool:
+    if kind == "iban":
+        return iban_ok(value)
+    if kind == "ssn":
+        return value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" and value[7:] != "0000"
+    return len(set(_digits(value))) > 1  # an account number isn't one digit repeated
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if c in DIGITS)
 
@@ -75,7 +89,7 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
         return []
     found: list[tuple[int, int, int]] = []
     ended = dict.fromkeys(KINDS, 0)
-    for last, (anchor, size) in _automaton().iter(text):
+    for last, (anchor, size) in _automaton().iter(lowered(text)):
         at = last - size + 1
         if anchor == "@":
             start = at
@@ -111,8 +125,7 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
                 found.append((start, 7, m.end()))
         elif (at == 0 or not text[at - 1].isalnum()) and last + 1 >= ended[anchor] and (m := AFTER[anchor].match(text, last + 1)):
             value = m.group(1)
-            good = iban_ok(value) if anchor == "iban" else value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" and value[7:] != "0000" if anchor == "ssn" else True
-            if good:
+            if _good(anchor, value):
                 ended[anchor] = m.end(1)
                 found.append((m.start(1), KINDS.index(anchor), m.end(1)))
     return sorted(found)

@@ -230,3 +230,12 @@ def test_language(spark, rng):
     nothing = language.train(docs.where("lang is null"))
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_cues_in_any_case():
+    found = {"Social Security Number: 123-45-6789": "ssn", "SOCIAL SECURITY NO. 123-45-6789": "ssn", "Account Number: 1234567890": "account", "Account No. 1234567890": "account", "aCCT nr 12345-67890": "account",
+             "IBAN No: GB82 WEST 1234 5698 7654 32": "iban", "iban gb82west12345698765432": "iban", "İ Account 1234567890": "account"}
+    for text, kind in found.items():
+        assert [pii.KINDS[k] for _, k, _ in pii.scan(text) if k >= pii.BASE] == [kind], text
+    for text in ("Account Number: 0000000000", "IBAN GB82 WEST 1234 5698 7654 33", "SSN 000-12-3456", "on account of 12 days", "discount 1234567890"):
+        assert [k for _, k, _ in pii.scan(text) if k >= pii.BASE] == [], text
