@@ -4,6 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.vectors import l2_normalise, norm
 from ..operators import classify as C, decide as D, prepare as P
 from . import bindings as B
@@ -138,31 +139,33 @@ def _(i):
 FLD = D.Field()
 
 
-def star(n: int, ticks: int = 5, injected: int | None = None) -> float:
+def star(n: int, ticks: int = fixed.FIELD_STEPS + 1, injected: int | None = None) -> float:
     """Action state per unit injected, from the full (1 + n)-site update matrix (the operator uses a 2 x 2 one)."""
-    m = injected or n
-    T = 0.82 * np.eye(n + 1)
-    T[0, 1:], T[1:, 0] = 0.16 * 0.82, 0.16 * 0.15 * 0.82
-    start = np.r_[0.16 * m, np.ones(m), np.zeros(n - m)]
+    m, r, d, w = injected or n, fixed.FIELD_RETENTION, fixed.FIELD_DIFFUSION, fixed.FIELD_FEEDBACK_WEIGHT
+    T = r * np.eye(n + 1)
+    T[0, 1:], T[1:, 0] = d * r, d * w * r
+    start = np.r_[d * m, np.ones(m), np.zeros(n - m)]
     return float((np.linalg.matrix_power(T, ticks - 1) @ start)[0] / m)
 
 
-G2 = star(2)
+def field_sql(cls, name):
+    """state of a class's action site (a) and of its two event sites (e1, e2), site by site and tick by tick"""
+    r, d, w = (f"{x!r}::DOUBLE" for x in (fixed.FIELD_RETENTION, fixed.FIELD_DIFFUSION, fixed.FIELD_FEEDBACK_WEIGHT))
+    f1, f2 = B.PANEL[cls]
+    out = f", {name}_e AS (SELECT unit_id, coalesce(max(v) FILTER (feature = '{f1}'), 0) AS v1, coalesce(max(v) FILTER (feature = '{f2}'), 0) AS v2 FROM evidence GROUP BY 1), {name}_0 AS (SELECT unit_id, {d} * (v1 + v2) AS a, v1::DOUBLE AS e1, v2::DOUBLE AS e2 FROM {name}_e)"
+    for k in range(1, fixed.FIELD_STEPS + 1):
+        out += f", {name}_{k} AS (SELECT unit_id, {r} * a + {d} * {r} * (e1 + e2) AS a, {r} * e1 + {d} * {w} * {r} * a AS e1, {r} * e2 + {d} * {w} * {r} * a AS e2 FROM {name}_{k - 1})"
+    return out + f", {name} AS (SELECT unit_id, a, e1, e2 FROM {name}_{fixed.FIELD_STEPS})"
 
 
-@query("linear_field_score", f"SELECT unit_id, round(A * 2 * {G2!r}::DOUBLE, 6) AS A, round(B * 2 * {G2!r}::DOUBLE, 6) AS B, round(C * 2 * {G2!r}::DOUBLE, 6) AS C, call FROM calls")
+@query("linear_field_score", "".join(field_sql(c, f"fd_{c}") for c in B.CLASSES) + " SELECT unit_id, " + ", ".join(f"round(fd_{c}.a, 6) AS {c}" for c in B.CLASSES) + ", call FROM calls " + " ".join(f"JOIN fd_{c} USING (unit_id)" for c in B.CLASSES))
 def _(i):
     """field scores call exactly where the rule does when the bar is scaled by the same gain"""
     s = D.field_scores(i.evidence, B.PANEL, FLD)
     return s.withColumn("call", C.argmax_call(B.CLASSES, D.field_threshold(FLD, 2, B.BAR) * (1 - 1e-12)))
 
 
-FIELD_SITES = """, e0 AS (SELECT unit_id, coalesce(max(v) FILTER (feature = 'ECONOMY'), 0) AS v1, coalesce(max(v) FILTER (feature = 'LARGE'), 0) AS v2 FROM evidence GROUP BY 1),
- t0 AS (SELECT unit_id, 0.16::DOUBLE * (v1 + v2) AS a, v1::DOUBLE AS e1, v2::DOUBLE AS e2 FROM e0)""" + "".join(
-    f", t{k} AS (SELECT unit_id, 0.82::DOUBLE * a + 0.16::DOUBLE * 0.82::DOUBLE * (e1 + e2) AS a, 0.82::DOUBLE * e1 + 0.16::DOUBLE * 0.15::DOUBLE * 0.82::DOUBLE * a AS e1, 0.82::DOUBLE * e2 + 0.16::DOUBLE * 0.15::DOUBLE * 0.82::DOUBLE * a AS e2 FROM t{k - 1})" for k in range(1, 5))
-
-
-@query("field_closure_score", FIELD_SITES + " SELECT unit_id, round(0.5::DOUBLE * least(e1, e2) + 0.3::DOUBLE * (e1 + e2) / 2 + 0.2::DOUBLE * a, 6) AS A FROM t4")
+@query("field_closure_score", field_sql("A", "fd") + " SELECT unit_id, round(0.5::DOUBLE * least(e1, e2) + 0.3::DOUBLE * (e1 + e2) / 2 + 0.2::DOUBLE * a, 6) AS A FROM fd")
 def _(i):
     return D.field_scores(i.evidence, B.PANEL, FLD, (0.5, 0.3, 0.2)).select("unit_id", "A")
 
@@ -196,7 +199,7 @@ def _(i):
     return two_channels(i).select("unit_id", *D.fuse_field(B.CLASSES, {c: 2 for c in B.CLASSES}, FLD, (1.0, 0.8), delay=1))
 
 
-RHO = f"({star(1)!r}::DOUBLE / {G2!r}::DOUBLE)"
+RHO = f"({star(1)!r}::DOUBLE / {star(2)!r}::DOUBLE)"
 LOO = ", lo AS (SELECT c.*, t.vt, CASE call WHEN 'A' THEN A WHEN 'B' THEN B ELSE C END AS own, CASE call WHEN 'A' THEN greatest(B, C) WHEN 'B' THEN greatest(A, C) ELSE greatest(A, B) END AS other FROM calls c JOIN (SELECT e.unit_id, max(v) AS vt FROM calls c JOIN (SELECT *, " + B._case("feature", B.F2C) + " AS fc FROM evidence) e ON c.unit_id = e.unit_id AND c.call = fc GROUP BY 1) t USING (unit_id))"
 
 
