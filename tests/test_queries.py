@@ -14,7 +14,8 @@ from strataspark.plans import catalogue  # noqa: E402
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 SHORT = ["counts_long_filtered", "table_profile", "donor_site_split", "gate_per_batch", "agreement_report", "selective_accuracy", "accuracy_at_matched_coverage", "knn_within_group", "gap_ratio",
          "decision_under_edit", "bootstrap_two_stage", "marker_share_null", "unexplained_fraction", "arms_family", "contrast_arms", "ledger_rules", "poison_invariance",
-         "read_mtx_long", "read_events_jsonl", "counts_integrity", "map_to_vocab", "select_treated_control", "id_regex_share", "random_fourier_features", "median_scaled", "donor_eligibility", "nested_draw", "bootstrap_cluster", "auroc", "threshold_otsu", "pool_closure", "heterogeneity_q", "hypothesis_test"]
+         "read_mtx_long", "read_events_jsonl", "counts_integrity", "map_to_vocab", "select_treated_control", "id_regex_share", "random_fourier_features", "median_scaled", "donor_eligibility", "nested_draw", "bootstrap_cluster", "auroc", "threshold_otsu", "pool_closure", "heterogeneity_q", "hypothesis_test",
+         "thin_counts", "distinguishable_counts", "conflict_classes", "svd_components", "linear_field_score"]
 NAMES = sorted(catalogue.QUERIES) if os.environ.get("ALL_QUERIES") else SHORT
 
 
@@ -41,3 +42,14 @@ def test_entry(spark):
     assert set(e.queries()) >= set(catalogue.QUERIES) and set(e.oracle_sql()) >= set(catalogue.ORACLES)
     if os.path.isdir(e.SMOKE_DIR):
         assert e.entry(spark).count() > 0
+
+
+def test_fits_run_from_any_folder(tmp_path):
+    """Their Python stages get the package from the session, not from the folder that the driver runs in."""
+    import subprocess
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    code = f"import sys; sys.path.insert(0, {ROOT!r}); from strataspark.session import local_session; from strataspark.plans import catalogue; print('rows', catalogue.QUERIES['ridge'](local_session('2'), {SF!r}).count())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout and int(done.stdout.split("rows")[1]) > 0, done.stderr[-2000:]
