@@ -94,7 +94,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_kd_tree_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.kd_shards(table(spark, sf_dir, "documents"), 40)
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumns({f"{c}_order": sharding.ordered_code(F.col(c)) for c in ("source", "lang")})
+    placed = sharding.kd_shards(docs, 40, dims=("n_bytes", "source_order", "lang_order"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import checkpointed
 from .common import documents, numbered
@@ -37,6 +37,11 @@ class Node:
     cut: int | None = None
 
 
+def ordered_code(name: Column) -> Column:
+    """A number for a string, in the order of the strings' first six bytes; null for null."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def _coordinates(sized: DataFrame, dims: Sequence[str]) -> DataFrame:
     """A row's coordinates as integers: the value on a scale of 30 bits from the least to the largest, then 24 hash bits."""
     ends = sized.agg(*(f(F.col(d).cast("double")).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max)))).first()

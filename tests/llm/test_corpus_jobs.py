@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest_llm import frame, odd_rows, words
+from pyspark.sql import functions as F
 from strataspark.llm import decontaminate, minhash, packing, sharding, suffix_dedup
 from strataspark.llm.queries import ranks_path, tokenizer_path
 
@@ -252,3 +253,14 @@ def test_shards_follow_named_dimensions(spark, rng):
     got = {r.doc_id: r.shard for r in sharding.kd_shards(docs, 4, dims=("n_chars",)).collect()}
     assert len({got[i] for i in range(0, 600, 50)}) <= 2 and len(set(got.values())) == 4
     assert sharding.kd_shards(docs.limit(0), 4).count() == 0 and sharding.kd_shards(docs, 1).select("shard").distinct().count() == 1
+
+
+def test_shards_cut_along_metadata(spark, rng):
+    """Ordered codes keep the order of strings, and rows of one source stay together while sizes stay near."""
+    names = ["", "a", "ab", "b", "src1", "src10", "src2", "é"]
+    codes = [r.c for r in spark.createDataFrame([(n,) for n in names], "n string").select(sharding.ordered_code(F.col("n")).alias("c"), "n").orderBy("n").collect()]
+    assert codes == sorted(codes) and len(set(codes)) == len(codes)
+    docs = spark.createDataFrame([(i, words(rng, 20), f"src{i % 8}") for i in range(800)], "doc_id long, text string, source string").withColumn("order", sharding.ordered_code(F.col("source")))
+    placed = sharding.kd_shards(docs, 8, dims=("order",)).join(docs.select("doc_id", "source"), "doc_id")
+    per = placed.groupBy("shard").agg(F.count_distinct("source").alias("n"), F.sum("size").alias("bytes")).collect()
+    assert sum(r.n for r in per) <= 16 and max(r.bytes for r in per) < 1.1 * min(r.bytes for r in per)
