@@ -89,9 +89,13 @@ def value_rank(df: DataFrame, by: list[str], value, seed, keys: list[str], out:
     digits = max(_conf(df, "rankDigits", 2), math.ceil(math.log(max(n / ROWS_PER_BUCKET, 1), 16)))
     probs = [(i + 1) / (n_edges + 1) for i in range(n_edges)]
     found = d.where(~F.col("__k").isin(float("inf"), float("-inf"))).agg(F.percentile_approx("__k", probs, 10 * (n_edges + 1)).alias("e")).first().e
-    edges = F.array(*[F.lit(float(e)) for e in sorted(set(found or []))]).cast("array<double>")
-    d = (d.withColumn("__p", F.size(F.filter(edges, lambda e: e < F.col("__k"))))
-          .withColumn("__q", F.array_contains(edges, F.col("__k")) | F.col("__k").isin(float("inf"), float("-inf")))
+    found = sorted(set(found or []))
+    edges = F.array(*[F.lit(float(e)) for e in found]).cast("array<double>")
+    # edges below the key, by bisection
+    steps = F.array(*[F.lit(1 << j) for j in reversed(range(max(len(found), 1).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, j: F.when((at + j <= len(found)) & (F.get(edges, at + j - 1) < F.col("__k")), at + j).otherwise(at))
+    d = (d.withColumn("__p", below)
+          .withColumn("__q", F.coalesce(F.get(edges, F.col("__p")) == F.col("__k"), F.lit(False)) | F.col("__k").isin(float("inf"), float("-inf")))
           .withColumn("__s", F.when(F.col("__q"), F.substring("__h", 1, digits)).otherwise(F.lit(""))))
     return _rank_in_buckets(d, by, ["__p", "__q", "__s"], ["__k", "__h", *keys], out, sums or {}).drop("__k", "__h")
 

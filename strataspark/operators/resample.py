@@ -281,8 +281,11 @@ def gap_inference(gaps: DataFrame, pairs: DataFrame, group: str, features: list[
     feature), ratios, contrast. gaps: unit_id (pair), readout, flagged, feature, d_pred, d_meas; pairs: unit_id, group."""
     from .metrics import gap_contrast_by
     draws = checkpointed(with_point(bootstrap_two_stage(pairs, group, n_boot, seed), pairs))
-    num = drawn_medians(gaps, draws, ["readout", "flagged", "feature"], "d_pred", out="num")
-    den = drawn_medians(gaps, draws, ["readout", "flagged", "feature"], "d_meas", out="den")
-    e = num.join(den, ["readout", "flagged", "feature", "draw"]).withColumn("ratio", F.when(F.col("den") > 0, F.col("num") / F.col("den")))
+    keys = ["readout", "flagged", "feature"]
+    # both gaps ranked in one call and joined to the draws once
+    long = gaps.select(*keys, "unit_id", F.inline(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(c).alias("gap")) for n, c in (("num", "d_pred"), ("den", "d_meas"))])))
+    m = drawn_medians(long, draws, [*keys, "kind"], "gap")
+    e = m.groupBy(*keys, "draw").agg(*[F.max(F.when(F.col("kind") == n, F.col("median"))).alias(n) for n in ("num", "den")])
+    e = e.withColumn("ratio", F.when(F.col("den") > 0, F.col("num") / F.col("den")))
     gr = e.groupBy("draw", "readout", "flagged").agg(F.when(F.count("ratio") == len(features), F.avg("ratio")).alias("gap_ratio"))
     return gap_contrast_by(gr, ["draw"], readout, head, null)

@@ -497,9 +497,9 @@ def _(i):
 
 @query("crossfit_boosted")
 def _(i):
-    """out-of-fold predictions of boosted trees on two folds"""
-    f = folded(i).withColumn("fold", F.col("fold") % 2).withColumn("x", F.array("x", "x2"))
-    return X.crossfit(f, "y", 2, {"regressor": "boosted", "max_iter": 3}, "m").select("unit_id", "fold", "pred")
+    """out-of-fold predictions of boosted trees on the declared folds"""
+    f = folded(i).withColumn("x", F.array("x", "x2"))
+    return X.crossfit(f, "y", 4, {"regressor": "boosted"}, "m").select("unit_id", "fold", "pred")
 
 
 def _density(k):
