@@ -402,3 +402,13 @@ def test_multinomial_tree_has_the_moments_of_drawing_with_replacement(spark, mon
         assert abs(c[:32, :32][np.triu_indices(32, 1)].mean() + 0.01) < 5e-3 and abs(c[:32, 64:].mean() + 0.01) < 5e-3
     assert R.bootstrap_rows(d.select("unit_id"), [], 3, 1).groupBy("draw").agg(F.sum("w")).collect()[0][1] == 100
     assert R.bootstrap_rows(d.limit(0), ["g"], 3, 1).count() == 0
+
+
+def test_draws_do_not_depend_on_how_a_group_is_numbered(spark, monkeypatch):
+    """Sizes of stretches and of numbered groups are ways of working: the same seed gives the same counts."""
+    d = spark.range(300).select(F.col("id").alias("unit_id"), (F.col("id") % 3 == 0).alias("g"))
+    counts = lambda: R.bootstrap_two_stage(d, "g", 4, 7).orderBy("draw", "unit_id").collect()
+    want = counts()
+    monkeypatch.setattr(R, "CHUNK", 64)
+    monkeypatch.setattr(R, "BALLS", 50)
+    assert counts() == want
