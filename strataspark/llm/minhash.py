@@ -240,8 +240,7 @@ def _cluster_links(docs: DataFrame, members: DataFrame, posts: DataFrame, percen
     large = sets.where("blocks > 1")
     if not large.take(1):
         return checkpointed(_compare(small, percent, need))
-    weight = members.where("blocks > 1").join(posts, "id").groupBy("id", "cluster", "blocks").agg(F.count("*").alias("w"))
-    hubs = _top_hubs(weight)
+    hubs = checkpointed(_top_hubs(_weights(members.where("blocks > 1"), posts)))          # read three times
     hub_sets = large.join(hubs, "id").select("cluster", "blocks", "id", "set", "tokens", "first")
     ends = (hub_sets.select(F.col("cluster").alias("k1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k2"), F.lit(0).alias("k3"), F.lit(0).alias("side"), "id", "set", "tokens")
             .unionByName(large.select(F.col("cluster").alias("k1"), F.col("block").alias("k2"), F.lit(0).alias("k3"), F.lit(1).alias("side"), "id", "set", "tokens")))
@@ -257,6 +256,11 @@ def _cluster_links(docs: DataFrame, members: DataFrame, posts: DataFrame, percen
     return checkpointed(first.unionByName(_compare(left.unionByName(right), percent, need)))
 
 
+def _weights(members: DataFrame, posts: DataFrame) -> DataFrame:
+    """(id, cluster, w): postings are counted before they meet the members, so that the join has a row for each member."""
+    return members.join(posts.groupBy("id").agg(F.count("*").alias("w")), "id").select("id", "cluster", "w")
+
+
 def _top_hubs(weight: DataFrame) -> DataFrame:
     """The heaviest members of each cluster (id, first): of each of ``BLOCK / 4`` slots by hash, the one with the most postings."""
     slot = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(BLOCK // 4))

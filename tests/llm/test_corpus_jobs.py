@@ -264,3 +264,14 @@ def test_shards_cut_along_metadata(spark, rng):
     placed = sharding.kd_shards(docs, 8, dims=("order",)).join(docs.select("doc_id", "source"), "doc_id")
     per = placed.groupBy("shard").agg(F.count_distinct("source").alias("n"), F.sum("size").alias("bytes")).collect()
     assert sum(r.n for r in per) <= 16 and max(r.bytes for r in per) < 1.1 * min(r.bytes for r in per)
+
+
+def test_postings_are_counted_before_they_meet_the_members(spark):
+    """A row of the join for each member, however many postings it has."""
+    from strataspark.llm.minhash import _weights
+    members = spark.range(50).select("id", F.lit(0).alias("cluster"))
+    posts = spark.range(2000).select((F.col("id") % 100).alias("id"), F.col("id").alias("token"))
+    got = _weights(members, posts)
+    assert {tuple(r) for r in got.collect()} == {(k, 0, 20) for k in range(50)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
