@@ -240,20 +240,27 @@ GAP = CP + """, gp AS (SELECT readout, flagged, a.feature, abs(a.predicted * f -
  ge AS (SELECT readout, flagged, feature, quantile_cont(d_pred, 0.5) / nullif(quantile_cont(d_meas, 0.5), 0) AS ratio FROM gp GROUP BY 1, 2, 3), gr AS (SELECT readout, flagged, CASE WHEN count(ratio) = 6 THEN avg(ratio) END AS gap_ratio, count(ratio) AS n_features FROM ge GROUP BY 1, 2)"""
 
 
+def ends_of(pairs):
+    return pairs.select(F.explode(F.array("x", "y")).alias("unit_id"))
+
+
 def gaps_of(i):
     """three readouts of the same pairs: a repaired one, the head and a null, made from the predicted amounts"""
-    g = K.pair_gaps(cross_of(i), i.panel, ["flagged"], "x", "y", "predicted", "measured")
-    p = i.panel
+    from ..session import checkpointed
+    pairs = checkpointed(cross_of(i))
+    p = i.panel_of(ends_of(pairs))
     a = p.select(F.col("unit_id").alias("x"), "feature", F.col("predicted").alias("pa"), F.col("measured").alias("ma"))
     b = p.select(F.col("unit_id").alias("y"), "feature", F.col("predicted").alias("pb"), F.col("measured").alias("mb"))
     r = F.array(*[F.struct(F.lit(n).alias("readout"), F.lit(f).alias("f"), F.lit(o).alias("o")) for n, f, o in (("repair", 1.3, 0.0), ("head", 1.0, 0.0), ("null", 0.9, 100.0))])
-    d = cross_of(i).join(a, "x").join(b, ["y", "feature"]).select("flagged", "feature", "pa", "pb", "ma", "mb", F.inline(r))
+    d = pairs.join(a, "x").join(b, ["y", "feature"]).select("flagged", "feature", "pa", "pb", "ma", "mb", F.inline(r))
     return d.select("readout", "flagged", "feature", (F.abs(F.col("pa") * F.col("f") - F.col("pb") * F.col("f") + F.col("o")) / 1000).alias("d_pred"), F.abs(F.col("ma") - F.col("mb")).alias("d_meas"))
 
 
 @query("pair_gaps", CP + " SELECT x, y, flagged, a.feature, round(abs(a.predicted - b.predicted), 6) AS d_pred, abs(a.measured - b.measured) AS d_meas, a.predicted > b.predicted AS x_higher FROM cp JOIN panel a ON a.unit_id = x JOIN panel b ON b.unit_id = y AND a.feature = b.feature")
 def _(i):
-    return K.pair_gaps(cross_of(i), i.panel, ["flagged"], "x", "y", "predicted", "measured")
+    from ..session import checkpointed
+    pairs = checkpointed(cross_of(i))
+    return K.pair_gaps(pairs, i.panel_of(ends_of(pairs)), ["flagged"], "x", "y", "predicted", "measured")
 
 
 def gap_table(i):
