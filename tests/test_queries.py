@@ -73,3 +73,14 @@ def test_shares_do_not_depend_on_the_order_of_rows(spark):
     d = spark.range(1, 400).select(F.lit(1).alias("unit_id"), F.format_string("f%03d", "id").alias("feature"), F.when(F.col("id") == 1, F.log1p(F.lit(1e16))).otherwise(F.log1p(F.lit(1.0))).alias("stored"))
     one, two = (P.panel_free_shares(d.coalesce(1).sortWithinPartitions(F.col("feature").desc() if x else F.col("feature")), ["none"]).select("feature", "w").collect() for x in (0, 1))
     assert sorted(one) == sorted(two)
+
+
+def test_response_needs_no_fit(spark, con, monkeypatch):
+    """The frozen output is given; no scope has to be fitted for the response."""
+    from strataspark.operators import scope
+
+    def fitted(*a, **k):
+        raise AssertionError("a scope was fitted")
+    monkeypatch.setattr(scope, "scope_predict", fitted)
+    got = catalogue.QUERIES["response"](spark, SF).toPandas()
+    assert compare(got, con.execute(catalogue.ORACLES["response"]).df()) == ""
