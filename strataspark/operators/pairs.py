@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.draws import slot
 from ..functions.vectors import dot, l2_normalise, minus
 from ..session import checkpointed, ship_code
-from .balls import ball_search, matrix, similarity
+from .balls import ball_search, block_counts, matrix, similarity
 from .ranking import group_percentile, hash_rank
 
 def _whole_groups(k: int, exclude_self: bool, metric: str) -> Callable:
@@ -52,7 +52,7 @@ def nearest(queries: DataFrame, reference: DataFrame, by: list[str], k: int, z:
     if most <= block:
         r = r.select(*[F.col(c).alias(c) for c in [*g, "i", "u"]])           # own column identities when both sides are one table
         return q.groupBy(*g).cogroup(r.groupBy(*g)).applyInPandas(_whole_groups(k, exclude_self, metric), "i long, j long, sim double, rank int")
-    found, _ = ball_search(q, r, g, k + int(exclude_self), metric, block, r is q)
+    found = ball_search(q, r, g, k + int(exclude_self), metric, block, r is q)
     d = q.select(*g, "i", F.xxhash64("u").alias("h"), F.xxhash64(F.lit(1), "u").alias("h2")).join(found, [*g, "h", "h2"])
     near = F.filter("near", lambda x: x["j"] != F.col("i")) if exclude_self else F.col("near")
     d = d.select("i", F.posexplode(F.slice(near, 1, k)).alias("p", "x"))
@@ -63,7 +63,7 @@ def block_pairs(queries: DataFrame, reference: DataFrame, by: list[str], k: int,
     """Per group: pairs of a query block and a reference block (n_pairs), those that the search compares (n_searched), and
     the share that the bounds skip."""
     q, r, g = _sides(queries, reference, by, z, metric, eps)
-    _, blocks = ball_search(q, r, g, k + int(exclude_self), metric, block, r is q)
+    blocks = block_counts(q, r, g, k + int(exclude_self), metric, block, r is q)
     return blocks.select(*by, "n_pairs", "n_searched", (1 - F.col("n_searched") / F.col("n_pairs")).alias("share_skipped"))
 
 

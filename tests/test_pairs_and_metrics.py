@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from strataspark.operators import joins as J, metrics as M, pairs as K
 
@@ -141,3 +142,31 @@ def test_ball_search_skips_block_pairs(spark):
     d = spark.createDataFrame(pd.DataFrame({"unit_id": np.arange(600), "z": list(Z)}))
     r = K.block_pairs(d, d, [], 5, exclude_self=True, metric="euclidean", block=32).first()
     assert r.n_searched < r.n_pairs and r.share_skipped > 0.5
+
+
+def test_packs_and_stretches_of_any_size_give_the_same_neighbours(spark, monkeypatch):
+    from strataspark.operators import balls
+    monkeypatch.setattr(balls, "PACK", 40)
+    monkeypatch.setattr(balls, "STRETCH", 50)
+    monkeypatch.setattr(balls, "BALLS", 3)
+    p, Z, d = vectors(spark, n=400)
+    d = d.withColumn("group_id", F.lit("one"))
+    ids = p.unit_id.values
+    got = K.knn_within_group(d, "group_id", 5, block=16).toPandas().sort_values(["i", "rank"]).groupby("i").j.apply(list).to_dict()
+    assert got == brute(Z, ids, ids, 5, True)
+
+
+def test_block_pairs_are_counted_without_a_search(spark, monkeypatch):
+    """Only the home blocks are compared; no row is sent to another block for a count."""
+    from strataspark.operators import balls
+    kept = []
+    real = balls.checkpointed
+
+    def cut(df):
+        kept.append(set(df.columns))
+        return real(df)
+    monkeypatch.setattr(balls, "checkpointed", cut)
+    p, Z, d = vectors(spark, n=300)
+    r = K.block_pairs(d, d, [], 5, exclude_self=True, block=16).first()
+    assert 0 < r.n_searched <= r.n_pairs
+    assert not [c for c in kept if {"u", "home"} <= c]
