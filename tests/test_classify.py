@@ -222,3 +222,14 @@ def test_vocabulary_versions_are_declared(spark):
     assert {(r.feature, r.id) for r in C.map_to_vocab(f, v, True, 1).collect()} == {("a.1", "a"), ("b", "b")}
     with pytest.raises(Exception, match="too few features"):
         C.map_to_vocab(f, v, False, 2).collect()
+
+
+def test_binomial_items_are_compared_as_text_exactly(spark):
+    """A key lies below the text of p just when its uniform lies below p, also at the ends."""
+    from pyspark.sql import functions as F
+    from strataspark.functions import draws
+    p = [0.0, -1.0, 2.0 ** -52, 2.0 ** -53, 0.25, 0.3, 0.5, 1 - 2.0 ** -52, 1 - 2.0 ** -53, 1.0, 1.5]
+    d = spark.createDataFrame([(x,) for x in p], "p double").crossJoin(spark.range(300).withColumn("key", F.md5(F.col("id").cast("string"))))
+    ends = spark.createDataFrame([(x, k, k * 32) for x in p for k in "0f8"], "p double, id string, key string").selectExpr("p", "0L AS id", "repeat(id, 32) AS key")
+    d = d.unionByName(ends)
+    assert d.where((F.col("key") < draws._edge(F.col("p"))) != (draws._number(F.col("key")) < F.col("p"))).count() == 0
