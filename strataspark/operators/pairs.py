@@ -112,16 +112,14 @@ def knn_label_disagreement(queries: DataFrame, reference: DataFrame, label: str,
 
 def knn_regression(train: DataFrame, val: DataFrame, test: DataFrame, y: str, grid: list[int], metric: str = "cosine") -> DataFrame:
     """Mean target of the k nearest training rows; k chosen by validation MSE (smallest k on ties)."""
-    k_max = max(grid)
-
-    def curve(rows):
-        nb = nearest(rows, train, [], k_max, metric=metric).join(train.select(F.col("unit_id").alias("j"), F.col(y).alias("__y")), "j")
-        w = Window.partitionBy("i").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)        # k_max rows
-        return nb.withColumn("pred", F.avg("__y").over(w)).where(F.col("rank").isin(grid)).select(F.col("i").alias("unit_id"), F.col("rank").alias("k"), "pred")
-
-    mse = curve(val).join(val.select("unit_id", y), "unit_id").groupBy("k").agg(F.avg((F.col("pred") - F.col(y)) ** 2).alias("mse"))
+    # one search for the rows of both tables
+    asked = val.select("unit_id", "z").unionByName(test.select("unit_id", "z")).dropDuplicates(["unit_id"])
+    nb = nearest(asked, train, [], max(grid), metric=metric).join(train.select(F.col("unit_id").alias("j"), F.col(y).alias("__y")), "j")
+    w = Window.partitionBy("i").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)        # max(grid) rows
+    curve = checkpointed(nb.withColumn("pred", F.avg("__y").over(w)).where(F.col("rank").isin(grid)).select(F.col("i").alias("unit_id"), F.col("rank").alias("k"), "pred"))
+    mse = curve.join(val.select("unit_id", y), "unit_id").groupBy("k").agg(F.avg((F.col("pred") - F.col(y)) ** 2).alias("mse"))
     best = mse.agg(F.min_by("k", F.struct(F.round("mse", 12), "k")).alias("k")).scalar()
-    return curve(test).where(F.col("k") == best)
+    return curve.where(F.col("k") == best).join(test.select("unit_id"), "unit_id", "left_semi")
 
 
 def neighbour_overlap(pairs: DataFrame, neighbours: DataFrame, i: str, j: str, k: int) -> DataFrame:

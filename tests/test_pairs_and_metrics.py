@@ -170,3 +170,14 @@ def test_block_pairs_are_counted_without_a_search(spark, monkeypatch):
     r = K.block_pairs(d, d, [], 5, exclude_self=True, block=16).first()
     assert 0 < r.n_searched <= r.n_pairs
     assert not [c for c in kept if {"u", "home"} <= c]
+
+
+def test_regression_searches_once(spark, monkeypatch):
+    """Validation and test rows share one search; a row of both tables is in both results."""
+    searches = []
+    real = K.nearest
+    monkeypatch.setattr(K, "nearest", lambda *a, **k: searches.append(1) or real(*a, **k))
+    p, Z, d = vectors(spark, n=60)
+    d = spark.createDataFrame(p.assign(y=Z[:, 0]))
+    got = K.knn_regression(d.where("unit_id % 3 = 0"), d.where("unit_id % 3 = 1"), d.where("unit_id % 3 > 0"), "y", [1, 4]).collect()
+    assert len(searches) == 1 and sorted(r.unit_id for r in got) == [i for i in range(60) if i % 3]
