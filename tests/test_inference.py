@@ -111,6 +111,33 @@ def test_donor_fits_leave_the_donor_out(spark):
     assert len(got) == 4 * len(p) and got[got.status != "fitted"].pred.isna().all()
 
 
+def test_rows_without_a_donor_stay_without_a_fit(spark):
+    p, V, Y, d = rows_of(spark)
+    d = d.withColumn("site", F.lit("s0")).withColumn("study", F.lit("a")).withColumn("group_id", F.when(F.col("unit_id") != 3, F.col("group_id")))
+    got = SC.donor_transfer_fits(d, "x", ["y1", "y2"], 3, [0.0], "a", 3, 0).toPandas()
+    assert len(got) == 8 * len(p) and got[got.unit_id == 3].pred.isna().all() and not got[(got.unit_id != 3) & (got.fit != "S")].pred.isna().any()
+
+
+def test_row_weights_are_the_draws(spark):
+    d = spark.range(150).select(F.col("id").cast("string").alias("unit_id"), F.lit(1).alias("a"))
+    want = {(r.unit_id, r.draw): r.w for r in R.bootstrap_rows(d, ["a"], 4, 9).collect()}
+    got = {(r.unit_id, k + 1): w for r in R.row_weights(d.select("unit_id"), 4, 9, {"a": F.lit(1)}).collect() for k, w in enumerate(r.ws)}
+    assert {k: w for k, w in got.items() if w} == want and sum(want.values()) == 4 * 150
+
+
+def test_gains_by_row_equal_those_of_the_long_form(spark):
+    rng = np.random.default_rng(5)
+    y = rng.normal(5, 1, (300, 2))
+    out = np.concatenate([y + rng.normal(size=(300, 2)), y + 0.3 * rng.normal(size=(300, 2))], axis=1)
+    preds = [[None if i % 7 == 0 and j > 1 else float(x) for j, x in enumerate(r)] for i, r in enumerate(out)]
+    d = spark.createDataFrame([(i, float(a), float(b), q) for i, ((a, b), q) in enumerate(zip(y, preds))], "unit_id long, y1 double, y2 double, preds array<double>")
+    k = d.select("unit_id", F.posexplode("preds").alias("k", "pred")).where("pred is not null")
+    long = k.select(F.when(F.col("k") < 2, "old").otherwise("new").alias("arm"), "unit_id", (F.col("k") % 2).alias("target"), "pred")
+    want = SC.arms_gain(long, d, ["y1", "y2"], "old", 6, 3, 0.05).toPandas().set_index("arm").sort_index()
+    got = SC.arms_gain_by_row(d, ["y1", "y2"], ["old", "new"], "preds", "old", 6, 3, 0.05).toPandas().set_index("arm").sort_index()
+    assert list(got.index) == ["new", "old"] and np.allclose(got[want.columns], want) and got.gain["new"] > 0.1
+
+
 def test_mixture_threshold_close_to_the_truth(spark):
     rng = np.random.default_rng(0)
     x = np.r_[rng.normal(1, 0.3, 700), rng.normal(4, 0.5, 300), np.zeros(50)]

@@ -84,3 +84,26 @@ def test_response_needs_no_fit(spark, con, monkeypatch):
     monkeypatch.setattr(scope, "scope_predict", fitted)
     got = catalogue.QUERIES["response"](spark, SF).toPandas()
     assert compare(got, con.execute(catalogue.ORACLES["response"]).df()) == ""
+
+
+def test_forecast_ceilings_keep_one_row_a_unit(spark, monkeypatch):
+    """Arms, targets and draws lie in the row of a unit: no stored table has a row for each of them."""
+    from strataspark.operators import fit, ranking, resample, scope
+    from strataspark.plans.audit_queries import donor_rows
+    from strataspark.plans.bindings import Inputs
+    sf = os.path.join(os.path.dirname(SF), "sf0.01")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    sizes, store = [], scope.checkpointed
+
+    def counted(df):
+        d = store(df)
+        sizes.append(d.count())
+        return d
+    for m in (fit, ranking, resample, scope):
+        monkeypatch.setattr(m, "checkpointed", counted)
+    units = donor_rows(Inputs(spark, sf)).count()
+    got = catalogue.QUERIES["forecast_ceilings"](spark, sf).toPandas()
+    assert compare(got, connect(sf).execute(catalogue.ORACLES["forecast_ceilings"]).df()) == ""
+    # 10 a unit for the outputs of the arms; the donors' cross products do not grow with the units
+    assert units <= max(sizes) < 5 * units
