@@ -439,3 +439,67 @@ def test_draws_do_not_depend_on_how_a_group_is_numbered(spark, monkeypatch):
     monkeypatch.setattr(R, "CHUNK", 64)
     monkeypatch.setattr(R, "BALLS", 50)
     assert counts() == want
+
+
+# ---- rows that stay one row through all draws
+def test_uniforms_equal_the_md5_of_their_texts():
+    from hashlib import md5
+    from strataspark.functions.draws import _places, uniforms
+    one = lambda t: int(md5(t.encode()).hexdigest()[:13], 16) / 2 ** 52
+    a = np.array([0, 9, 10, 99, 12345, 999999999, 2 ** 32, 10 ** 10, 123456789012345])
+    for head in ("53|b|712|0|0|", "é|", "x" * 47 + "|", "x" * 60):
+        assert uniforms(head, a).tolist() == [one(f"{head}{v}") for v in a]
+        assert uniforms(head, a, a[::-1]).tolist() == [one(f"{head}{v}|{w}") for v, w in zip(a, a[::-1])]
+    assert _places("7|", 3, 2000, 50).tolist() == [int(one(f"7|{k}") * 50) for k in range(3, 2001)]
+
+
+def test_row_draws_are_the_multiplicities(spark, monkeypatch):
+    """Blocks, stretches and the way in which groups are numbered change no draw; draw 0 is the data."""
+    import pyarrow as pa
+    d = spark.range(1200).select(F.col("id").cast("string").alias("unit_id"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("g"))
+    totals = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "b", 3)], "draw int, g string, copies long")
+    want = {(r.draw, r.unit_id): r.w for r in R.multiplicities(d, ["g"], totals, 4).collect()}
+
+    def counts():
+        x = R.RowDraws(d, ["g"], totals, 4, block=8)
+        n = x.block
+
+        def run(v, s):
+            out = [(draw, u, int(k)) for draw, w in R.drawn(s, len(v), n, v["block"][0].as_py()) for u, k in zip(v["unit_id"].to_pylist(), w)]
+            return pa.table({"draw": pa.array([o[0] for o in out], pa.int32()), "unit_id": pa.array([o[1] for o in out], pa.string()), "w": pa.array([o[2] for o in out], pa.int64())})
+        return {(r.draw, r.unit_id): r.w for r in x.over(run, "draw int, unit_id string, w long").where("w > 0").collect()}
+    data = {(0, str(k)): 1 for k in range(1200)}
+    assert counts() == want | data
+    monkeypatch.setattr(R, "CHUNK", 64)
+    monkeypatch.setattr(R, "STRETCH", 300)
+    assert counts() == want | data
+
+
+@pytest.mark.parametrize("name", ["arms_gain", "u_shift", "response"])
+def test_draws_of_scopes_and_arms_make_no_row_per_unit_and_draw(spark, monkeypatch, name):
+    """The long form (a row for each unit, output and draw) did not fit the driver at large sizes."""
+    import os
+    from strataspark.plans import catalogue
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+
+    def refuse(*a, **k):
+        raise AssertionError("long form")
+    for f in ("moment_sums", "element_draws", "drawn_moments"):
+        monkeypatch.setattr(SC, f, refuse)
+    monkeypatch.setattr(R, "multiplicities", refuse)
+    assert catalogue.QUERIES[name](spark, sf).count() > 0
+
+
+def test_moments_by_row_equal_those_of_the_long_form(spark):
+    rng = np.random.default_rng(6)
+    n = 700
+    y = rng.normal(3, 1, (n, 2))
+    d = pd.DataFrame({"unit_id": np.arange(n), "a": (np.arange(n) % 5 == 0).astype(int), "y1": y[:, 0], "y2": y[:, 1], "preds": [[float(v) if (i + j) % 9 else None for j, v in enumerate([*(r + 1), *(2 * r)])] for i, r in enumerate(y)]})
+    s = spark.createDataFrame(d, "unit_id long, a int, y1 double, y2 double, preds array<double>")
+    long = s.select("unit_id", F.posexplode("preds").alias("k", "pred")).where("pred is not null").select(F.when(F.col("k") < 2, "p").otherwise("q").alias("scope"), "unit_id", (F.col("k") % 2).alias("target"), "pred")
+    m = checkpointed(SC.moment_sums(long, s, ["y1", "y2"], ["scope"]))
+    want = SC.drawn_moments(m, SC.element_draws(m, 5, 8), ["scope"]).toPandas().set_index(["scope", "target", "a", "draw"]).sort_index()
+    got = SC.moments_by_row(s, ["y1", "y2"], [{"scope": "p"}, {"scope": "q"}], "preds", 5, 8).toPandas().set_index(["scope", "target", "a", "draw"]).sort_index()
+    assert list(got.index) == list(want.index) and np.allclose(got[want.columns], want)
