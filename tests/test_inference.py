@@ -449,7 +449,7 @@ def test_uniforms_equal_the_md5_of_their_texts():
     a = np.array([0, 9, 10, 99, 12345, 999999999, 2 ** 32, 10 ** 10, 123456789012345])
     for head in ("53|b|712|0|0|", "é|", "x" * 47 + "|", "x" * 60):
         assert uniforms(head, a).tolist() == [one(f"{head}{v}") for v in a]
-        assert uniforms(head, a, a[::-1]).tolist() == [one(f"{head}{v}|{w}") for v, w in zip(a, a[::-1])]
+        assert uniforms(head, a, "|", a[::-1]).tolist() == [one(f"{head}{v}|{w}") for v, w in zip(a, a[::-1])]
     assert _places("7|", 3, 2000, 50).tolist() == [int(one(f"7|{k}") * 50) for k in range(3, 2001)]
 
 
@@ -462,10 +462,9 @@ def test_row_draws_are_the_multiplicities(spark, monkeypatch):
 
     def counts():
         x = R.RowDraws(d, ["g"], totals, 4, block=8)
-        n = x.block
 
-        def run(v, s):
-            out = [(draw, u, int(k)) for draw, w in R.drawn(s, len(v), n, v["block"][0].as_py()) for u, k in zip(v["unit_id"].to_pylist(), w)]
+        def run(v, each):
+            out = [(draw, u, int(k)) for draw, w in each() for u, k in zip(v["unit_id"].to_pylist(), w)]
             return pa.table({"draw": pa.array([o[0] for o in out], pa.int32()), "unit_id": pa.array([o[1] for o in out], pa.string()), "w": pa.array([o[2] for o in out], pa.int64())})
         return {(r.draw, r.unit_id): r.w for r in x.over(run, "draw int, unit_id string, w long").where("w > 0").collect()}
     data = {(0, str(k)): 1 for k in range(1200)}
@@ -503,3 +502,22 @@ def test_moments_by_row_equal_those_of_the_long_form(spark):
     want = SC.drawn_moments(m, SC.element_draws(m, 5, 8), ["scope"]).toPandas().set_index(["scope", "target", "a", "draw"]).sort_index()
     got = SC.moments_by_row(s, ["y1", "y2"], [{"scope": "p"}, {"scope": "q"}], "preds", 5, 8).toPandas().set_index(["scope", "target", "a", "draw"]).sort_index()
     assert list(got.index) == list(want.index) and np.allclose(got[want.columns], want)
+
+
+@pytest.mark.parametrize("name, n", [("response", 1000), ("scope_forecast", 1000)])
+def test_intervals_have_the_draws_of_the_reference(spark, monkeypatch, name, n):
+    """Six draws gave no interval; scope grids of the reference have 1,000."""
+    import os
+    from strataspark.plans import catalogue
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    seen = []
+
+    def note(rows, y, names, preds, n_boot, *a, **k):
+        seen.append(n_boot)
+        raise InterruptedError
+    monkeypatch.setattr(SC, "moments_by_row", note)
+    with pytest.raises(InterruptedError):
+        catalogue.QUERIES[name](spark, sf)
+    assert seen == [n] and f"range(1, {n + 1})" in catalogue.ORACLES[name]
