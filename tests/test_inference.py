@@ -463,7 +463,7 @@ def test_row_draws_are_the_multiplicities(spark, monkeypatch):
     def counts():
         x = R.RowDraws(d, ["g"], totals, 4, block=8)
 
-        def run(v, each):
+        def run(v, each, _):
             out = [(draw, u, int(k)) for draw, w in each() for u, k in zip(v["unit_id"].to_pylist(), w)]
             return pa.table({"draw": pa.array([o[0] for o in out], pa.int32()), "unit_id": pa.array([o[1] for o in out], pa.string()), "w": pa.array([o[2] for o in out], pa.int64())})
         return {(r.draw, r.unit_id): r.w for r in x.over(run, "draw int, unit_id string, w long").where("w > 0").collect()}
@@ -521,3 +521,19 @@ def test_intervals_have_the_draws_of_the_reference(spark, monkeypatch, name, n):
     with pytest.raises(InterruptedError):
         catalogue.QUERIES[name](spark, sf)
     assert seen == [n] and f"range(1, {n + 1})" in catalogue.ORACLES[name]
+
+
+def test_medians_by_row_equal_those_of_the_long_form(spark):
+    """Equal values, missing values and strata without rows in a draw; bootstrap_stat has the draws of the reference."""
+    from strataspark.plans import catalogue
+    assert "range(1, 2001)" in catalogue.ORACLES["bootstrap_stat"]
+    rng = np.random.default_rng(2)
+    n = 3000
+    g = rng.choice(list("abc"), n)
+    p = pd.DataFrame({"unit_id": np.arange(n), "g": g, "s": np.where(g == "c", "z", rng.choice(["x", "y", "z"], n)), "v": np.where(rng.random(n) < 0.3, 7.0, np.round(rng.normal(7, 5, n), 2))})
+    d = spark.createDataFrame(p)
+    draws = checkpointed(R.with_point(R.bootstrap_two_stage(d, "g", 40, 3), d))
+    want = {r.draw: r.value for r in R.median_difference(d, draws, "s", "x", "z", "v").collect()}
+    got = {r.draw: r.value for r in R.median_difference_by_row(d, "g", 40, 3, "s", "x", "z", "v").collect()}
+    assert set(got) == set(range(41)) == set(want)
+    assert all((got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 1e-9) for k in got)
