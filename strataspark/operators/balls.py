@@ -282,7 +282,7 @@ def _packs(asking: DataFrame, g: list[str], unit: list[str]) -> DataFrame:
     kids = kids.withColumn("run", F.floor(before / PACK).cast("long")).select(*g, "top", "pack", "run")
     # blocks of a cell that is too full itself are packs of their own
     alone = F.when(F.col("pack").isNull(), F.struct(F.col("cell").alias("pack"), (-1 - F.pmod(F.xxhash64("sub", "chunk"), F.lit(1 << 40))).alias("run"))).otherwise(F.struct("pack", "run"))
-    return asking.join(mine.drop("held"), unit, "left").join(kids, [*g, "top"], "left").withColumn("p", alone).select(*unit, "p.pack", "p.run")
+    return asking.select(*unit).join(mine.drop("held"), unit, "left").join(kids, [*g, "top"], "left").withColumn("p", alone).select(*unit, "p.pack", "p.run")
 
 
 class _Search:

@@ -181,3 +181,15 @@ def test_regression_searches_once(spark, monkeypatch):
     d = spark.createDataFrame(p.assign(y=Z[:, 0]))
     got = K.knn_regression(d.where("unit_id % 3 = 0"), d.where("unit_id % 3 = 1"), d.where("unit_id % 3 > 0"), "y", [1, 4]).collect()
     assert len(searches) == 1 and sorted(r.unit_id for r in got) == [i for i in range(60) if i % 3]
+
+
+def test_neighbouring_blocks_of_queries_share_a_pack(spark, monkeypatch):
+    """Reference rows are sent once to each pack: a pack for each block would send them as often as there are blocks."""
+    from strataspark.operators import balls
+    monkeypatch.setattr(balls, "PACK", 100)
+    p, Z, d = vectors(spark, n=400)
+    q, r, g = K._sides(d, d, [], "z", "cosine", 1e-8)
+    s = balls._Search(q, r, g, 6, "cosine", 16, True)
+    packs = s.asking.groupBy("pack", "run").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")).collect()
+    n, blocks = sum(x.n for x in packs), sum(x.blocks for x in packs)
+    assert blocks > 12 and len(packs) <= 2 * n / 100 + 1, (n, blocks, len(packs))
