@@ -168,9 +168,12 @@ MUST_ROWS = f""", mr AS (SELECT k.unit_id, gated AS lineage, annot AS key_cls, C
 
 def must_rows(i):
     """embedding rows carry the measured panel, gate, annotation and segment of the unit with the same id"""
-    w = i.keys.join(i.measured_wide, "unit_id")
-    return w.select("unit_id", F.col("gated").alias("lineage"), F.col("annot").alias("key_cls"), F.when(F.col("cell_type") == "HOUSEHOLD", "other").otherwise(F.col("cell_type")).alias("coarse"),
-                    F.array(*B.FEATURES).alias("m"))
+    # the panel is made once: gates and panels come from the same wide rows
+    w = i.measured_wide
+    w = w.select("*", *[C.is_high(F.col(f), F.lit(float(t))).alias(f"h_{f}") for f, t in B.THRESHOLDS.items()])
+    w = w.select("unit_id", F.array(*B.FEATURES).alias("m"), C.gate(B.GATE, "OUT").alias("lineage"))
+    a = C.label_map(i.units, "cell_type", B.ANNOTATION, "key_cls")
+    return a.join(w, "unit_id").select("unit_id", "lineage", "key_cls", F.when(F.col("cell_type") == "HOUSEHOLD", "other").otherwise(F.col("cell_type")).alias("coarse"), "m")
 
 
 def must_of(i):
