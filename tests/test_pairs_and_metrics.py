@@ -193,3 +193,34 @@ def test_neighbouring_blocks_of_queries_share_a_pack(spark, monkeypatch):
     packs = s.asking.groupBy("pack", "run").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")).collect()
     n, blocks = sum(x.n for x in packs), sum(x.blocks for x in packs)
     assert blocks > 12 and len(packs) <= 2 * n / 100 + 1, (n, blocks, len(packs))
+
+
+def test_the_panel_is_made_once_for_must_pairs(spark, monkeypatch):
+    """Gates and panels of the pairs came from two panels, one of them stored."""
+    import os
+    from strataspark.plans import bindings, pair_queries
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+
+    def refuse(df):
+        raise AssertionError("a second panel")
+    monkeypatch.setattr(bindings, "checkpointed", refuse)
+    d = pair_queries.must_rows(bindings.Inputs(spark, sf))
+    assert d.columns == ["unit_id", "lineage", "key_cls", "coarse", "m"] and d.count() > 0
+
+
+def test_gap_draws_keep_a_pair_one_row(spark, monkeypatch):
+    """A row for each pair, part type, readout, side of the ratio and draw did not fit the disk at large sizes."""
+    import os
+    from strataspark.operators import resample
+    from strataspark.plans import catalogue
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+
+    def refuse(*a, **k):
+        raise AssertionError("long form")
+    for f in ("drawn_medians", "multiplicities", "value_rank"):
+        monkeypatch.setattr(resample, f, refuse)
+    assert catalogue.QUERIES["gap_inference"](spark, sf).count() == 5
